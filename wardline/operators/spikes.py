@@ -24,15 +24,15 @@ KINDS = ("impossible", "spike", "stuck")
 class Faults:
     """Faults of readings in time order, copies removed."""
 
-    far: float = 7.0
+    far: float = 8.0
     agree: float = 5.0
     least: int = 8
     run: int = 6
     steady: float = 0.5
     rounds: int = 6
 
-    def stuck(self, seg: np.ndarray, raw: np.ndarray, state: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Readings in runs of equal recorded values in one unit, where the series otherwise changes."""
+    def stuck(self, seg: np.ndarray, raw: np.ndarray, state: np.ndarray, n: np.ndarray, tix: np.ndarray) -> np.ndarray:
+        """Readings in runs of equal recorded values in one unit, where both the series and its term otherwise change."""
         same = np.zeros(len(raw), bool)
         same[1:] = (seg[1:] == seg[:-1]) & (raw[1:] == raw[:-1]) & (state[1:] == state[:-1])
         begin = np.flatnonzero(~same)
@@ -44,8 +44,10 @@ class Faults:
         pair[1:] = seg[1:] == seg[:-1]
         out = pair & ~(long & same)
         pairs, ties = np.bincount(seg[out], minlength=k), np.bincount(seg[out & same], minlength=k)
-        changing = (pairs > 0) & (ties <= self.steady * pairs)
-        return long & changing[seg] & (n >= self.least)[seg]
+        changing = ties <= self.steady * pairs
+        all_pairs, all_ties = np.bincount(tix[pair], minlength=tix.max() + 1), np.bincount(tix[same], minlength=tix.max() + 1)
+        moving = all_ties <= self.steady * all_pairs
+        return long & (changing & (pairs > 0))[seg] & moving[tix] & (n >= self.least)[seg]
 
     def candidates(self, seg: np.ndarray, y: np.ndarray, n: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phase-space thresholding; candidates and the robust spread of each series. bad: bridged from the start."""
@@ -87,19 +89,21 @@ class Faults:
             turn_u, turn_d = u * cos[seg] + d2 * sin[seg], d2 * cos[seg] - u * sin[seg]
             fit = (ax > 0) & (bx > 0)
             outside |= np.where(fit[seg], turn_u**2 / np.where(fit, ax, 1)[seg] + turn_d**2 / np.where(fit, bx, 1)[seg] > 1, (u / a[seg]) ** 2 + (d2 / d[seg]) ** 2 > 1)
-            new = outside & ~found & active[seg] & inner & (np.abs(w - (w[before] + w[after]) / 2) > self.far / 2 * spread[seg])
-            # of neighbouring candidates the one that stands off most is bridged first
-            size = np.where(new, np.abs(d2), -1)
-            new &= (size >= size[before]) & (size >= size[after])
+            # beside a spike stand good readings with large differences: only what is off the local level is a candidate
+            new = outside & ~found & active[seg] & inner & (np.abs(w - local_level(seg, w)) > self.far / 2 * spread[seg])
             if not new.any():
                 break
             active = np.bincount(seg[new], minlength=k) > 0
             found |= new
         return found, spread
 
-    def spikes(self, seg: np.ndarray, y: np.ndarray, n: np.ndarray, bad: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    def spikes(self, seg: np.ndarray, tix: np.ndarray, y: np.ndarray, n: np.ndarray, bad: np.ndarray, unit: np.ndarray) -> np.ndarray:
         found, spread = self.candidates(seg, y, n, bad)
-        return self.confirm(seg, y, n, found, np.maximum(spread, unit))
+        level = series.medians(seg, np.where(found, np.nan, y), len(n))[0]
+        scale = np.maximum(pooled(seg, tix, level, spread, n), unit)
+        # candidates that hardly leave the local level of the bridged series are ordinary readings again
+        off = np.abs(y - local_level(seg, bridged(seg, y, found))) > (self.far - 1) * scale[seg]
+        return self.confirm(seg, y, n, found & (off | bad), scale) & ~bad
 
     def confirm(self, seg: np.ndarray, y: np.ndarray, n: np.ndarray, found: np.ndarray, scale: np.ndarray) -> np.ndarray:
         """The exact check: one or two candidates in a row, far off from neighbours that agree."""
@@ -119,6 +123,29 @@ class Faults:
         return out
 
 
+def local_level(seg: np.ndarray, w: np.ndarray, half: int = 3) -> np.ndarray:
+    """Median of the readings up to ``half`` places before and after, in the same series."""
+    near = np.full((len(w), 2 * half + 1), np.nan)
+    near[:, half] = w
+    for j in range(1, half + 1):
+        same = seg[j:] == seg[:-j]
+        near[j:, half - j] = np.where(same, w[:-j], np.nan)
+        near[:-j, half + j] = np.where(same, w[j:], np.nan)
+    near.sort(axis=1)
+    m, at = (~np.isnan(near)).sum(1), np.arange(len(w))
+    return (near[at, (m - 1) // 2] + near[at, m // 2]) / 2
+
+
+def pooled(seg: np.ndarray, tix: np.ndarray, level: np.ndarray, spread: np.ndarray, n: np.ndarray, weight: float = 8.0) -> np.ndarray:
+    """Spread of each series, drawn towards the spread usual for its term in relation to the level: short series say little."""
+    term = np.zeros(len(n), np.int64)
+    term[seg] = tix
+    size = np.maximum(np.abs(np.nan_to_num(level)), 1e-9)
+    share = np.where((n >= 4) & (spread > 0), spread / size, np.nan)
+    usual = np.nan_to_num(series.medians(term, share, int(term.max()) + 1)[0])
+    return np.sqrt((n * spread**2 + weight * (usual[term] * size) ** 2) / (n + weight))
+
+
 def bridged(seg: np.ndarray, y: np.ndarray, found: np.ndarray) -> np.ndarray:
     """y with the found readings replaced by the line between their good neighbours in the series."""
     if not found.any():
@@ -163,9 +190,9 @@ def implausible(event_df: DataFrame, unit_reference: DataFrame, term_reference:
         kind = np.where(bad, 1, 0)
         y_ = np.where(np.isfinite(y_), y_, 0)
         # least scale: a step of the recorded resolution can't be far off
-        scale = resolution(seg, raw, len(begin)) * np.abs(np.bincount(seg, terms.factor[tix, st], len(begin)) / np.maximum(n, 1)) / 2
-        kind = np.where((kind == 0) & faults.spikes(seg, y_, n, bad, scale), 2, kind)
-        kind = np.where((kind == 0) & faults.stuck(seg, raw, st, n), 3, kind)
+        scale = series.medians(seg, resolution(raw) * terms.factor[tix, st], len(begin))[0] / 2
+        kind = np.where((kind == 0) & faults.spikes(seg, tix, y_, n, bad, scale), 2, kind)
+        kind = np.where((kind == 0) & faults.stuck(seg, raw, st, n, tix), 3, kind)
         hit = (kind[reading] > 0) & x["core"]
         return pa.table({"event_id": x["row_id"][hit], "kind": pa.array(kind[reading][hit], pa.int32())})
 
@@ -173,11 +200,9 @@ def implausible(event_df: DataFrame, unit_reference: DataFrame, term_reference:
     return out.select("event_id", F.get(F.array(*[F.lit(x) for x in KINDS]), F.col("kind") - 1).alias("kind"))
 
 
-def resolution(seg: np.ndarray, raw: np.ndarray, k: int) -> np.ndarray:
-    """Smallest power of ten, 1 at most, in which half of the recorded values of a series are whole."""
-    out = np.full(k, 0.001)
-    total = np.bincount(seg, minlength=k)
+def resolution(raw: np.ndarray) -> np.ndarray:
+    """Largest of 1, 0.1, 0.01 and 0.001 in which the recorded value is whole."""
+    out = np.full(len(raw), 0.001)
     for d, step in ((2, 0.01), (1, 0.1), (0, 1.0)):
-        whole = np.bincount(seg, np.abs(raw * 10**d - np.rint(raw * 10**d)) < 1e-6, k)
-        out[whole >= 0.5 * total] = step
+        out[np.abs(raw * 10**d - np.rint(raw * 10**d)) < 1e-6] = step
     return out

@@ -92,18 +92,18 @@ def read_terms(unit_reference: DataFrame, term_reference: DataFrame | None = Non
     for r in bounded_rows(unit_reference.select("term", "unit_code", "factor", "shift"), MAX_UNITS, "unit_reference"):
         if r.term is not None and r.unit_code is not None:
             units.setdefault(r.term, {})[r.unit_code] = (1.0 if r.factor is None else r.factor, r["shift"] or 0.0)
-    bounds = {}
+    bounds, usual = {}, {}
     if term_reference is not None:
         for r in bounded_rows(term_reference.select("term", "kind", "common_unit", "phys_low", "phys_high"), MAX_UNITS, "term_reference"):
             if r.term is not None and r.kind == "measurement":
-                bounds[r.term] = (r.phys_low, r.phys_high)
+                bounds[r.term], usual[r.term] = (r.phys_low, r.phys_high), r.common_unit
                 units.setdefault(r.term, {r.common_unit or "": (1.0, 0.0)})
     names = sorted(units)
     k = max([1, *(len(units[n]) for n in names)])
     factor, shift = np.ones((len(names), k)), np.zeros((len(names), k))
     codes, spellings, common = [], [], []
     for i, n in enumerate(names):
-        own = sorted(units[n], key=lambda c: (units[n][c] != (1.0, 0.0), c))  # the common unit comes first
+        own = sorted(units[n], key=lambda c: (c != usual.get(n), units[n][c] != (1.0, 0.0), c))  # the common unit comes first
         codes.append(own)
         common.append(0)
         words: dict[str, int] = {}
@@ -165,7 +165,7 @@ class Decoder:
     spread: np.ndarray
     stay: float = 0.7
     usual: float = 0.9
-    strange: float = 0.02
+    freedom: float = 4.0
     line: float = 4.0
 
     def __call__(self, x: dict[str, np.ndarray], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +202,7 @@ class Decoder:
             pop, wide = self.mid[tix[rows]], self.spread[tix[rows]]
             own = (pick((m - 1) // 2) + pick(m // 2)) / 2
             own = np.where(m > 0, own, pop)
-            dev = np.sort(np.where(inside, np.abs(around - own[:, None]), np.nan), axis=1)
+            dev = np.sort(np.abs(around - own[:, None]), axis=1)
             mad = np.where(m > 0, (dev[np.arange(len(rows)), np.clip((m - 1) // 2, 0, 7)] + dev[np.arange(len(rows)), np.clip(m // 2, 0, 7)]) / 2, 0) * 1.4826
             # a series of few readings says less of its level and spread than the term does
             weight = m / (m + 0.25)
@@ -212,7 +212,9 @@ class Decoder:
             y = log(v[rows][:, None] * T.factor[tix[rows]] + T.shift[tix[rows]])
             z = np.abs(y - level[:, None]) / sd[:, None]
             z[~np.isfinite(z)] = np.inf
-            emit = np.log((1 - self.strange) * np.exp(-0.5 * np.minimum(z, 1e3) ** 2) / (sd[:, None] * 2.5066) + self.strange / 30)
+            emit = -(self.freedom + 1) / 2 * np.log1p(np.minimum(z, 1e6) ** 2 / self.freedom)  # Student's t: strange values say little
+            z_term = np.abs(y - pop[:, None]) / np.maximum(wide, 0.05)[:, None]
+            fits = (z <= self.line) | (z_term <= self.line * 0.75)
         have = np.arange(k)[None, :] < T.n_units[tix[rows]][:, None]
         emit[~have] = -np.inf
         others = np.maximum(T.n_units[tix[rows]] - 1, 1)[:, None]
@@ -255,7 +257,7 @@ class Decoder:
             i = begin[: np.searchsorted(-size, -j)] + j
             best[i - 1] = back[i, best[i]]
         r = np.arange(len(rows))
-        return np.where((z[r, best] <= self.line) & (z[:, 0] > self.line), best, 0)
+        return np.where(fits[r, best] & (z[:, 0] > self.line), best, 0)
 
 
 def instant(df: DataFrame) -> Column:
