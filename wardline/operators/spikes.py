@@ -25,7 +25,7 @@ class Faults:
     """Faults of readings in time order, copies removed."""
 
     far: float = 8.0
-    agree: float = 5.0
+    agree: float = 6.0
     least: int = 8
     run: int = 6
     steady: float = 0.5
