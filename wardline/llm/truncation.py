@@ -79,7 +79,7 @@ def multipliers() -> np.ndarray:
 
 
 def cells(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(order, cell of the context that ends with each place); a context that runs over the begin holds what precedes."""
+    """(order, cell of the context that ends with each place)."""
     h = np.zeros(len(codes), np.uint32)
     for j, m in enumerate(multipliers()):
         if j == 0:
@@ -91,11 +91,12 @@ def cells(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the texts, each behind a sign 1 for its begin, digits alike; and the place of each text's last one."""
-    joined = "\x01" + "\x01".join(texts)
+    """Code points of the texts, each behind signs 1 that no context reaches over, digits alike; and the place of each text's last one."""
+    pad = "\x01" * max(ORDERS)
+    joined = "".join([pad + t for t in texts])
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     codes[(codes >= 48) & (codes <= 57)] = 48
-    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64)) - 1
+    ends = np.cumsum(np.array([len(t) + len(pad) for t in texts], np.int64)) - 1
     return codes, ends
 
 
