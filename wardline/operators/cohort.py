@@ -149,12 +149,14 @@ def ordered(rows: DataFrame) -> DataFrame:
 
 def trend_evidence(catalog: Catalog, tree: Node | Leaf, patients: DataFrame) -> DataFrame | None:
     """Trend rows of the trend leaves, of the given patients, with demographics; repeats are kept, no order is set."""
+    wanted = [x for x in leaves(scoped(tree)) if x.is_trend]
+    if not wanted:
+        return None
     mine = catalog.trends.join(patients.select("patient_id").distinct(), "patient_id", "left_semi")
     parts = []
-    for leaf in leaves(scoped(tree)):
-        if leaf.is_trend:
-            a, b = trend_anchors(leaf.temporal, catalog.device)
-            parts += [r.filter((F.col("anchor1") == a) & (F.col("anchor2") == b) & (F.col("change") == leaf.modifier.strip().lower())) for r in _about(mine, catalog, leaf)]
+    for leaf in wanted:
+        a, b = trend_anchors(leaf.temporal, catalog.device)
+        parts += [r.filter((F.col("anchor1") == a) & (F.col("anchor2") == b) & (F.col("change") == leaf.modifier.strip().lower())) for r in _about(mine, catalog, leaf)]
     return presented(reduce(DataFrame.unionByName, parts), catalog.patients) if parts else None
 
 

@@ -1,9 +1,30 @@
 """Queries over the test tables, with their SQL, for the operators of the core."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardline.catalog import table
-from wardline.operators import intervals, spikes, units
+from wardline.operators import cohort, concepts, intervals, spikes, units
+from wardline.plans import compiler
+from wardline.plans.compiler import Catalog, candidates, candidates_by_joins
+from wardline.plans.ir import Leaf, Node, from_json
+from wardline.queries_text import QUERIES as TEXT_QUERIES
+from wardline.queries_text import SQL as TEXT_SQL
+
+PUMP = "left heart pump"
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def catalog(spark: SparkSession, sf_dir: str, with_trends: bool = False) -> Catalog:
+    t = lambda n: table(spark, sf_dir, n)
+    events = t("event_df")
+    return Catalog(t("patient_df"), events, compiler.active(t("term_concept_class_map_df")), t("baselines_df"), cohort.trends(events) if with_trends else None, PUMP)
+
+
+# the problems that are not about training data ------------------------------------------------------------------------
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +42,292 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.recorded_otherwise(units.convert_units(t("event_df"), t("unit_reference"), t("term_reference"), t("baselines_df")))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found}
+# temporal predicates ----------------------------------------------------------------------------------------------------
+
+
+def at(relation: str, day: int | None = None, kind: str | None = None, event: str | None = None, term: str = PUMP, offset: int = 0) -> dict:
+    """One temporal object in its JSON form."""
+    if relation in ("HISTORY", "BASELINE"):
+        return {"relation": relation}
+    if day is not None:
+        return {"relation": relation, "anchor": {"form": "admission", "day_offset": day}}
+    return {"relation": relation, "anchor": {"form": "concept", "term": term, "kind": kind, "event": event, "day_offset": offset}}
+
+
+def leaf(term: str | None = None, cls: str | None = None, modifier: str = "present", temporal: list | None = None, **more) -> dict:
+    return {"resolved_term": term, "resolved_class": cls, "modifier": modifier, "temporal": temporal, **more}
+
+
+def asked(tree: dict, joins: bool = False, with_trends: bool = False) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return (candidates_by_joins if joins else candidates)(catalog(spark, sf_dir, with_trends), from_json(tree))
+
+    return query
+
+
+DURING = [at("OVERLAPS", kind="INTERVAL")]
+BEFORE = [at("UNTIL", kind="EVENT", event="start")]
+
+TREES: dict[str, dict] = {
+    "term_exists_window": leaf("lactate", temporal=[at("FROM", 2), at("UNTIL", 5)], op=">", value=4.0),
+    "term_exists_anytime": leaf("delirium"),
+    "term_from_admission_day": leaf("troponin i", temporal=[at("FROM", 4)]),
+    "class_exists_window": leaf(cls="vasopressor", temporal=DURING),
+    "term_absent_until_anchor": {"logic": "AND", "clauses": [leaf("delirium", modifier="absent", temporal=BEFORE), leaf("delirium", temporal=DURING)]},
+    "class_absent_window": {"logic": "AND", "clauses": [leaf(PUMP), leaf(cls="sedative", modifier="absent", temporal=DURING)]},
+    "term_absent_vacuous": leaf("lactate", modifier="absent", temporal=DURING),
+    "history_present": leaf("hypertension", temporal=[at("HISTORY")]),
+    "history_absent": leaf("hypertension", modifier="absent", temporal=[at("HISTORY")]),
+    "history_class_present": leaf(cls="organ support", temporal=[at("HISTORY")]),
+    "history_class_absent": leaf(cls="organ support", modifier="absent", temporal=[at("HISTORY")]),
+    "baseline_numeric": leaf("creatinine", temporal=[at("BASELINE")], op=">", value=2.0),
+    "baseline_class_numeric": leaf(cls="renal marker", temporal=[at("BASELINE")], op=">", value=50.0),
+    "baseline_nonnumeric": leaf("mechanical ventilation", temporal=[at("BASELINE")]),
+    "baseline_class_nonnumeric": leaf(cls="vasopressor", temporal=[at("BASELINE")]),
+    "baseline_absent": leaf("mechanical ventilation", modifier="absent", temporal=[at("BASELINE")]),
+    "baseline_class_absent": leaf(cls="vasopressor", modifier="absent", temporal=[at("BASELINE")]),
+    "overlap_admission_day": leaf("heart rate", temporal=[at("OVERLAPS", 3)], op=">", value=110.0),
+    "from_until_two_anchors": leaf("lactate", temporal=[at("FROM", kind="EVENT", event="start"), at("UNTIL", kind="EVENT", event="stop", offset=1)], op=">", value=3.0),
+    "from_anchor_until_day": leaf("temperature", temporal=[at("FROM", kind="EVENT", event="start", offset=-1), at("UNTIL", 12)]),
+    "from_anchor_stop": leaf("creatinine", temporal=[at("FROM", kind="EVENT", event="stop")]),
+    "overlap_anchor_event": leaf("spo2", temporal=[at("OVERLAPS", kind="EVENT", event="start", offset=1)], op="<", value=92.0),
+    "until_admission_incl_history": leaf("hypertension", temporal=[at("UNTIL", -1)]),
+    "until_admission_absent": leaf("hypertension", modifier="absent", temporal=[at("UNTIL", 0)]),
+    "until_admission_later": leaf("diabetes mellitus", temporal=[at("UNTIL", 3)]),
+    "bool_tree_or": {"logic": "OR", "clauses": [leaf("limb ischemia"), leaf("hemolysis"), leaf("lactate dehydrogenase", op=">", value=900.0)]},
+    "bool_tree_nested": {"logic": "AND", "clauses": [leaf(PUMP), {"logic": "OR", "clauses": [leaf("fever"), {"logic": "AND", "clauses": [leaf("pneumonia"), leaf("cefepime", modifier="absent")]}]}]},
+    "temporal_inherited": {"logic": "AND", "temporal": DURING, "clauses": [leaf("norepinephrine"), leaf("spo2", op="<", value=90.0, temporal=[at("FROM", 0)])]},
+    "term_or_class_leaf": leaf("milrinone", "inotrope", temporal=[at("FROM", 1), at("UNTIL", 6)]),
+    "term_and_class_absent": leaf("milrinone", "inotrope", modifier="absent", temporal=[at("FROM", 1), at("UNTIL", 6)]),
+    "unit_ilike": leaf("temperature", op=">", value=100.0, unit="f"),
+    "patient_ref_filter": {"logic": "AND", "patient_references": ["p000000007", "bex"], "clauses": [leaf("heart rate")]},
+}
+
+TREND_TREES: dict[str, dict] = {
+    "trend_up": leaf("creatinine", modifier="uptrended"),
+    "trend_down": leaf(cls="perfusion marker", modifier="downtrended", temporal=[at("OVERLAPS", kind="INTERVAL")]),
+    "trend_unchanged": leaf("heart rate", "vital sign", modifier="unchanged", temporal=[at("FROM", 0)]),
+}
+
+MAP_SQL = "(SELECT term, concept_class FROM term_concept_class_map_df WHERE coalesce(status, 'active') = 'active')"
+IV = f"(SELECT patient_id, min(day_offset_start) AS a, max(coalesce(day_offset_end, day_offset_start)) AS b FROM event_df WHERE normalized_term = '{PUMP}' AND is_active GROUP BY 1)"
+ST = f"(SELECT patient_id, min(day_offset_start) AS d FROM event_df WHERE normalized_term = '{PUMP}' AND is_started GROUP BY 1)"
+SP = f"(SELECT patient_id, max(day_offset_end) AS d FROM event_df WHERE normalized_term = '{PUMP}' AND is_ended GROUP BY 1)"
+
+
+def _within(low: str, high: str) -> str:
+    return f"coalesce(e.day_offset_start, e.day_offset_end, 0) <= {high} AND coalesce(e.day_offset_end, e.day_offset_start, 0) >= {low}"
+
+
+EARLY = "(coalesce(e.day_offset_end, e.day_offset_start) <= 2 OR e.history)"
+
+
+def _term(t: str, cond: str = "true", join: str = "") -> str:
+    return f"EXISTS (SELECT 1 FROM event_df e {join} WHERE e.patient_id = p.patient_id AND e.normalized_term = '{t}' AND e.is_active AND {cond})"
+
+
+def _class(c: str, cond: str = "true", join: str = "") -> str:
+    return f"EXISTS (SELECT 1 FROM event_df e JOIN {MAP_SQL} m ON m.term = e.normalized_term AND m.concept_class = '{c}' {join} WHERE e.patient_id = p.patient_id AND e.is_active AND {cond})"
+
+
+def _who(cond: str) -> str:
+    return f"SELECT DISTINCT p.patient_id FROM patient_df p WHERE {cond}"
+
+
+_J = {"iv": f"JOIN {IV} iv ON iv.patient_id = e.patient_id", "st": f"JOIN {ST} st ON st.patient_id = e.patient_id", "sp": f"JOIN {SP} sp ON sp.patient_id = e.patient_id"}
+_ON = _within("iv.a", "iv.b")
+
+TREE_SQL = {
+    "term_exists_window": _who(_term("lactate", f"e.value > 4 AND {_within('2', '5')}")),
+    "term_exists_anytime": _who(_term("delirium")),
+    "term_from_admission_day": _who(_term("troponin i", _within("4", "1000000000"))),
+    "class_exists_window": _who(_class("vasopressor", _ON, _J["iv"])),
+    "term_absent_until_anchor": _who(f"NOT {_term('delirium', _within('-1000000000', 'st.d'), _J['st'])} AND {_term('delirium', _ON, _J['iv'])}"),
+    "class_absent_window": _who(f"{_term(PUMP)} AND NOT {_class('sedative', _ON, _J['iv'])}"),
+    "term_absent_vacuous": _who(f"NOT {_term('lactate', _ON, _J['iv'])}"),
+    "history_present": _who(_term("hypertension", "e.history")),
+    "history_absent": _who(f"NOT {_term('hypertension', 'e.history')}"),
+    "history_class_present": _who(_class("organ support", "e.history")),
+    "history_class_absent": _who(f"NOT {_class('organ support', 'e.history')}"),
+    "baseline_numeric": _who("EXISTS (SELECT 1 FROM baselines_df b WHERE b.patient_id = p.patient_id AND b.normalized_term = 'creatinine' AND b.anchor = 'admission_start' AND b.value > 2)"),
+    "baseline_class_numeric": _who(f"EXISTS (SELECT 1 FROM baselines_df b JOIN {MAP_SQL} m ON m.term = b.normalized_term AND m.concept_class = 'renal marker' WHERE b.patient_id = p.patient_id AND b.anchor = 'admission_start' AND b.value > 50)"),
+    "baseline_nonnumeric": _who(_term("mechanical ventilation", EARLY)),
+    "baseline_class_nonnumeric": _who(_class("vasopressor", EARLY)),
+    "baseline_absent": _who(f"NOT {_term('mechanical ventilation', EARLY)}"),
+    "baseline_class_absent": _who(f"NOT {_class('vasopressor', EARLY)}"),
+    "overlap_admission_day": _who(_term("heart rate", f"e.value > 110 AND {_within('3', '3')}")),
+    "from_until_two_anchors": _who(_term("lactate", f"e.value > 3 AND {_within('st.d', 'sp.d + 1')}", f"{_J['st']} {_J['sp']}")),
+    "from_anchor_until_day": _who(_term("temperature", _within("st.d - 1", "12"), _J["st"])),
+    "from_anchor_stop": _who(_term("creatinine", _within("sp.d", "1000000000"), _J["sp"])),
+    "overlap_anchor_event": _who(_term("spo2", f"e.value < 92 AND {_within('st.d + 1', 'st.d + 1')}", _J["st"])),
+    "until_admission_incl_history": _who(f"{_term('hypertension', _within('-1000000000', '-1'))} OR {_term('hypertension', 'e.history')}"),
+    "until_admission_absent": _who(f"NOT {_term('hypertension', _within('-1000000000', '0'))} AND NOT {_term('hypertension', 'e.history')}"),
+    "until_admission_later": _who(_term("diabetes mellitus", _within("-1000000000", "3"))),
+    "bool_tree_or": _who(f"{_term('limb ischemia')} OR {_term('hemolysis')} OR {_term('lactate dehydrogenase', 'e.value > 900')}"),
+    "bool_tree_nested": _who(f"{_term(PUMP)} AND ({_term('fever')} OR ({_term('pneumonia')} AND NOT {_term('cefepime')}))"),
+    "temporal_inherited": _who(f"{_term('norepinephrine', _ON, _J['iv'])} AND {_term('spo2', 'e.value < 90 AND ' + _within('0', '1000000000'))}"),
+    "term_or_class_leaf": _who(f"{_term('milrinone', _within('1', '6'))} OR {_class('inotrope', _within('1', '6'))}"),
+    "term_and_class_absent": _who(f"NOT {_term('milrinone', _within('1', '6'))} AND NOT {_class('inotrope', _within('1', '6'))}"),
+    "unit_ilike": _who(_term("temperature", "e.value > 100 AND e.unit ILIKE '%f%'")),
+    "patient_ref_filter": _who(f"(p.patient_id = 'p000000007' OR p.patient_name ILIKE '%p000000007%' OR p.patient_id = 'bex' OR p.patient_name ILIKE '%bex%') AND {_term('heart rate')}"),
+}
+
+_DAY = "coalesce(day_offset_start, day_offset_end)"
+ANCHORED_SQL = f"""
+used AS (
+  SELECT patient_id, normalized_term, unit, value, {_DAY} AS day FROM event_df
+  WHERE is_active AND NOT coalesce(history, false) AND value IS NOT NULL AND {_DAY} IS NOT NULL AND normalized_term IS NOT NULL
+), pump AS {IV}, last_day AS (SELECT patient_id, max(day) AS z FROM used GROUP BY 1
+), x AS (
+  SELECT u.*, a, b, z, min(CASE WHEN day BETWEEN 0 AND 2 THEN day END) OVER k AS s, max(day) OVER k AS l, max(CASE WHEN day < a THEN day END) OVER k AS pl,
+         min(CASE WHEN day BETWEEN a AND b THEN day END) OVER k AS de, max(CASE WHEN day BETWEEN a AND b THEN day END) OVER k AS dl, min(CASE WHEN day > b THEN day END) OVER k AS po
+  FROM used u JOIN last_day USING (patient_id) LEFT JOIN pump USING (patient_id) WINDOW k AS (PARTITION BY u.patient_id, u.normalized_term, u.unit)
+), marked AS (
+  SELECT *, 'admission_start' AS anchor FROM x WHERE day = s UNION ALL SELECT *, 'admission_end' FROM x WHERE day = z UNION ALL SELECT *, 'latest' FROM x WHERE day = l
+  UNION ALL SELECT *, 'prepump' FROM x WHERE day < a UNION ALL SELECT *, 'prepump_latest' FROM x WHERE day < a AND day = pl
+  UNION ALL SELECT *, 'pump' FROM x WHERE day BETWEEN a AND b UNION ALL SELECT *, 'pump_earliest' FROM x WHERE day BETWEEN a AND b AND day = de
+  UNION ALL SELECT *, 'pump_latest' FROM x WHERE day BETWEEN a AND b AND day = dl UNION ALL SELECT *, 'postpump_earliest' FROM x WHERE day > b AND day = po
+), anchored AS (
+  SELECT patient_id, normalized_term, unit, anchor, median(value) AS value, min(day) AS f, max(day) AS t FROM marked GROUP BY ALL
+), pairs(anchor1, anchor2) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in cohort.TREND_PAIRS)}
+), trends AS (
+  SELECT x.patient_id, x.normalized_term, x.unit, anchor1, anchor2,
+         CASE WHEN y.value - x.value > 0.1 * abs(x.value) THEN 'uptrended' WHEN y.value - x.value < -0.1 * abs(x.value) THEN 'downtrended' ELSE 'unchanged' END AS change,
+         x.f AS anchor1_start, x.t AS anchor1_end, y.f AS anchor2_start, y.t AS anchor2_end, x.value AS val_start, y.value AS val_end, y.value - x.value AS delta
+  FROM pairs JOIN anchored x ON x.anchor = anchor1
+  JOIN anchored y ON y.anchor = anchor2 AND y.patient_id = x.patient_id AND y.normalized_term = x.normalized_term AND y.unit IS NOT DISTINCT FROM x.unit
+)"""
+
+
+def _trend(cond: str, join: str = "") -> str:
+    return f"EXISTS (SELECT 1 FROM trends t {join} WHERE t.patient_id = p.patient_id AND {cond})"
+
+
+def _of(c: str) -> str:
+    return f"JOIN {MAP_SQL} m ON m.term = t.normalized_term AND m.concept_class = '{c}'"
+
+
+_PAIR = "t.anchor1 = '{}' AND t.anchor2 = '{}' AND t.change = '{}'"
+TREND_SQL = {
+    "trend_up": f"WITH {ANCHORED_SQL} " + _who(_trend("t.normalized_term = 'creatinine' AND " + _PAIR.format("admission_start", "latest", "uptrended"))),
+    "trend_down": f"WITH {ANCHORED_SQL} " + _who(_trend(_PAIR.format("pump_earliest", "pump_latest", "downtrended"), _of("perfusion marker"))),
+    "trend_unchanged": f"WITH {ANCHORED_SQL} " + _who(_trend("t.normalized_term = 'heart rate' AND " + _PAIR.format("admission_start", "admission_end", "unchanged")) + " OR " + _trend(_PAIR.format("admission_start", "admission_end", "unchanged"), _of("vital sign"))),
+}
+
+# tables that are built, evidence ---------------------------------------------------------------------------------------
+
+
+def anchor_query(kind: str, event: str | None, names: list[str]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from wardline.plans.ir import Anchor
+
+        d = compiler.anchor_days(table(spark, sf_dir, "event_df"), Anchor("concept", PUMP, kind, event))
+        return d.toDF("patient_id", *names)
+
+    return query
+
+
+#: Patients who had a lactate above 4 while on the device, and what speaks for it.
+EVIDENCE_TREE = {"logic": "AND", "clauses": [leaf("lactate", temporal=DURING, op=">", value=4.0), leaf(cls="vasopressor", temporal=[at("UNTIL", 0)])]}
+_EV = ["event_id", "patient_id", "normalized_term", "value", "unit", "day_offset_start", "day_offset_end", "history"]
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[Catalog, DataFrame, DataFrame]:
+    c, tree = catalog(spark, sf_dir), from_json(EVIDENCE_TREE)
+    found = candidates(c, tree)
+    return c, found, cohort.event_evidence(c, tree, found)
+
+
+def event_evidence_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, _, e = _evidence(spark, sf_dir)
+    return cohort.presented(e, c.patients).select(*_EV, "patient_name", "age", "sex")
+
+
+def event_summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.summaries(_evidence(spark, sf_dir)[2])
+
+
+def budget_group_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.group_count(_evidence(spark, sf_dir)[2])
+
+
+def context_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, found, e = _evidence(spark, sf_dir)
+    return cohort.with_context(e, c, found, 1).select("context", *_EV)
+
+
+def trend_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, tree = catalog(spark, sf_dir, True), from_json(TREND_TREES["trend_up"])
+    return cohort.trend_evidence(c, tree, candidates(c, tree))
+
+
+def baselines_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.baselines(table(spark, sf_dir, "event_df"))
+
+
+def trends_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.trends(table(spark, sf_dir, "event_df"))
+
+
+def pump_extrapolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.device_days(table(spark, sf_dir, "event_df"))
+
+
+# concepts ---------------------------------------------------------------------------------------------------------------
+
+
+def active_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compiler.active(table(spark, sf_dir, "alias_to_canonical_df")).select("alias_id", concepts.normalized_column(F.col("alias")).alias("alias"), "target_kind", "canonical", "priority")
+
+
+def class_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = compiler.active(table(spark, sf_dir, "term_concept_class_map_df"))
+    g = m.groupBy("concept_class").agg(F.array_sort(F.collect_list(F.struct("priority", "term"))).alias("t"))
+    return g.select("concept_class", F.array_join(F.transform("t", lambda x: x["term"]), ", ").alias("terms"))
+
+
+def alias_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "event_df").filter("normalized_term is null and source_entity is not null").select(F.col("source_entity").alias("phrase"))
+    return concepts.best_aliases(said, compiler.active(table(spark, sf_dir, "alias_to_canonical_df")))
+
+
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 vectors nearest to the first one: a top-k report."""
+    e = table(spark, sf_dir, "embeddings")
+    query = e.filter("vec_id = 0").first().embedding
+    return concepts.nearest(e, query, "vec_id", 32).select("vec_id", F.round("similarity", 5).alias("similarity"))
+
+
+def patient_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patients by parts of names, with hyphens and case made alike in what is asked."""
+    return compiler.referenced(table(spark, sf_dir, "patient_df"), ("Quin", "p000000012")).select("patient_id")
+
+
+QUERIES: dict[str, Query] = {
+    "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found,
+    **{n: asked(t) for n, t in TREES.items()},
+    **{f"{n}_joins": asked(TREES[n], joins=True) for n in ("term_absent_until_anchor", "bool_tree_nested")},
+    **{n: asked(t, with_trends=True) for n, t in TREND_TREES.items()},
+    "interval_anchor": anchor_query("INTERVAL", None, ["first_day", "last_day"]), "start_anchor": anchor_query("EVENT", "start", ["day"]), "stop_anchor": anchor_query("EVENT", "stop", ["day"]),
+    "baselines_build": baselines_build, "trends_build": trends_build, "pump_extrapolation": pump_extrapolation,
+    "event_evidence_union": event_evidence_union, "event_summary_stats": event_summary_stats, "budget_group_count": budget_group_count, "context_dedup_first": context_dedup_first, "trend_evidence": trend_evidence,
+    "active_aliases": active_aliases, "class_expansion": class_expansion, "alias_best_match": alias_best_match, "vector_topk": vector_topk, "patient_search": patient_search,
+    **TEXT_QUERIES,
+}
+
+_FOUND = _who(f"{_term('lactate', 'e.value > 4 AND ' + _ON, _J['iv'])} AND ({_class('vasopressor', _within('-1000000000', '0'))} OR {_class('vasopressor', 'e.history')})")
+EVIDENCE_SQL = f"""
+found AS ({_FOUND}),
+mine AS (SELECT e.* FROM event_df e WHERE patient_id IN (SELECT patient_id FROM found)),
+evidence AS (
+  SELECT e.* FROM mine e JOIN {IV} iv ON iv.patient_id = e.patient_id WHERE normalized_term = 'lactate' AND value > 4 AND {_ON}
+  UNION ALL SELECT e.* FROM mine e JOIN {MAP_SQL} m ON m.term = e.normalized_term AND m.concept_class = 'vasopressor' WHERE {_within("-1000000000", "0")}
+  UNION ALL SELECT e.* FROM mine e JOIN {MAP_SQL} m ON m.term = e.normalized_term AND m.concept_class = 'vasopressor' WHERE e.history
+  UNION ALL SELECT e.* FROM mine e WHERE normalized_term = '{PUMP}'
+)"""
+_COLS = ", ".join(_EV)
 
-SQL = {
+SQL: dict[str, str] = {
     "p5_found": """
 WITH used AS (
   SELECT e.patient_id, e.normalized_term,
@@ -44,4 +348,37 @@ WITH used AS (
 SELECT patient_id, normalized_term, 'period' AS stretch, CAST(a AS INTEGER) AS day_from, CAST(b AS INTEGER) AS day_to FROM periods
 UNION ALL
 SELECT patient_id, normalized_term, 'gap', CAST(a AS INTEGER), CAST(b AS INTEGER) FROM gaps WHERE b IS NOT NULL""",
+    **TREE_SQL,
+    **{f"{n}_joins": TREE_SQL[n] for n in ("term_absent_until_anchor", "bool_tree_nested")},
+    **TREND_SQL,
+    "interval_anchor": f"SELECT patient_id, a AS first_day, b AS last_day FROM {IV}",
+    "start_anchor": f"SELECT patient_id, d AS day FROM {ST}",
+    "stop_anchor": f"SELECT patient_id, d AS day FROM {SP}",
+    "baselines_build": f"WITH {ANCHORED_SQL} SELECT patient_id, normalized_term, anchor, value, unit FROM anchored WHERE anchor IN ('admission_start', 'latest')",
+    "trends_build": f"WITH {ANCHORED_SQL} SELECT * FROM trends",
+    "pump_extrapolation": f"""
+WITH s AS (
+  SELECT patient_id, min(CASE WHEN is_started THEN day_offset_start END) AS a, max(CASE WHEN is_ended THEN coalesce(day_offset_end, day_offset_start) END) AS b
+  FROM event_df WHERE normalized_term = '{PUMP}' GROUP BY 1
+), d AS (SELECT patient_id, unnest(range(a, b + 1)) AS day FROM s WHERE b >= a AND b - a <= 3660)
+SELECT patient_id, '{PUMP}' AS normalized_term, CAST(day AS INTEGER) AS day_offset_start, CAST(day AS INTEGER) AS day_offset_end, true AS is_active, '{cohort.PUMP_ENTRY}' AS source_entity FROM d""",
+    "event_evidence_union": f"WITH {EVIDENCE_SQL} SELECT {', '.join('e.' + c for c in _EV)}, patient_name, age, sex FROM evidence e JOIN patient_df p ON p.patient_id = e.patient_id WHERE trim(coalesce(source_entity, ''), '\"') <> '{cohort.PUMP_ENTRY}'",
+    "event_summary_stats": f"""WITH {EVIDENCE_SQL}, x AS (SELECT *, coalesce(day_offset_end, day_offset_start) AS d, min(value) OVER k AS lo, max(value) OVER k AS hi FROM evidence WINDOW k AS (PARTITION BY patient_id, normalized_term, unit, is_active, is_started, is_ended))
+SELECT patient_id, normalized_term, unit, is_active, is_started, is_ended, count(*) AS n_total, count(value) AS n_numeric, min(value) AS min, max(value) AS max, median(value) AS median,
+  round(stddev_samp(value), 3) AS std, min(day_offset_start) AS earliest_day, coalesce(max(day_offset_end), max(day_offset_start)) AS latest_day,
+  CASE WHEN count(value) > 1 THEN min(CASE WHEN value = lo THEN d END) END AS min_day, CASE WHEN count(value) > 1 THEN min(CASE WHEN value = hi THEN d END) END AS max_day FROM x GROUP BY ALL""",
+    "budget_group_count": f"""WITH {EVIDENCE_SQL} SELECT count(*) AS n_rows, count(DISTINCT patient_id) AS n_patients,
+  count(DISTINCT CASE WHEN patient_id IS NOT NULL AND normalized_term IS NOT NULL AND is_active IS NOT NULL AND is_started IS NOT NULL AND is_ended IS NOT NULL
+    THEN concat_ws('|', patient_id, normalized_term, coalesce(unit, '_none_'), is_active, is_started, is_ended) END) AS n_groups FROM evidence""",
+    "context_dedup_first": f"""WITH {EVIDENCE_SQL}, both_ AS (SELECT false AS context, {_COLS}, source_entity FROM evidence UNION ALL SELECT true, {_COLS}, source_entity FROM mine),
+r AS (SELECT *, row_number() OVER (PARTITION BY patient_id, normalized_term, day_offset_start, day_offset_end ORDER BY context, value ASC NULLS LAST, unit ASC NULLS LAST, event_id) AS rn FROM both_)
+SELECT context, {_COLS} FROM r WHERE rn = 1 AND trim(coalesce(source_entity, ''), '\"') <> '{cohort.PUMP_ENTRY}'""",
+    "trend_evidence": f"WITH {ANCHORED_SQL} SELECT t.*, patient_name, age, sex FROM trends t JOIN patient_df p ON p.patient_id = t.patient_id WHERE normalized_term = 'creatinine' AND anchor1 = 'admission_start' AND anchor2 = 'latest' AND change = 'uptrended'",
+    "active_aliases": r"""SELECT alias_id, lower(trim(regexp_replace(regexp_replace(alias, '[-_]', ' ', 'g'), '\s+', ' ', 'g'))) AS alias, target_kind, canonical, coalesce(priority, 100) AS priority
+FROM alias_to_canonical_df WHERE coalesce(status, 'active') = 'active'""",
+    "class_expansion": "SELECT concept_class, string_agg(term, ', ' ORDER BY coalesce(priority, 100), term) AS terms FROM term_concept_class_map_df WHERE coalesce(status, 'active') = 'active' GROUP BY 1",
+    "vector_topk": """WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 5) AS similarity FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) DESC, vec_id LIMIT 32""",
+    "patient_search": "SELECT patient_id FROM patient_df WHERE patient_id IN ('quin', 'p000000012') OR patient_name ILIKE '%quin%' OR patient_name ILIKE '%p000000012%'",
+    **TEXT_SQL,
 }
