@@ -140,7 +140,11 @@ def population(stated: DataFrame, terms: Terms) -> tuple[np.ndarray, np.ndarray]
     spark = stated.sparkSession
     n, k = terms.factor.shape
     dim = F.broadcast(spark.createDataFrame([(i, [float(x) for x in terms.factor[i]], [float(x) for x in terms.shift[i]]) for i in range(n)], "tix int, _f array<double>, _s array<double>")) if n else None
-    mid, spread = np.zeros(n), np.full(n, 0.3)
+    # of terms without such readings the middle of the bounds, or else nothing, is known
+    low, high = np.maximum(terms.low, 1e-3), terms.high
+    bounded = np.isfinite(low) & np.isfinite(high) & (high > low)
+    mid = np.log(np.where(bounded, (low + high) / 2, 1.0))
+    spread = np.where(bounded, np.maximum(0.3, np.log(np.where(bounded, high, 1.0) / np.where(bounded, low, 1.0)) / 4), 1e6)
     if dim is None:
         return mid, spread
     known = stated.filter(F.col("stated") >= 0).join(dim, "tix")

@@ -8,7 +8,8 @@ NOTE = "uid string, name string, raw_text string, filename string, _corrupt stri
 
 def notes_jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """uid, name, raw_text, filename from lines of JSON. With strict, a broken line, a missing field or a repeated uid is an error."""
-    df = spark.read.schema(NOTE).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    df = lines.select(F.from_json("value", NOTE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
     if strict:
         bad = F.col("_corrupt").isNotNull() | F.col("uid").isNull() | F.col("name").isNull() | F.col("raw_text").isNull()
         if n := df.filter(bad).select("uid", "name", "raw_text", "filename", "_corrupt").count():
@@ -26,7 +27,7 @@ def name_parts(path: Column) -> tuple[Column, Column]:
 
 def notes_text(spark: SparkSession, path: str) -> DataFrame:
     """uid, name, raw_text, filename from one text file for each patient."""
-    df = spark.read.option("wholetext", "true").text(path).withColumn("filename", F.input_file_name())
+    df = spark.read.text(path, wholetext=True).withColumn("filename", F.input_file_name())
     name, uid = name_parts(F.col("filename"))
     return df.select(uid.alias("uid"), name.alias("name"), F.col("value").alias("raw_text"), "filename")
 

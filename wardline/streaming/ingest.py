@@ -15,7 +15,8 @@ def event_stream(spark: SparkSession, folder: str, schema: StructType, files_per
 
 def arrivals(events: DataFrame, window: str = "1 day", late: str = "30 days") -> DataFrame:
     """start, normalized_term, n, delay_s: rows and mean delay by window of loaded_at; windows close ``late`` after the newest row."""
-    delay = F.col("loaded_at").cast("long") - F.col("charted_at").cast("long")
+    events = events.withColumns({c: F.col(c).cast("timestamp") for c in ("loaded_at", "charted_at")})
+    delay = F.unix_seconds("loaded_at") - F.unix_seconds("charted_at")
     w = events.withWatermark("loaded_at", late).groupBy(F.window("loaded_at", window).alias("w"), "normalized_term")
     return w.agg(F.count(F.lit(1)).alias("n"), F.avg(delay).alias("delay_s")).select(F.col("w.start").alias("start"), "normalized_term", "n", "delay_s")
 
