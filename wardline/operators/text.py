@@ -67,17 +67,24 @@ def chunk_spans(chunked: DataFrame, toks: DataFrame, spans: DataFrame, key: str)
     return j.select(key, "chunk", "char_from", "char_to", "ord", (F.greatest("s", "char_from") - F.col("char_from")).alias("start"), (F.least("e", "char_to") - F.col("char_from")).alias("end"), "label")
 
 
+#: Characters of a stretch of text; tokens and spans meet within the stretches that they reach into.
+STRETCH = 256
+
+
 def bio_labels(toks: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """key, i, label: O, or B-/I- with the label of the highest priority that meets the token; B where the token before has another.
+    """key, i, start, end, label: O, or B-/I- with the label of the highest priority that meets the token; B where the token before has another.
 
-    Labels without a priority rank below the others, by name.
+    Labels without a priority rank below the others, by name. Tokens and spans meet by stretches of the text, so a
+    long text with many spans does not make all their pairs.
     """
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LABEL_PRIORITY.items() for x in kv]), F.col("label")), F.lit(0))
-    s = spans.filter("end > start").select(F.col(key).alias("_k"), F.col("start").alias("s"), F.col("end").alias("e"), "label", rank.alias("rank"))
-    m = toks.join(s, (F.col(key) == F.col("_k")) & (F.col("e") > F.col("start")) & (F.col("s") < F.col("end")), "left")
-    best = m.groupBy(key, "i").agg(F.max(F.when(F.col("label").isNotNull(), F.struct("rank", "label")))["label"].alias("l"))
+    reach = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / STRETCH), F.floor((F.col(b) - 1) / STRETCH)))
+    s = spans.filter("end > start and start >= 0").select(F.col(key).alias("_k"), F.col("start").alias("s"), F.col("end").alias("e"), "label", rank.alias("rank")).withColumn("_b", reach("s", "e"))
+    t = toks.select(key, "i", "start", "end").withColumn("_at", reach("start", "end"))
+    m = t.join(s, (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_b")) & (F.col("e") > F.col("start")) & (F.col("s") < F.col("end")), "left")
+    best = m.groupBy(key, "i", "start", "end").agg(F.max(F.when(F.col("label").isNotNull(), F.struct("rank", "label")))["label"].alias("l"))
     before = F.lag("l").over(Window.partitionBy(key).orderBy("i"))
-    return best.select(key, "i", F.when(F.col("l").isNull(), "O").when(before.eqNullSafe(F.col("l")), F.concat(F.lit("I-"), "l")).otherwise(F.concat(F.lit("B-"), "l")).alias("label"))
+    return best.select(key, "i", "start", "end", F.when(F.col("l").isNull(), "O").when(before.eqNullSafe(F.col("l")), F.concat(F.lit("I-"), "l")).otherwise(F.concat(F.lit("B-"), "l")).alias("label"))
 
 
 def bio_spans(labels: DataFrame, key: str, least: float | None = None) -> DataFrame:

@@ -47,13 +47,12 @@ def span_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bio_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _training(spark, sf_dir)
-    return text.bio_labels(text.tokens(t.select("uid", "text"), "uid"), text.exploded(t, "uid"), "uid")
+    return text.bio_labels(text.tokens(t.select("uid", "text"), "uid"), text.exploded(t, "uid"), "uid").select("uid", "i", "label")
 
 
 def bio_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _training(spark, sf_dir)
-    toks = text.tokens(t.select("uid", "text"), "uid")
-    labels = text.bio_labels(toks, text.exploded(t, "uid"), "uid").join(toks, ["uid", "i"])
+    labels = text.bio_labels(text.tokens(t.select("uid", "text"), "uid"), text.exploded(t, "uid"), "uid")
     return text.bio_spans(labels, "uid").select("uid", "id", "start", "end", "label")
 
 
