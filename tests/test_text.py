@@ -128,3 +128,13 @@ def test_tables_and_days(spark):
     assert sorted(r.day for r in T.stated_days(days, "k", "a").filter("k = 1").collect()) == [-2, 0, 2, 2, 3, 4]
     cues = T.negation_cues(spark.createDataFrame([(1, "No fever, no evidence of sepsis. Not now; nothing."), (2, None)], "k int, text string"), "k").collect()
     assert sorted((c.cue, c.n) for c in cues) == [("no", 1), ("no evidence of", 1), ("not", 1)]
+
+
+def test_modifiers_names_and_codes(spark):
+    from wardline.functions.text import comparison_of, modifier_of, name_order, sex_code
+
+    op, number = comparison_of(F.col("p"))
+    rows = spark.createDataFrame([("↑ lactate > 4.5",), ("remains stable",), ("No fever",), ("fell below 90",), ("at least ≥ 3",), ("",), (None,), ("high",)], "p string").select(modifier_of(F.col("p")).alias("m"), op.alias("op"), number.alias("n")).collect()
+    assert [tuple(r) for r in rows] == [("uptrended", ">", 4.5), ("unchanged", None, None), ("absent", None, None), ("downtrended", "<", 90.0), (None, ">=", 3.0), (None, None, None), (None, None, None), ("high", None, None)]
+    names = spark.createDataFrame([("Bexock, Quinmond", "Male"), ("Lummond  Kashowan ", "m"), ("UNA ORN", "U"), (None, None)], "n string, s string").select(name_order(F.col("n")).alias("n"), sex_code(F.col("s")).alias("s")).collect()
+    assert [tuple(r) for r in names] == [("Quinmond Bexock", "M"), ("Lummond Kashowan", "M"), ("Una Orn", None), (None, None)]

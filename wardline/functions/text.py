@@ -42,3 +42,46 @@ def strict_number(c: Column) -> Column:
     """A double without NaN and infinities, for JSON; null where there is none."""
     d = c.try_cast("double")
     return F.when(F.isnan(d) | (F.abs(d) == float("inf")), None).otherwise(d)
+
+
+#: Words and signs of change in free text, by the modifier that they mean: fixed values.
+MODIFIER_WORDS = (
+    ("unchanged", r"stable|unchanged|no change|steady|same as|→|<->"),
+    ("uptrended", r"↑|up ?trend|increas|ris(e|en|ing)\b|rose\b|worse|higher|elevating|going up"),
+    ("downtrended", r"↓|down ?trend|decreas|fall(s|en|ing)?\b|fell\b|dropp(ed|ing)|lower|going down|improv"),
+    ("high", r"\bhigh\b|elevated"),
+    ("low", r"\blow\b|reduced"),
+    ("normal", r"\bnormal\b|within limits"),
+    ("absent", r"\b(no|not|without|denies|negative for|absent)\b"),
+    ("present", r"\b(present|noted|positive for|with)\b"),
+)
+
+
+def modifier_of(c: Column) -> Column:
+    """The modifier that a phrase means, the first in the order of MODIFIER_WORDS that it names; null where it names none."""
+    out = F.lit(None).cast("string")
+    for name, words in reversed(MODIFIER_WORDS):
+        out = F.when(c.rlike(f"(?i)({words})"), name).otherwise(out)
+    return out
+
+
+def comparison_of(c: Column) -> tuple[Column, Column]:
+    """Comparison sign and number of a phrase such as ``> 4.5`` or ``less than 90``; nulls where there is none."""
+    sign = F.regexp_extract(c, r"(?i)(>=|<=|≥|≤|>|<|above|over|more than|greater than|below|under|less than)\s*-?[0-9]", 1)
+    number = F.regexp_extract(c, r"(?i)(?:>=|<=|≥|≤|>|<|above|over|more than|greater than|below|under|less than)\s*(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    s = F.lower(sign)
+    op = F.when(s.isin(">", "above", "over", "more than", "greater than"), ">").when(s.isin("<", "below", "under", "less than"), "<").when(s.isin(">=", "≥"), ">=").when(s.isin("<=", "≤"), "<=")
+    return op, F.when(op.isNotNull(), number)
+
+
+def sex_code(c: Column) -> Column:
+    """F or M from the usual codes, else null."""
+    s = F.lower(F.trim(c))
+    return F.when(s.isin("f", "female", "w", "woman"), "F").when(s.isin("m", "male", "man"), "M")
+
+
+def name_order(c: Column) -> Column:
+    """First name, then last name, single spaces, first letters upper case; ``Last, First`` is turned round."""
+    s = F.trim(F.regexp_replace(c, r"\s+", " "))
+    turned = F.when(F.contains(s, F.lit(",")), F.concat_ws(" ", F.trim(F.regexp_extract(s, r"^[^,]*,(.*)$", 1)), F.trim(F.regexp_extract(s, r"^([^,]*),", 1)))).otherwise(s)
+    return F.initcap(F.lower(F.trim(turned)))

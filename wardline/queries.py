@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog import table
-from wardline.operators import cohort, concepts, intervals, spikes, units
+from wardline.operators import cohort, concepts, intervals, spikes, units, vectors
 from wardline.plans import compiler
 from wardline.plans.compiler import Catalog, candidates, candidates_by_joins
 from wardline.plans.ir import Leaf, Node, from_json
@@ -292,10 +292,9 @@ def alias_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 32 vectors nearest to the first one: a top-k report."""
+    """For every vector whose id is divisible by 100 the 32 nearest of all vectors."""
     e = table(spark, sf_dir, "embeddings")
-    query = e.filter("vec_id = 0").first().embedding
-    return concepts.nearest(e, query, "vec_id", 32).select("vec_id", F.round("similarity", 5).alias("similarity"))
+    return vectors.nearest_many(e, e.filter("vec_id % 100 = 0"), 32).select("query", "key", F.round("similarity", 5).alias("similarity"))
 
 
 def patient_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,8 +376,8 @@ SELECT context, {_COLS} FROM r WHERE rn = 1 AND trim(coalesce(source_entity, '')
     "active_aliases": r"""SELECT alias_id, lower(trim(regexp_replace(regexp_replace(alias, '[-_]', ' ', 'g'), '\s+', ' ', 'g'))) AS alias, target_kind, canonical, coalesce(priority, 100) AS priority
 FROM alias_to_canonical_df WHERE coalesce(status, 'active') = 'active'""",
     "class_expansion": "SELECT concept_class, string_agg(term, ', ' ORDER BY coalesce(priority, 100), term) AS terms FROM term_concept_class_map_df WHERE coalesce(status, 'active') = 'active' GROUP BY 1",
-    "vector_topk": """WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 5) AS similarity FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) DESC, vec_id LIMIT 32""",
+    "vector_topk": """WITH s AS (SELECT q.vec_id AS query, v.vec_id AS key, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, key) AS rn FROM s) SELECT query, key, round(similarity, 5) AS similarity FROM r WHERE rn <= 32""",
     "patient_search": "SELECT patient_id FROM patient_df WHERE patient_id IN ('quin', 'p000000012') OR patient_name ILIKE '%quin%' OR patient_name ILIKE '%p000000012%'",
     **TEXT_SQL,
 }

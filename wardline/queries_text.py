@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog import table
-from wardline.functions.text import normalized_column, strict_number
+from wardline.functions.text import modifier_of, name_order, normalized_column, sex_code, strict_number
 from wardline.operators import text
 from wardline.sources import notes
 from wardline.streaming import ingest
@@ -176,16 +176,27 @@ def arrival_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.arrivals(e, "1 day").select("start", "normalized_term", "n", F.round("delay_s", 3).alias("delay_s"))
 
 
+def document_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last line of a note says of change."""
+    last = F.element_at(F.split("text", r"\n"), -1)
+    return _docs(spark, sf_dir).filter("text is not null").groupBy(modifier_of(last).alias("modifier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def patients_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "patient_df").select("patient_id", name_order(F.col("patient_name")).alias("name"), sex_code(F.col("sex")).alias("sex"), "age", "site")
+
+
 QUERIES = {f.__name__: f for f in (
+    document_modifiers, patients_clean,
     word_tokens, chunk_windows, chunk_trusted, chunk_centred, span_chunks, bio_labels, bio_islands, span_nms, span_texts, tagged_texts, table_marks, relation_best, relation_ends_present, allowed_pairs,
     training_pairs, pair_texts, train_dev_split, label_weights, label_metrics, pipe_table_unpivot, negation_spans, note_day_offsets, term_stats, name_normalizer, timestamp_collapse, log_dedup_insert,
     latest_delivery, arrival_windows,
 )}
 
 _N = r"SELECT uid, len(regexp_extract_all(text, '\S+')) AS n FROM training_data"
-_SPANS = """SELECT uid, o - 1 AS ord, s.id AS id, s.start AS start, s."end" AS "end", s.label AS label, s.confidence AS confidence, s.text AS text
+_SPANS = """SELECT uid, CAST(o - 1 AS INTEGER) AS ord, s.id AS id, s.start AS start, s."end" AS "end", s.label AS label, s.confidence AS confidence, s.text AS text
   FROM (SELECT uid, o, spans[o] AS s FROM (SELECT uid, spans, unnest(range(1, len(spans) + 1)) AS o FROM training_data WHERE spans IS NOT NULL) x) y WHERE s IS NOT NULL"""
-_RELS = """SELECT uid, o - 1 AS ord, r.head AS head, r.child AS child, r.label AS label, r.confidence AS confidence
+_RELS = """SELECT uid, CAST(o - 1 AS INTEGER) AS ord, r.head AS head, r.child AS child, r.label AS label, r.confidence AS confidence
   FROM (SELECT uid, o, relations[o] AS r FROM (SELECT uid, relations, unnest(range(1, len(relations) + 1)) AS o FROM training_data WHERE relations IS NOT NULL) x) y WHERE r IS NOT NULL"""
 
 
@@ -200,6 +211,10 @@ s AS ({_SPANS}), a(x, y, label) AS (VALUES ('C_ENT', 'TIME', 'TIME_RELATION'), (
 pairs AS (SELECT h.uid, h.id AS head, c.id AS child, a.label, abs(h.start - c.start) AS distance FROM s h JOIN a ON a.x = h.label JOIN s c ON c.uid = h.uid AND c.label = a.y AND c.id <> h.id WHERE abs(h.start - c.start) <= 400)"""
 
 SQL = {
+    "patients_clean": r"""WITH p AS (SELECT *, trim(regexp_replace(patient_name, '\s+', ' ', 'g')) AS s FROM patient_df),
+q AS (SELECT *, lower(CASE WHEN s LIKE '%,%' THEN trim(regexp_extract(s, '^[^,]*,(.*)$', 1)) || ' ' || trim(regexp_extract(s, '^([^,]*),', 1)) ELSE s END) AS t FROM p)
+SELECT patient_id, array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name,
+  CASE WHEN lower(trim(sex)) IN ('f', 'female') THEN 'F' WHEN lower(trim(sex)) IN ('m', 'male') THEN 'M' END AS sex, age, site FROM q""",
     "word_tokens": r"""SELECT uid, len(regexp_extract_all(text, '\S+')) AS n, CAST(length(regexp_replace(text, '\s+$', '')) AS INTEGER) AS last_end,
   CAST(length(regexp_replace(text, '\s', '', 'g')) AS BIGINT) AS letters FROM training_data WHERE len(regexp_extract_all(text, '\S+')) > 0""",
     "chunk_windows": f"WITH {_windows(128, 96)} SELECT uid, chunk, first, last, n_chunks FROM w",
