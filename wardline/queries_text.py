@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog import table
-from wardline.functions.text import modifier_of, name_order, normalized_column, sex_code, strict_number
+from wardline.functions.text import MODIFIER_WORDS, modifier_of, name_order, normalized_column, sex_code, strict_number
 from wardline.operators import text
 from wardline.sources import notes
 from wardline.streaming import ingest
@@ -210,7 +210,10 @@ _PAIRS = f"""
 s AS ({_SPANS}), a(x, y, label) AS (VALUES ('C_ENT', 'TIME', 'TIME_RELATION'), ('TABLE', 'TIME', 'TIME_RELATION'), ('C_ENT', 'NEGATION', 'NEGATION_RELATION')),
 pairs AS (SELECT h.uid, h.id AS head, c.id AS child, a.label, abs(h.start - c.start) AS distance FROM s h JOIN a ON a.x = h.label JOIN s c ON c.uid = h.uid AND c.label = a.y AND c.id <> h.id WHERE abs(h.start - c.start) <= 400)"""
 
+_MODIFIER = "CASE " + " ".join(f"WHEN regexp_matches(line, '(?i)({words})') THEN '{name}'" for name, words in MODIFIER_WORDS) + " END"
+
 SQL = {
+    "document_modifiers": f"WITH l AS (SELECT string_split(text, chr(10))[-1] AS line FROM documents WHERE text IS NOT NULL) SELECT {_MODIFIER} AS modifier, count(*) AS n FROM l GROUP BY 1",
     "patients_clean": r"""WITH p AS (SELECT *, trim(regexp_replace(patient_name, '\s+', ' ', 'g')) AS s FROM patient_df),
 q AS (SELECT *, lower(CASE WHEN s LIKE '%,%' THEN trim(regexp_extract(s, '^[^,]*,(.*)$', 1)) || ' ' || trim(regexp_extract(s, '^([^,]*),', 1)) ELSE s END) AS t FROM p)
 SELECT patient_id, array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name,
