@@ -87,3 +87,42 @@ def test_model_counts_against_brute_force(spark):
                 if what[i] < 3 and k in want_cells:
                     want.setdefault(k, np.zeros(3, int))[what[i]] += 1
     assert got == {k: tuple(v) for k, v in want.items()}
+
+
+def test_counts_are_of_the_context_itself(spark):
+    # so many contexts that hashes of 22 bits meet; contexts are told apart by their characters here
+    r = random.Random(4)
+    letters = [chr(c) for c in range(0x4E00, 0x5600)]
+    rows = [(i, "".join(r.choices(letters, k=200)), "zh", "a", "") for i in range(1500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(x.o, x.c): (x.more, x.line, x.stop) for x in T._model(df, "text", T._wanted(T._ends(df, "doc_id", "text", frozenset())), frozenset()).collect()}
+    texts = [t for _, t, *_ in rows]
+    final = {(o, t[-n:]): int(c) for t, cs in zip(texts, T.final_cells(texts)) for (o, n), c in zip(enumerate(T.ORDERS), cs)}
+    want = {}
+    for t in texts:
+        for o, n in enumerate(T.ORDERS):
+            for i in range(n, len(t)):
+                if (k := (o, t[i - n : i])) in final:
+                    want[o, final[k]] = want.get((o, final[k]), 0) + 1
+    assert got == {k: (n, 0, 0) for k, n in want.items()}
+
+
+def test_tally_holds_more_contexts_than_slots(monkeypatch):
+    monkeypatch.setattr(T, "SLOTS", 3)
+    r = np.random.default_rng(5)
+    keys = r.integers(-(2**63), 2**63, 40)
+    c, what = keys[r.integers(0, 40, 2000)], r.integers(0, 3, 2000).astype(np.int8)
+    tally, got = T.Tally(), {}
+    for i in range(0, 2000, 500):
+        tally.add(c[i : i + 500], what[i : i + 500])
+    for k, n in zip(*[np.concatenate(x) for x in zip(tally.sorted(), tally.slots())]):
+        got[int(k)] = got.get(int(k), 0) + n
+    assert {k: tuple(v) for k, v in got.items()} == {int(k): tuple(np.bincount(what[c == k], minlength=3)) for k in keys}
+
+
+def test_packed_and_plain_filters_let_the_same_places_pass():
+    r = np.random.default_rng(6)
+    f, c = r.random(2**15) < 0.7, r.integers(-(2**63), 2**63, 5000)
+    use = r.random(5000) < 0.5
+    at = T.passing(f, c, use)
+    assert 0 < len(at) < use.sum() and at.tolist() == T.passing(np.packbits(f, bitorder="little"), c, use).tolist()

@@ -4,8 +4,9 @@ The model reads the characters before a place backwards, in several orders, and
 before the end of a line or sentence, before a full stop, or before anything else, at all places inside all texts. The
 final context of every text, without white space, closing marks and broken characters behind it, is then weighed: the
 log-odds that the text goes on, against that it ends there, from the longest orders that were seen, with a prior for
-its language and source and for lengths at which the source piles up. Counts are kept by hash in tables of a fixed
-number of cells, so the model has a bounded size on any corpus, and only for contexts that end some text.
+its language and source and for lengths at which the source piles up. Only contexts that end some text are counted, by
+a 64-bit hash. Filters of a size derived from the number of such contexts let few others pass, and a join on the hashes
+drops these, so counts are those of the context itself whatever the size of the corpus.
 """
 
 import re
@@ -22,8 +23,11 @@ from wardline.session import cut_lineage
 
 #: Characters in a context, from the shortest.
 ORDERS = (2, 4, 6, 9, 13, 18)
-#: Cells of the table of one order, as a power of two.
-BITS = 22
+#: Bits of a filter for each context in it, probes for each context, and the largest filter as a power of two. They bear
+#: on how many foreign contexts reach the join that drops them, not on counts.
+FILTER_BITS, PROBES, MOST_BITS = 32, 4, 28
+#: Contexts of one order that a task counts in place, as a power of two; others are sorted.
+SLOTS = 16
 #: Customary closing lines: fixed values.
 CLOSING = re.compile(
     r"^\s*(\[[^\]\n]{1,40}\]|\*{2,}[^\n]{1,40}\*{2,}|-{2,}\s?[^\n]{1,40}|page \d+( of \d+)?|cc: ?[^\n]{1,40}|(electronically |digitally )?(signed|dictated|reviewed|authored|transcribed|verified|printed|scanned)( by| on)?[: ][^\n]{1,40})\s*$",
@@ -70,24 +74,21 @@ def last_lines(texts: list[str | None]) -> list[tuple[str | None, str | None]]:
     return out
 
 
-def multipliers() -> np.ndarray:
-    x, out = 0x9E3779B97F4A7C15, []
-    for _ in range(max(ORDERS)):
-        x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-        out.append((x >> 32) | 1)
-    return np.array(out, np.uint32)
+BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def cells(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(order, cell of the context that ends with each place)."""
-    h = np.zeros(len(codes), np.uint32)
-    for j, m in enumerate(multipliers()):
-        if j == 0:
-            h += codes * m
-        else:
-            h[j:] += codes[:-j] * m
-        if j + 1 in ORDERS:
-            yield ORDERS.index(j + 1), ((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
+    """(order, 64-bit hash of the context that ends with each place), from sums of powers of BASE modulo 2**64."""
+    up, down = (np.multiply.accumulate(np.full(len(codes), x, np.uint64)) for x in (BASE, pow(BASE, -1, 2**64)))
+    sums = np.cumsum(codes * down, dtype=np.uint64)
+    for o, n in enumerate(ORDERS):
+        h = sums.copy()
+        h[n:] -= sums[:-n]
+        h *= up
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(29)
+        yield o, h.view(np.int64)
 
 
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +102,10 @@ def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def final_cells(texts: list[str]) -> np.ndarray:
-    """The cell of the final context in each order, one row for each text."""
+    """The hash of the final context in each order, one row for each text."""
     ends = [t[-max(ORDERS) :] for t in texts]
     codes, last = codes_of(ends)
-    out = np.zeros((len(texts), len(ORDERS)), np.int32)
+    out = np.zeros((len(texts), len(ORDERS)), np.int64)
     for o, c in cells(codes):
         out[:, o] = c[last]
     return out
@@ -158,10 +159,10 @@ def _closing(documents: DataFrame, text: str) -> frozenset[str]:
 
 
 def _ends(documents: DataFrame, key: str, text: str, closing: frozenset[str]) -> DataFrame:
-    """key, lang, source, size measures and final cells of every text that isn't empty."""
-    kind = pa.struct([("chars", pa.int32()), ("bytes", pa.int32()), ("own", pa.int32()), ("own_bytes", pa.int32()), ("broken", pa.bool_()), ("marked", pa.bool_()), ("last", pa.string()), ("cells", pa.list_(pa.int32()))])
+    """key, lang, source, size measures and hashes of final contexts of every text that isn't empty."""
+    kind = pa.struct([("chars", pa.int32()), ("bytes", pa.int32()), ("own", pa.int32()), ("own_bytes", pa.int32()), ("broken", pa.bool_()), ("marked", pa.bool_()), ("last", pa.string()), ("cells", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<chars:int,bytes:int,own:int,own_bytes:int,broken:boolean,marked:boolean,last:string,cells:array<int>>")
+    @F.arrow_udf("struct<chars:int,bytes:int,own:int,own_bytes:int,broken:boolean,marked:boolean,last:string,cells:array<bigint>>")
     def ends(texts: pa.Array) -> pa.Array:
         ts = texts.to_pylist()
         own = [tail(t or "", closing) for t in ts]
@@ -175,37 +176,94 @@ def _ends(documents: DataFrame, key: str, text: str, closing: frozenset[str]) ->
     return d.select(key, "lang", "source", "e.*").filter("own > 0")
 
 
-def _wanted(ends: DataFrame) -> np.ndarray:
-    """Which cells some final context has: a bit for each cell and order, put together from bitmaps of a fixed size."""
-    x = ends.select(F.posexplode("cells").alias("o", "c")).select("o", (F.col("c").cast("bigint") + 1).alias("c"))
-    g = x.groupBy("o", F.expr("bitmap_bucket_number(c)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c))").alias("m"))
-    out = np.zeros((len(ORDERS), 2**BITS // 8), np.uint8)
-    for r in g.collect():  # at most 128 bitmaps of 4 kB an order
-        at = (r.b - 1) * 4096
-        out[r.o, at : at + len(r.m)] = np.frombuffer(r.m, np.uint8)
-    return out
+@dataclass(frozen=True)
+class Wanted:
+    """The final contexts: o and c of each once, and for each order a filter that all of them pass."""
+
+    keys: DataFrame
+    filters: list[np.ndarray]
 
 
-def _model(documents: DataFrame, text: str, wanted: np.ndarray, closing: frozenset[str]) -> DataFrame:
+def _wanted(ends: DataFrame) -> Wanted:
+    keys = ends.select(F.posexplode("cells").alias("o", "c")).distinct()
+    found = {r.o: r.n for r in keys.groupBy("o").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bits = [min(MOST_BITS, max(15, (FILTER_BITS * found.get(o, 0)).bit_length())) for o in range(len(ORDERS))]
+    mask = F.element_at(F.array(*[F.lit(2**b - 1).cast("bigint") for b in bits]), F.col("o") + 1)
+    a, b = F.col("c").bitwiseAND(mask), F.shiftrightunsigned("c", 32).bitwiseOR(F.lit(1))
+    x = keys.select("o", F.explode(F.array(*[(a + b * j).bitwiseAND(mask) + 1 for j in range(PROBES)])).alias("c"))
+    g = x.groupBy("o", F.expr("bitmap_bucket_number(c)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c))").alias("m"))
+    out = [np.zeros(2**b // 8, np.uint8) for b in bits]
+    for r in g.collect():  # at most 2 ** MOST_BITS bits an order
+        at = (r.b - 1) * 4096
+        out[r.o][at : at + len(r.m)] = np.frombuffer(r.m, np.uint8)
+    return Wanted(keys, out)
+
+
+def passing(bits: np.ndarray, c: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Places in use whose context passes the filter, which holds a bit or a truth value for each of its positions."""
+    packed = bits.dtype != bool
+    mask = np.int64(len(bits) * (8 if packed else 1) - 1)
+    has = lambda k: ((bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1).view(bool) if packed else bits[k]
+    at = np.flatnonzero(has(c & mask) & use)
+    for j in range(1, PROBES):
+        u = c[at]
+        step = (u.view(np.uint64) >> np.uint64(32)).view(np.int64) | 1
+        at = at[has((u + step * j) & mask)]
+    return at
+
+
+class Tally:
+    """Outcomes behind the contexts of one order: in slots of a fixed number, and sorted where a slot is another's."""
+
+    def __init__(self) -> None:
+        self.key, self.n, self.rest, self.size = np.zeros(2**SLOTS, np.int64), np.zeros(3 * 2**SLOTS, np.int64), [], 0
+
+    def add(self, c: np.ndarray, what: np.ndarray) -> None:
+        s = (c.view(np.uint64) >> np.uint64(64 - SLOTS)).view(np.int64)
+        free = self.key[s] == 0
+        self.key[s[free]] = c[free]
+        own = self.key[s] == c
+        self.n += np.bincount(s[own] * 3 + what[own], minlength=len(self.n))
+        if not own.all():
+            self.rest.append((c[~own], what[~own]))
+            self.size += len(self.rest[-1][0])
+
+    def sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        """What isn't in slots, which is forgotten."""
+        c, what = (np.concatenate(x) for x in zip(*self.rest)) if self.rest else (np.zeros(0, np.int64), np.zeros(0, np.int8))
+        c, at = np.unique(c, return_inverse=True)
+        self.rest, self.size = [], 0
+        return c, np.bincount(at * 3 + what, minlength=3 * len(c)).reshape(-1, 3)
+
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        n = self.n.reshape(-1, 3)
+        some = np.flatnonzero(n.any(1))
+        return self.key[some], n[some]
+
+
+def _model(documents: DataFrame, text: str, wanted: Wanted, closing: frozenset[str]) -> DataFrame:
     """o, c, more, line, stop: outcomes behind the wanted contexts, over all places of all texts.
 
     What was added behind a text is left out, lest a cut before it pass for the end of a line.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(np.packbits(np.unpackbits(wanted, axis=1, bitorder="little"), axis=1, bitorder="little"))  # 3 MB whatever the corpus
+    sent = documents.sparkSession.sparkContext.broadcast(wanted.filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = [np.unpackbits(w, bitorder="little").view(bool) for w in sent.value]
-        ids = [np.cumsum(w, dtype=np.int32) - 1 for w in want]
-        counts = [np.zeros((int(w.sum()), 3), np.int64) for w in want]
+        filters = [np.unpackbits(f, bitorder="little").view(bool) if len(f) <= 2**19 else f for f in sent.value]
+        tallies = [Tally() for _ in ORDERS]
 
-        def add(texts: list[str]) -> None:
+        def batch(o: int, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.full(len(c), o, np.int32)), pa.array(c), *(pa.array(np.ascontiguousarray(n[:, j])) for j in range(3))], names=["o", "c", "more", "line", "stop"])
+
+        def add(texts: list[str]) -> Iterator[pa.RecordBatch]:
             codes, _ = codes_of(texts)
             what = outcomes(codes)
             use = what < 3
             for o, c in cells(codes):
-                hit = use & want[o][c]
-                if len(counts[o]):
-                    counts[o] += np.bincount(ids[o][c[hit]] * 3 + what[hit], minlength=counts[o].size).reshape(-1, 3)
+                at = passing(filters[o], c, use)
+                tallies[o].add(c[at], what[at])
+                if tallies[o].size > 1_000_000:
+                    yield batch(o, *tallies[o].sorted())
 
         held, size = [], 0
         for b in batches:
@@ -213,18 +271,17 @@ def _model(documents: DataFrame, text: str, wanted: np.ndarray, closing: frozens
                 if t:
                     held.append(t := tail(t, closing)[0])
                     size += len(t)
-                    if size > 1_000_000:
-                        add(held)
+                    if size > 250_000:
+                        yield from add(held)
                         held, size = [], 0
         if held:
-            add(held)
-        for o, (w, k) in enumerate(zip(want, counts)):
-            some = np.flatnonzero(k.any(1))
-            at = np.flatnonzero(w)[some]
-            yield pa.record_batch([pa.array(np.full(len(some), o, np.int32)), pa.array(at.astype(np.int32)), *(pa.array(k[some, j]) for j in range(3))], names=["o", "c", "more", "line", "stop"])
-
-    part = documents.select(text).mapInArrow(run, "o int, c int, more bigint, line bigint, stop bigint")
-    return part.groupBy("o", "c").agg(*[F.sum(x).alias(x) for x in ("more", "line", "stop")])
+            yield from add(held)
+        for o, tally in enumerate(tallies):
+            yield batch(o, *tally.sorted())
+            yield batch(o, *tally.slots())
+
+    part = documents.select(text).mapInArrow(run, "o int, c bigint, more bigint, line bigint, stop bigint")
+    return part.groupBy("o", "c").agg(*[F.sum(x).alias(x) for x in ("more", "line", "stop")]).join(wanted.keys, ["o", "c"], "left_semi")
 
 
 def _piles(ends: DataFrame, rule: Rule) -> DataFrame:
