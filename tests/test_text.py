@@ -138,3 +138,11 @@ def test_modifiers_names_and_codes(spark):
     assert [tuple(r) for r in rows] == [("uptrended", ">", 4.5), ("unchanged", None, None), ("absent", None, None), ("downtrended", "<", 90.0), (None, ">=", 3.0), (None, None, None), (None, None, None), ("high", None, None)]
     names = spark.createDataFrame([("Bexock, Quinmond", "Male"), ("Lummond  Kashowan ", "m"), ("UNA ORN", "U"), (None, None)], "n string, s string").select(name_order(F.col("n")).alias("n"), sex_code(F.col("s")).alias("s")).collect()
     assert [tuple(r) for r in names] == [("Quinmond Bexock", "M"), ("Lummond Kashowan", "M"), ("Una Orn", None), (None, None)]
+
+
+def test_document_modifiers_read_every_line(spark, tmp_path):
+    from wardline.queries_text import document_modifiers
+
+    texts = ["Lactate rising\nPressors stable\r\nCreatinine improved\n[END OF NOTE]", "Fever worse", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.modifier: r.n for r in document_modifiers(spark, str(tmp_path)).collect()} == {"uptrended": 2, "unchanged": 1, "downtrended": 1, None: 2}

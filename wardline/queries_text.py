@@ -177,9 +177,9 @@ def arrival_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the last line of a note says of change."""
-    last = F.element_at(F.split("text", r"\n"), -1)
-    return _docs(spark, sf_dir).filter("text is not null").groupBy(modifier_of(last).alias("modifier")).agg(F.count(F.lit(1)).alias("n"))
+    """What the lines of all notes say of change: the number of lines by modifier, null for those that name none."""
+    lines = _docs(spark, sf_dir).select(F.explode(F.split("text", r"\r\n|\n|\r")).alias("line"))
+    return lines.groupBy(modifier_of(F.col("line")).alias("modifier")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def patients_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
