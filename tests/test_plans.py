@@ -161,6 +161,14 @@ def test_device_days(spark):
     assert [r.m for r in made.select(cohort.is_made(made.s).alias("m")).collect()] == [True, False, False]
 
 
+def test_device_days_of_long_stays(spark):
+    e = lambda p, s, t, a: (0, p, PUMP, None, None, True, s, t, False, a, a, None, None, None)
+    last = {"a": 3660, "b": 3661, "c": 2 * cohort.STRETCH}
+    rows = [x for p, n in last.items() for x in (e(p, True, False, 0), e(p, False, True, n))]
+    got = cohort.device_days(spark.createDataFrame(rows, EVENT)).collect()
+    assert sorted((r.patient_id, r.day_offset_start) for r in got) == [(p, day) for p, n in last.items() for day in range(n + 1)]
+
+
 def test_combinations_of_scope_are_all_planned(micro):
     relations, kinds = ["FROM", "UNTIL", "OVERLAPS"], [("INTERVAL", None), ("EVENT", "start"), ("EVENT", "stop"), ("EVENT", None), ("ODD", None)]
     for r, (k, e) in itertools.product(relations, kinds):

@@ -70,16 +70,22 @@ def trends(events: DataFrame, device: str = "left heart pump", tolerance: float
     )
 
 
-def device_days(events: DataFrame, device: str = "left heart pump", longest: int = 3660) -> DataFrame:
+#: Days that are written out from one array.
+STRETCH = 10_000
+
+
+def device_days(events: DataFrame, device: str = "left heart pump") -> DataFrame:
     """One active row for every day between the start and the stop of the device of each patient, marked as made.
 
     Columns: patient_id, normalized_term, day_offset_start, day_offset_end, is_active, source_entity. A patient without
-    a stop, or whose stop lies before the start or more than ``longest`` days after it, gets none.
+    a stop, or whose stop lies before the start, gets none.
     """
     e = events.filter(F.col("normalized_term") == device)
     span = e.groupBy("patient_id").agg(F.min(F.when(F.col("is_started"), F.col("day_offset_start"))).alias("a"), F.max(F.when(F.col("is_ended"), F.coalesce("day_offset_end", "day_offset_start"))).alias("b"))
-    span = span.filter((F.col("b") >= F.col("a")) & (F.col("b") - F.col("a") <= longest))
-    d = span.select("patient_id", F.explode(F.sequence("a", "b")).alias("day"))
+    span = span.filter(F.col("b") >= F.col("a")).select("patient_id", F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
+    # in stretches, so that no array of days is long
+    part = span.select("patient_id", "b", F.explode(F.sequence("a", "b", F.lit(STRETCH).cast("bigint"))).alias("from"))
+    d = part.select("patient_id", F.explode(F.sequence("from", F.least(F.col("from") + STRETCH - 1, F.col("b")))).alias("day")).withColumn("day", F.col("day").cast("int"))
     return d.select("patient_id", F.lit(device).alias("normalized_term"), F.col("day").alias("day_offset_start"), F.col("day").alias("day_offset_end"), F.lit(True).alias("is_active"), F.lit(PUMP_ENTRY).alias("source_entity"))
 
 
