@@ -94,3 +94,12 @@ def test_medians_and_starts():
     m, n = medians(seg, np.array([3.0, 1.0, np.nan, 5.0, 7.0, 2.0]), 4)
     assert m[0] == 2 and m[1] == 6 and np.isnan(m[2]) and m[3] == 2 and list(n) == [2, 2, 0, 1]
     assert list(starts(np.array([1, 1, 2]), np.array([5, 6, 6]))) == [0, 1, 2]
+
+
+def test_search_goes_on_until_nothing_is_left():
+    for seed in range(12):
+        r = np.random.default_rng(seed)
+        y = r.normal(0, 1, 1000) + np.where(r.random(1000) < 0.7, np.exp(np.abs(r.normal(0, 4, 1000))), 0)
+        of, n = np.zeros(1000, int), np.array([1000])
+        found, _ = spikes.Faults().candidates(of, y, n, np.zeros(1000, bool))
+        assert (spikes.Faults().candidates(of, y, n, found)[0] == found).all()

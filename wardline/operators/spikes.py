@@ -29,7 +29,6 @@ class Faults:
     least: int = 8
     run: int = 6
     steady: float = 0.5
-    rounds: int = 6
 
     def stuck(self, seg: np.ndarray, raw: np.ndarray, state: np.ndarray, n: np.ndarray, tix: np.ndarray) -> np.ndarray:
         """Readings in runs of equal recorded values in one unit, where both the series and its term otherwise change."""
@@ -51,51 +50,55 @@ class Faults:
 
     def candidates(self, seg: np.ndarray, y: np.ndarray, n: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phase-space thresholding; candidates and the robust spread of each series. bad: bridged from the start."""
+        found, spread = bad.copy(), np.full(len(n), np.nan)
+        rows, of, seg_ = np.arange(len(y)), np.arange(len(n)), seg
+        while len(rows):
+            new, spread[of] = self.search(seg_, y[rows], n[of], found[rows])
+            found[rows[new]] = True  # one reading at least for each series that goes on, so the search ends
+            on = np.bincount(seg_[new], minlength=len(of)) > 0
+            stay = on[seg_]
+            rows, of, seg_ = rows[stay], of[on], (np.cumsum(on) - 1)[seg_[stay]]
+        return found, spread
+
+    def search(self, seg: np.ndarray, y: np.ndarray, n: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One round: candidates besides those found, and the robust spread of each series."""
         k, m = len(n), len(y)
-        found = bad.copy()
-        spread = np.full(k, np.nan)
         at = np.arange(m)
         lim = np.sqrt(2 * np.log(np.maximum(n, 2)))
-        active = np.ones(k, bool)
-        for _ in range(self.rounds):
-            w = bridged(seg, y, found)
-            edge_l, edge_r = np.ones(m, bool), np.ones(m, bool)
-            edge_l[1:], edge_r[:-1] = seg[1:] != seg[:-1], seg[1:] != seg[:-1]
-            before, after = np.where(edge_l, at, at - 1), np.where(edge_r, at, at + 1)
-            d1 = (w[after] - w[before]) / 2
-            d2 = w[after] - 2 * w + w[before]
-            inner = ~(edge_l | edge_r)
-            step = np.where(edge_l, np.nan, np.abs(w - w[before]))
-            good = ~found
-            step[~(good & good[before])] = np.nan
-            med_step = series.medians(seg, step, k)[0]
-            spread = np.fmax(med_step / 0.954, 0)  # |difference| of two normal values has the median 0.954 sd
-            spread[~np.isfinite(spread)] = 0
-            u = w - np.where(np.isfinite(c := series.medians(seg, np.where(found, np.nan, w), k)[0]), c, 0)[seg]
-            su = 1.4826 * series.medians(seg, np.abs(u), k)[0]
-            s1 = 1.4826 * series.medians(seg, np.where(inner, np.abs(d1), np.nan), k)[0]
-            s2 = 1.4826 * series.medians(seg, np.where(inner, np.abs(d2), np.nan), k)[0]
-            low = np.maximum(1e-9, 1e-6 * np.abs(np.nan_to_num(c)))
-            su, s1, s2 = (np.maximum(np.nan_to_num(s), low) for s in (su, s1, s2))
-            uu = np.bincount(seg, u * u, k)
-            theta = np.arctan2(np.bincount(seg, np.where(inner, u * d2, 0), k), np.maximum(uu, 1e-300))
-            cos, sin = np.cos(theta), np.sin(theta)
-            a, b, d = lim * su, lim * s1, lim * s2
-            outside = (u / a[seg]) ** 2 + (d1 / b[seg]) ** 2 > 1
-            outside |= (d1 / b[seg]) ** 2 + (d2 / d[seg]) ** 2 > 1
-            # the ellipse of value and second difference is turned by theta
-            den = np.maximum(cos**4 - sin**4, 1e-12)
-            ax, bx = (a**2 * cos**2 - d**2 * sin**2) / den, (d**2 * cos**2 - a**2 * sin**2) / den
-            turn_u, turn_d = u * cos[seg] + d2 * sin[seg], d2 * cos[seg] - u * sin[seg]
-            fit = (ax > 0) & (bx > 0)
-            outside |= np.where(fit[seg], turn_u**2 / np.where(fit, ax, 1)[seg] + turn_d**2 / np.where(fit, bx, 1)[seg] > 1, (u / a[seg]) ** 2 + (d2 / d[seg]) ** 2 > 1)
-            # beside a spike stand good readings with large differences: only what is off the local level is a candidate
-            new = outside & ~found & active[seg] & inner & (np.abs(w - local_level(seg, w)) > self.far / 2 * spread[seg])
-            if not new.any():
-                break
-            active = np.bincount(seg[new], minlength=k) > 0
-            found |= new
-        return found, spread
+        w = bridged(seg, y, found)
+        edge_l, edge_r = np.ones(m, bool), np.ones(m, bool)
+        edge_l[1:], edge_r[:-1] = seg[1:] != seg[:-1], seg[1:] != seg[:-1]
+        before, after = np.where(edge_l, at, at - 1), np.where(edge_r, at, at + 1)
+        d1 = (w[after] - w[before]) / 2
+        d2 = w[after] - 2 * w + w[before]
+        inner = ~(edge_l | edge_r)
+        step = np.where(edge_l, np.nan, np.abs(w - w[before]))
+        good = ~found
+        step[~(good & good[before])] = np.nan
+        med_step = series.medians(seg, step, k)[0]
+        spread = np.fmax(med_step / 0.954, 0)  # |difference| of two normal values has the median 0.954 sd
+        spread[~np.isfinite(spread)] = 0
+        u = w - np.where(np.isfinite(c := series.medians(seg, np.where(found, np.nan, w), k)[0]), c, 0)[seg]
+        su = 1.4826 * series.medians(seg, np.abs(u), k)[0]
+        s1 = 1.4826 * series.medians(seg, np.where(inner, np.abs(d1), np.nan), k)[0]
+        s2 = 1.4826 * series.medians(seg, np.where(inner, np.abs(d2), np.nan), k)[0]
+        low = np.maximum(1e-9, 1e-6 * np.abs(np.nan_to_num(c)))
+        su, s1, s2 = (np.maximum(np.nan_to_num(s), low) for s in (su, s1, s2))
+        uu = np.bincount(seg, u * u, k)
+        theta = np.arctan2(np.bincount(seg, np.where(inner, u * d2, 0), k), np.maximum(uu, 1e-300))
+        cos, sin = np.cos(theta), np.sin(theta)
+        a, b, d = lim * su, lim * s1, lim * s2
+        outside = (u / a[seg]) ** 2 + (d1 / b[seg]) ** 2 > 1
+        outside |= (d1 / b[seg]) ** 2 + (d2 / d[seg]) ** 2 > 1
+        # the ellipse of value and second difference is turned by theta
+        den = np.maximum(cos**4 - sin**4, 1e-12)
+        ax, bx = (a**2 * cos**2 - d**2 * sin**2) / den, (d**2 * cos**2 - a**2 * sin**2) / den
+        turn_u, turn_d = u * cos[seg] + d2 * sin[seg], d2 * cos[seg] - u * sin[seg]
+        fit = (ax > 0) & (bx > 0)
+        outside |= np.where(fit[seg], turn_u**2 / np.where(fit, ax, 1)[seg] + turn_d**2 / np.where(fit, bx, 1)[seg] > 1, (u / a[seg]) ** 2 + (d2 / d[seg]) ** 2 > 1)
+        # beside a spike stand good readings with large differences: only what is off the local level is a candidate
+        new = outside & ~found & inner & (np.abs(w - local_level(seg, w)) > self.far / 2 * spread[seg])
+        return new, spread
 
     def spikes(self, seg: np.ndarray, tix: np.ndarray, y: np.ndarray, n: np.ndarray, bad: np.ndarray, unit: np.ndarray) -> np.ndarray:
         found, spread = self.candidates(seg, y, n, bad)
