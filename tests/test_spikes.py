@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 import pytest
 from wardline.operators import spikes
-from wardline.operators.series import medians, starts
+from wardline.operators.series import in_blocks, keyed, medians, starts
 
 EVENT = "event_id bigint, patient_id string, normalized_term string, value double, unit string, source_entity string, day_offset_start int, day_offset_end int, is_active boolean, is_started boolean, is_ended boolean, history boolean, charted_at timestamp, loaded_at timestamp"
 UNIT = "term string, unit_code string, factor double, shift double"
@@ -89,6 +89,59 @@ def test_hot_series_in_blocks(spark, seed):
     assert found(spark, rows_of(v)) == found(spark, rows_of(v), limit=120)
 
 
+@pytest.fixture(scope="module")
+def mixed():
+    """One hot series and many short ones, with faults of all kinds, copies, and one reading without any time."""
+    r, rows = np.random.default_rng(4), []
+    for p in range(40):
+        n = 900 if p == 0 else int(r.integers(4, 30))
+        v = noise(n, p, float(r.integers(60, 120)), float(r.integers(2, 6)))
+        for i in range(5, n - 3, 37):
+            v[i] += float(r.choice([-40, 60, 90]))
+        if n > 20:
+            v[10:17] = [v[9] + 1] * 7
+        rows += rows_of(v, f"p{p}", begin=1000 * p)
+    rows += [(e + 50_000, *x, late + dt.timedelta(days=3)) for e, *x, late in rows[::11]]
+    rows.append((99_999, "p0", "hr", 85.0, "bpm", "hr", None, None, True, False, False, False, None, None))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def whole(spark, mixed):
+    return found(spark, mixed)
+
+
+@pytest.mark.parametrize(("partitions", "aqe", "limit"), [(2, "true", 20_000), (64, "false", 20_000), (400, "true", 20_000), (3, "true", 40)])
+def test_verdicts_do_not_depend_on_partitions_and_blocks(spark, mixed, whole, partitions, aqe, limit):
+    assert {"spike", "stuck"} <= set(whole.values())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        assert found(spark, mixed, limit) == whole
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_blocks_hold_all_rows_once_and_near_the_limit(spark):
+    """Outlying times, one instant of many rows, null keys."""
+    rows = [(None, i, 0 if i < 3 else 10**15 + i // 2, i * 7919 % 10_007) for i in range(3000)] + [("b", 5000 + i, 77, i * 1_000_003) for i in range(700)] + [("c", 9000 + i, i, 0) for i in range(50)]
+    df = in_blocks(keyed(spark.createDataFrame(rows, "k string, row_id bigint, t bigint, chash bigint"), ["k"]), 100)
+    got = df.collect()
+    core = [r for r in got if r.core]
+    assert sorted(r.row_id for r in core) == sorted(r[1] for r in rows)
+    assert {r.k for r in core if r.hot} == {None, "b"} and {r.block for r in core if r.k == "c"} == {0}
+    for k in (None, "b"):
+        mine = sorted((r.t, r.chash >> 2, r.block) for r in core if r.k == k)
+        assert [b for *_, b in mine] == sorted(b for *_, b in mine)
+        size = np.bincount([b for *_, b in mine])
+        assert size.min() >= 70 and size.max() <= 230
+        for b in range(1, len(size)):
+            seen = [r for r in got if r.k == k and not r.core and r.block == b]
+            assert sum((r.t, r.chash >> 2) < min(x[:2] for x in mine if x[2] == b) for r in seen) >= 64
+
+
 def test_medians_and_starts():
     seg = np.array([0, 0, 0, 1, 1, 3])
     m, n = medians(seg, np.array([3.0, 1.0, np.nan, 5.0, 7.0, 2.0]), 4)

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.catalog import bounded_rows
@@ -149,14 +149,13 @@ def population(stated: DataFrame, terms: Terms) -> tuple[np.ndarray, np.ndarray]
         return mid, spread
     known = stated.filter(F.col("stated") >= 0).join(dim, "tix")
     x = F.col("value") * F.get("_f", F.col("stated")) + F.get("_s", F.col("stated"))
-    counts: dict[int, list[tuple[int, int]]] = {}
-    # log values lie within +-745, so there are at most 149,000 bins of 0.01 a term, whatever the number of rows
-    for r in known.select("tix", F.floor(F.ln(F.when(x > 0, x)) * 100).cast("int").alias("bin")).filter("bin is not null").groupBy("tix", "bin").count().collect():
-        counts.setdefault(r.tix, []).append((r.bin, r["count"]))
-    for i, pairs in counts.items():
-        bins, n = np.array(sorted(pairs)).T
-        q1, q2, q3 = ((bins[np.searchsorted(np.cumsum(n), q * n.sum())] + 0.5) / 100 for q in (0.25, 0.5, 0.75))
-        mid[i], spread[i] = q2, max(0.02, (q3 - q1) / 1.349)
+    bins = known.select("tix", F.floor(F.ln(F.when(x > 0, x)) * 100).cast("int").alias("bin")).filter("bin is not null").groupBy("tix", "bin").agg(F.count(F.lit(1)).alias("n"))
+    of = Window.partitionBy("tix")
+    bins = bins.withColumns({"cum": F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(of)})
+    at = lambda q: (F.min(F.when(F.col("cum") >= F.col("all") * F.lit(q), F.col("bin"))) + 0.5) / 100
+    # one row for each term reaches the driver
+    for r in bins.groupBy("tix").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3")).collect():
+        mid[r.tix], spread[r.tix] = r.q2, max(0.02, (r.q3 - r.q1) / 1.349)
     return mid, spread
 
 
@@ -275,27 +274,29 @@ def valued(df: DataFrame) -> DataFrame:
 
 
 def readings(event_df: DataFrame, terms: Terms, baselines_df: DataFrame | None = None, limit: int = 20_000) -> DataFrame:
-    """Rows with a value and a term that has units, from both tables in one layout, cut into blocks.
+    """Rows with a value and a term that has units, from both tables in one layout, keyed by series and cut into blocks.
 
-    Columns: source (0 event_df, 1 baselines_df), row_id, patient_id, tix, stated, value, t (microseconds),
-    chash (hash of the content, equal in copies), single (a baseline: outside the order of time), block, core.
-    Readings without charted_at are placed by loaded_at, else at 0.
+    Columns: s1 and s2 (the series of patient and term), source (0 event_df, 1 baselines_df), row_id, tix, stated, value,
+    t (microseconds), chash (hash of the content, equal in copies), single (a baseline: outside the order of time),
+    block, core, hot. Readings without charted_at are placed by loaded_at, else at 0. Baselines of a series in blocks
+    are read in its first one.
     """
     content = [c for c in ("value", "unit", "source_entity", "day_offset_start", "day_offset_end", "is_active", "is_started", "is_ended", "history") if c in event_df.columns]
-    ev = event_df.select(F.col("event_id").cast("bigint").alias("row_id"), "patient_id", "normalized_term", F.col("value").cast("double").alias("value"), "unit", "source_entity", instant(event_df).alias("t"), F.xxhash64(*content).alias("chash"))
-    ev = with_stated_unit(series.in_blocks(valued(ev), ["patient_id", "normalized_term"], "t", limit), terms)
-    ev = ev.select(F.lit(0).alias("source"), "row_id", "patient_id", "tix", "stated", "value", "t", "chash", F.lit(False).alias("single"), "block", "core")
+    keys = ["patient_id", "normalized_term"]
+    ev = valued(event_df.select(F.col("event_id").cast("bigint").alias("row_id"), *keys, F.col("value").cast("double").alias("value"), "unit", "source_entity", instant(event_df).alias("t"), F.xxhash64(*content).alias("chash")))
+    ev = with_stated_unit(series.in_blocks(series.keyed(ev, keys), limit), terms)
+    ev = ev.select("s1", "s2", F.lit(0).alias("source"), "row_id", "tix", "stated", "value", "t", "chash", F.lit(False).alias("single"), "block", "core", "hot")
     if baselines_df is None:
         return ev
-    base = with_stated_unit(valued(baselines_df), terms, text=None)
+    base = with_stated_unit(series.keyed(valued(baselines_df), keys), terms, text=None)
     zero = F.lit(0).cast("bigint")
-    base = base.select(F.lit(1).alias("source"), F.col("baseline_id").cast("bigint").alias("row_id"), "patient_id", "tix", "stated", F.col("value").cast("double").alias("value"), zero.alias("t"), zero.alias("chash"), F.lit(True).alias("single"), F.lit(0).alias("block"), F.lit(True).alias("core"))
+    base = base.select("s1", "s2", F.lit(1).alias("source"), F.col("baseline_id").cast("bigint").alias("row_id"), "tix", "stated", F.col("value").cast("double").alias("value"), zero.alias("t"), zero.alias("chash"), F.lit(True).alias("single"), F.lit(0).alias("block"), F.lit(True).alias("core"), F.lit(False).alias("hot"))
     return ev.unionByName(base)
 
 
 def level_source(event_df: DataFrame, terms: Terms) -> DataFrame:
-    """Readings whose unit column is readable: enough for the level of a term, and cheaper than their text."""
-    return with_stated_unit(valued(event_df.filter(F.col("unit").isNotNull())), terms, text=None)
+    """All readings with their stated units, for the level of each term."""
+    return with_stated_unit(valued(event_df), terms)
 
 
 def convert_units(event_df: DataFrame, unit_reference: DataFrame, term_reference: DataFrame | None = None, baselines_df: DataFrame | None = None, limit: int = 20_000) -> DataFrame:
@@ -303,20 +304,20 @@ def convert_units(event_df: DataFrame, unit_reference: DataFrame, term_reference
 
     decoded: the unit was not stated but decoded. other: the unit has a factor other than 1 or a shift other than 0.
     Null or NaN values, null terms and terms without units give no row; an unknown spelling counts as not stated; a
-    value that is in line in no unit is held to be in the common one. Series longer than ``limit`` are cut in time.
+    value that is in line in no unit is held to be in the common one. Series longer than ``limit`` are read in blocks.
     """
     terms = read_terms(unit_reference, term_reference)
     rows = readings(event_df, terms, baselines_df, limit)
     decode = Decoder(terms, *population(level_source(event_df, terms), terms))
     other = (terms.factor != 1) | (terms.shift != 0)
 
-    def run(x: dict[str, np.ndarray]) -> pa.Table:
-        state, y = decode(x, series.starts(x["s1"], x["s2"]))
+    def run(x: dict[str, np.ndarray]) -> list[pa.RecordBatch]:
+        state, y = decode(x, series.starts(x["s1"], x["s2"], x["block"]))
         core = x["core"]
         tix, s = x["tix"][core], state[core]
-        return pa.table({"source": pa.array(x["source"][core], pa.int32()), "row_id": x["row_id"][core], "tix": pa.array(tix, pa.int32()), "state": pa.array(s, pa.int32()), "decoded": (x["stated"][core] < 0), "other": other[tix, s], "value_common": y[core]})
+        return pa.table({"source": pa.array(x["source"][core], pa.int32()), "row_id": x["row_id"][core], "tix": pa.array(tix, pa.int32()), "state": pa.array(s, pa.int32()), "decoded": (x["stated"][core] < 0), "other": other[tix, s], "value_common": y[core]}).to_batches(max_chunksize=100_000)
 
-    out = series.over_series(rows.withColumn("term_", F.col("tix")), ["patient_id", "term_", "block"], ["single", "t", "chash", "row_id"], run, "source int, row_id bigint, tix int, state int, decoded boolean, other boolean, value_common double")
+    out = series.over_series(rows.drop("hot"), ["single", "t", "chash", "row_id"], run, "source int, row_id bigint, tix int, state int, decoded boolean, other boolean, value_common double")
     names = F.array(*[F.lit(n) for n in terms.names]) if terms.names else F.array().cast("array<string>")
     codes = F.array(*[F.array(*[F.lit(c) for c in cs]) for cs in terms.codes]) if terms.names else F.array().cast("array<array<string>>")
     return out.select(
