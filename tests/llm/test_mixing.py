@@ -20,6 +20,32 @@ def test_plan_reaches_targets_within_caps():
     assert r.total == 1000 + 200 + 80 and {s: round(r.total * w) for s, w in r.weights.items()} == {"a": 1000, "b": 200, "c": 80}
 
 
+def test_a_small_source_holds_nobody_back():
+    tokens, targets = {"a": 6000, "b": 3000, "c": 50}, {"a": 0.5, "b": 0.4, "c": 0.1}
+    p = M.plan(tokens, targets, {"a": 1, "b": 1, "c": 4}, total=4000)
+    assert 4000 * p.weights["c"] == pytest.approx(200) and 0 < p.exponents["c"] < 1 and p.exponent == p.exponents["c"]
+    assert p.exponents["a"] == p.exponents["b"] == 1.0 and p.weights["a"] / p.weights["b"] == pytest.approx(1.25)
+    assert M.powered({s: n / 9050 for s, n in tokens.items()}, p.exponent, targets)["c"] == pytest.approx(p.weights["c"])
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_weights_are_the_nearest_to_the_targets_within_caps(seed):
+    r = random.Random(seed)
+    tokens = {s: int(10 ** r.uniform(1, 5)) for s in "abcdef"[: r.randint(1, 6)]}
+    share = {s: r.random() + 0.01 for s in tokens}
+    targets = {s: x / sum(share.values()) for s, x in share.items()}
+    caps = {s: r.randint(1, 5) for s in tokens}
+    total = max(1, int(r.random() * 1.2 * sum(tokens.values())))
+    p = M.plan(tokens, targets, caps, total)
+    most = {s: caps[s] * n / p.total for s, n in tokens.items()}
+    assert sum(p.weights.values()) == pytest.approx(1) and all(w <= most[s] * (1 + 1e-6) for s, w in p.weights.items())
+    # sources below their cap stand to each other as their targets do, those at the cap have less than that
+    free = {s for s, w in p.weights.items() if w < most[s] * (1 - 1e-5)}
+    level = max((p.weights[s] / targets[s] for s in free), default=0)
+    for s in tokens:
+        assert p.weights[s] / targets[s] == pytest.approx(level, rel=1e-4) if s in free else not level or p.weights[s] / targets[s] <= level * (1 + 1e-4)
+
+
 def test_plan_by_entropy():
     tokens = {"a": 900, "b": 90, "c": 10}
     p = M.plan(tokens, None, {s: 1000 for s in tokens}, total=100, target_entropy=0.9)

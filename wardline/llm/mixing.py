@@ -40,13 +40,18 @@ def bisect(good, low: float, high: float, steps: int = 80) -> float:
 
 @dataclass(frozen=True)
 class Plan:
-    """What every source contributes: its weight, budget in tokens, and tokens at hand."""
+    """What every source contributes: its weight, the exponent that it was given, budget in tokens, and tokens at hand."""
 
     total: int
-    exponent: float
+    exponents: dict[str, float]
     weights: dict[str, float]
     tokens: dict[str, int]
 
+    @property
+    def exponent(self) -> float:
+        """The lowest exponent of all sources."""
+        return min(self.exponents.values(), default=1.0)
+
     def budget(self, source: str) -> int:
         return round(self.total * self.weights[source])
 
@@ -54,34 +59,58 @@ class Plan:
 def plan(tokens: dict[str, int], targets: dict[str, float] | None = None, repeats: dict[str, int] | None = None, total: int | None = None, target_entropy: float | None = None) -> Plan:
     """Weights for the sources that have tokens.
 
-    With targets, the exponent is the largest up to 1 at which no source must be used more often than its cap allows,
-    1 reaching the targets themselves; without total, the total is the largest at which 1 does. Without targets, shares
-    are exponentiated and the exponent bisected between 1 (in proportion) and 0 (evenly) to the target entropy and the
-    caps. A cap that is missing is 1. Targets of sources without tokens are spread over the others in proportion.
+    With targets, the exponent that leads from the token shares to the targets is bisected against the caps (tempered);
+    without total, the total is the largest at which the targets can be had. Without targets, shares are exponentiated
+    and the exponent bisected between 1 (in proportion) and 0 (evenly) to the target entropy and the caps. A cap that is
+    missing is 1. Targets of sources without tokens are spread over the others in proportion.
     """
     have = {s: n for s, n in tokens.items() if n > 0 and (targets is None or targets.get(s, 0) > 0)}
-    if not have:
-        return Plan(0, 1.0, {}, {})
-    cap = {s: have[s] * max(0, (repeats or {}).get(s, 1)) for s in have}
+    cap = {s: n * max(0, (repeats or {}).get(s, 1)) for s, n in have.items()}
     have = {s: n for s, n in have.items() if cap[s] > 0}
     if not have:
-        return Plan(0, 1.0, {}, {})
+        return Plan(0, {}, {}, {})
     shares = {s: n / sum(have.values()) for s, n in have.items()}
     if total is None:
         ideal = powered(shares, 1.0, targets)
         total = math.floor(min(cap[s] / w for s, w in ideal.items()))
     total = min(total, sum(cap[s] for s in have))
-    fits = lambda w: all(total * x <= cap[s] * (1 + 1e-9) for s, x in w.items())
     if targets is not None:
-        e = bisect(lambda e: fits(powered(shares, e, targets)), 0.0, 1.0)
-        w = powered(shares, e, targets)
-    else:
-        want = entropy(shares) if target_entropy is None else min(target_entropy, math.log(len(shares)))
-        e = 1 - bisect(lambda x: entropy(powered(shares, 1 - x)) <= want and fits(powered(shares, 1 - x)), 0.0, 1.0)
-        w = powered(shares, e)
-    if not fits(w):  # beyond what the path of the exponent can give: what a full source can't take goes to the others
+        w, e = tempered(shares, targets, {s: cap[s] / total for s in have})
+        return Plan(total, e, w, have)
+    fits = lambda w: all(total * x <= cap[s] * (1 + 1e-9) for s, x in w.items())
+    want = entropy(shares) if target_entropy is None else min(target_entropy, math.log(len(shares)))
+    e = 1 - bisect(lambda x: entropy(powered(shares, 1 - x)) <= want and fits(powered(shares, 1 - x)), 0.0, 1.0)
+    w = powered(shares, e)
+    if not fits(w):  # beyond what the exponent can give: what a full source can't take goes to the others
         w = poured(w, {s: cap[s] / total for s in w})
-    return Plan(total, e, w, have)
+    return Plan(total, dict.fromkeys(w, e), w, have)
+
+
+def tempered(shares: dict[str, float], targets: dict[str, float], most: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights and exponents of the sources, no weight above its ``most`` (which sum to 1 or more).
+
+    Weights in proportion to share^(1 - e) * target^e lead from the token shares to the targets. e is bisected to the
+    largest at which no source is above its limit. The sources that reach their limit there keep it, and the others
+    go on with what is left of the total, until they have their targets in proportion (e = 1). So one small source
+    holds nobody else back.
+    """
+    free, left = set(shares), 1.0
+    w: dict[str, float] = {}
+    exponents: dict[str, float] = {}
+    while free:
+        own = {s: shares[s] for s in free}
+        path = lambda e: {s: left * x for s, x in powered(own, e, {s: targets[s] for s in own}).items()}  # noqa: B023, E731
+        over = lambda e, room: {s for s, x in path(e).items() if x >= most[s] * room}  # noqa: B023, E731
+        fits = lambda e: not over(e, 1 + 1e-9)  # noqa: B023, E731
+        # where neither end of the path fits, what is above its limit at the targets is cut down to it
+        e = bisect(fits, 0.0, 1.0) if fits(0.0) else 1.0
+        full = set(free) if fits(1.0) else over(e, 1 - 1e-6) or set(free)
+        for s, x in path(e).items():
+            if s in full:
+                w[s], exponents[s] = min(x, most[s]), e
+        left -= sum(w[s] for s in full)
+        free -= full
+    return w, exponents
 
 
 def poured(w: dict[str, float], most: dict[str, float]) -> dict[str, float]:
@@ -134,20 +163,24 @@ def select(counts: DataFrame, p: Plan, documents: dict[str, int], block_tokens:
     return kept.select(key, "source", "pass", block.alias("block"), "position", "n_tokens")
 
 
-def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, block_tokens: int = 100_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(counts: DataFrame, targets: DataFrame, total: float | None = None, block_tokens: int = 100_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The uses, and a row for each source of targets: target_share, share, tokens, documents, most_uses, cap, at_hand, weight, exponent, total.
 
+    ``total`` is a number of tokens, or, below 1, a share of all tokens of the sources that targets names.
+
     counts holds doc_id, source and n_tokens; documents of a null source or one without a target are not used. Of a
     source that targets names twice the last row in order holds. A target without documents gets the share 0.
     """
     goal = {r.source: r for r in sorted(bounded_rows(targets.filter("source is not null").select("source", "target_share", "max_repeats"), MAX_SOURCES, "mix_targets"), key=lambda r: (r.source, r.target_share or 0))}
     counts = cut_lineage(counts.select("doc_id", "source", "n_tokens").filter("n_tokens is not null"))
     have = tokens_of(counts)
+    if total is not None and total < 1:
+        total = round(total * sum(t for s, (t, _) in have.items() if s in goal))
     p = plan({s: t for s, (t, _) in have.items()}, {s: r.target_share or 0.0 for s, r in goal.items()}, {s: 1 if r.max_repeats is None else r.max_repeats for s, r in goal.items()}, total)
     uses = select(counts, p, {s: n for s, (_, n) in have.items()}, block_tokens, seed)
     per = uses.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("k"))
     per = per.groupBy("source").agg(F.sum("t").cast("bigint").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("k").cast("int").alias("most_uses"))
-    rows = [(s, r.target_share, r.max_repeats, have.get(s, (0, 0))[0], p.weights.get(s, 0.0), p.exponent, p.total) for s, r in goal.items()]
+    rows = [(s, r.target_share, r.max_repeats, have.get(s, (0, 0))[0], p.weights.get(s, 0.0), p.exponents.get(s), p.total) for s, r in goal.items()]
     side = counts.sparkSession.createDataFrame(rows, "source string, target_share double, cap int, at_hand bigint, weight double, exponent double, total bigint")
     n = F.coalesce("tokens", F.lit(0).cast("bigint"))
     report = F.broadcast(side).join(per, "source", "left")

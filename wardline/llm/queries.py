@@ -9,6 +9,8 @@ from wardline.llm import canonical, mixing, packing, percentiles, splitting, tok
 ERROR = 0.01
 QS = [0.5, 0.9, 0.99]
 CAPACITY = 2048
+#: Total of the mixture, as a share of the tokens at hand: more than the scarcest sources can give their share of.
+MIXED = 0.5
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     counts = tokens.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixing.mix(counts, table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(counts, table(spark, sf_dir, "mix_targets"), MIXED)
 
 
 def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
