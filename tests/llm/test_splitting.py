@@ -85,6 +85,30 @@ def test_spans_and_relations(spark):
     assert all(r.spans is None and r.relations is None for r in nul)
 
 
+def test_relations_that_no_piece_holds_are_listed(spark):
+    base = "Sentence number one is here. " * 150
+    span = lambda i, a, b: (i, a, b, "C_ENT", None, base[a:b])
+    spans = [span("a", 5, 20), span("b", 4100, 4120), span("c", 30, 40), span("twice", 10, 20), span("twice", 4000, 4010), span("big", 100, 4200), span(None, 1, 2)]
+    rel = [("a", "b", "R", 0.5), ("a", "b", "R", 0.5), ("a", "c", "R", None), ("a", "gone", "R", None), ("a", "twice", "R", None), ("twice", "b", "R", None), ("a", "big", "R", None), (None, "a", "R", None)]
+    rows = split_oversized(spark.createDataFrame([("u", base, spans, rel, "", 1), ("v", base, spans, None, "", 1), ("w", base, None, rel, "", 1)], SCHEMA)).orderBy("uid", "piece").collect()
+    mine = [r for r in rows if r.uid == "u"]
+    assert {(x.head, x.child) for x in mine[0].relations_cut} == {("a", "b"), ("a", "big")} and len(mine[0].relations_cut) == 2
+    assert {(x.head, x.child) for r in mine for x in r.relations} == {("a", "c"), ("a", "twice"), ("twice", "b")}
+    assert all(r.relations_cut is None for r in rows if r.piece)
+    assert [r.relations_cut for r in rows if r.uid in "vw" and r.piece == 0] == [None, []]
+
+
+def test_cuts_keep_spans_whole():
+    text = ("word " * 199 + "end.\n") * 10
+    plain = pieces(text, 2000, 200)
+    spans = [(a - 400, a + 300) for _, a, _ in plain[1:]] + [(0, 6000)]
+    kept = pieces(text, 2000, 200, spans)
+    whole_in = lambda p, x, y: any(f <= x and y <= b for f, _, b in p)
+    assert not any(whole_in(plain, x, y) for x, y in spans) and all(whole_in(kept, x, y) for x, y in spans[:-1])
+    assert all(text[a - 1].isspace() for _, a, _ in kept[1:]) and max(b - f for f, _, b in kept) <= 2000
+    assert pieces(text, 2000, 200, [(a, a + 1700) for a in range(0, 8000, 300)])  # no boundary is free of spans
+
+
 def test_empty_table_and_missing_columns(spark):
     assert split_oversized(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [r.n_pieces for r in split_oversized(spark.createDataFrame([("a", "z" * 2001)], "uid string, text string")).collect()] == [2, 2]
