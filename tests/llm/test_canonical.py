@@ -82,3 +82,24 @@ def test_index_finds_all_near_words(seed):
         assert dict(index.near(w)) == {v: d for v, d in near.items() if d == least}
         v = r.choice(words)
         assert C.osa(w, v, 99) == brute(w, v)
+
+
+def test_long_words_are_repaired_too():
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefgh") for _ in range(n)) for n in (38, 39, 40, 41, 42, 43, 60, 90, 500)]
+    index = C.Index(words)
+    for w in words:
+        for cut in (w[:-1], w[1:] + "z", w[:5] + w[6:20] + w[21:], w[:7] + "xy" + w[7:], w[1] + w[0] + w[2:]):
+            assert index.near(cut)[0] == (w, brute(cut, w) if len(w) < 100 else C.osa(cut, w, 9))
+    assert index.near("q" * 100_000) == []
+
+
+def test_more_noise_words_than_fit_on_a_list(spark, monkeypatch):
+    from wardline.operators import skew
+
+    monkeypatch.setattr(skew, "MAX_BROADCAST", 3)
+    names = ["alpha", "bravo", "charlie", "delta", "echoes"]
+    noise = [f"zz{chr(97 + i)}{chr(97 + i)}zz" for i in range(12)]
+    aliases = spark.createDataFrame([(i, n, "term", n, "active", 1) for i, n in enumerate(names)], ALIAS)
+    got = {r.entry: r.canonical for r in C.map_entries(spark.createDataFrame([(f"{z} {n}",) for n in names for z in noise], "entry string"), aliases).collect()}
+    assert got == {f"{z} {n}": n for n in names for z in noise}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.catalog import bounded_rows
-from wardline.operators.skew import salted_join
+from wardline.operators.skew import looked_up, salted_join
 from wardline.session import cut_lineage
 
 UNMATCHED = "unmatched"
@@ -33,22 +33,26 @@ def words_of(text: Column) -> Column:
 
 
 def osa(a: str, b: str, most: int) -> int:
-    """Edit distance with swaps of neighbours; most + 1 where it exceeds most."""
+    """Edit distance with swaps of neighbours; most + 1 where it exceeds most. Only cells within ``most`` of the diagonal are worked out."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before: list[int] = []
-    row = list(range(len(b) + 1))
+    far = most + 1
+    before: dict[int, int] = {}
+    row = {j: j for j in range(min(len(b), most) + 1)}
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            new.append(d)
-        if min(new) > most:
-            return most + 1
+        low, high = max(0, i - most), min(len(b), i + most)
+        new = {}
+        for j in range(low, high + 1):
+            d = min(row.get(j, far) + 1, new.get(j - 1, far) + 1)
+            if j:
+                d = min(d, row.get(j - 1, far) + (x != b[j - 1]))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d = min(d, before.get(j - 2, far) + 1)
+            new[j] = d
+        if min(new.values()) > most:
+            return far
         before, row = row, new
-    return row[-1]
+    return min(row.get(len(b), far), far)
 
 
 def room(n: int) -> int:
@@ -65,22 +69,32 @@ def shorter(w: str, k: int) -> set[str]:
     return out
 
 
+#: Letters of a word whose deletions are listed; longer words are held against the list's words of like length one by one.
+LISTED = 40
+
+
 @dataclass
 class Index:
     """Words within two edits share what is left after two deletions each."""
 
     words: list[str]
     by: dict[str, list[int]] = field(default_factory=dict)
+    long: dict[int, list[int]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for i, w in enumerate(self.words):
-            for x in shorter(w, room(len(w))):
-                self.by.setdefault(x, []).append(i)
+            self.long.setdefault(len(w), []).append(i)
+            if len(w) <= LISTED + 2:
+                for x in shorter(w, room(len(w))):
+                    self.by.setdefault(x, []).append(i)
 
     def near(self, w: str) -> list[tuple[str, int]]:
         """Words of the list at the least distance that the length allows, with that distance."""
         best, out = room(len(w)), []
-        seen = {i for x in shorter(w, best) for i in self.by.get(x, ())} if len(w) <= 64 else set(self.by.get(w, ()))
+        if len(w) <= LISTED:
+            seen = {i for x in shorter(w, best) for i in self.by.get(x, ())}
+        else:
+            seen = {i for n in range(len(w) - best, len(w) + best + 1) for i in self.long.get(n, ())}
         for i in sorted(seen):
             v = self.words[i]
             d = osa(w, v, min(best, room(len(v))))
@@ -175,12 +189,11 @@ def repaired(words: DataFrame, vocabulary: Index, joined: Index) -> DataFrame:
     return words.select("word", "whole").mapInArrow(run, f"word string, whole boolean, near {NEAR}")
 
 
-def map_entries(entries: DataFrame, alias_to_canonical: DataFrame, entry: str = "entry", least: float = 0.76, partners: int = 20) -> DataFrame:
+def map_entries(entries: DataFrame, alias_to_canonical: DataFrame, entry: str = "entry", least: float = 0.76, partners: float = 0.1) -> DataFrame:
     """Distinct non-null entries with their canonical, or ``unmatched``, and the score: entry, n, canonical, score.
 
-    n counts the rows of an entry. An empty entry, or one of decoration only, is unmatched. Words over 64 letters are
-    only looked up as they are. A word unknown to the list that stands beside ``partners`` or more different words of
-    it (over all distinct entries) is decoration too.
+    n counts the rows of an entry. An empty entry, or one of decoration only, is unmatched. A word unknown to the list
+    that stands beside a share of ``partners`` or more of the list's words (over all distinct entries) is decoration too.
     """
     aliases = read_aliases(alias_to_canonical)
     vocabulary, joined = Index(sorted(aliases.idf)), Index(sorted(w for w in aliases.joined if len(w) >= 5))
@@ -191,20 +204,21 @@ def map_entries(entries: DataFrame, alias_to_canonical: DataFrame, entry: str =
     near = cut_lineage(repaired(words.select("word", "whole").distinct(), vocabulary, joined))
     found = words.join(near, ["word", "whole"])
     grouped = cut_lineage(found.groupBy("entry").agg(F.collect_list(F.struct("word", "whole", "near")).alias("ws"), F.min(F.when(~F.col("whole") & (F.size("near") > 0), F.col("near")[0]["v"])).alias("one")))
-    noise = grouped.select(F.explode("ws").alias("x"), "one").filter("not x.whole and size(x.near) = 0").groupBy("x.word").agg(F.count_distinct("one").alias("k")).filter(F.col("k") >= partners)
-    marks = {r.word for r in bounded_rows(noise.select("word"), MAX_ALIASES, "the list of decoration")}
+    unknown = grouped.select("entry", "one", F.explode(F.filter("ws", lambda x: ~x["whole"] & (F.size(x["near"]) == 0))).alias("x")).select("entry", "one", "x.word")
+    noise = unknown.groupBy("word").agg(F.count_distinct("one").alias("k")).filter(F.col("k") >= max(2.0, partners * len(aliases.idf))).select("word")
+    marks = looked_up(unknown.select("entry", "word"), cut_lineage(noise), ["word"], "left_semi", "entry").groupBy("entry").agg(F.collect_set("word").alias("marks"))
 
     @F.arrow_udf("struct<canonical:string,score:double>")
-    def rank(ws: pa.Array) -> pa.Array:
+    def rank(ws: pa.Array, marks: pa.Array) -> pa.Array:
         out = []
-        for e in ws.to_pylist():
-            plain = [(x["word"], [(y["v"], y["d"]) for y in x["near"]]) for x in e if not x["whole"] and not (x["word"] in marks and not x["near"])]
+        for e, noise in zip(ws.to_pylist(), marks.to_pylist()):
+            plain = [(x["word"], [(y["v"], y["d"]) for y in x["near"]]) for x in e if not x["whole"] and not (noise and x["word"] in noise)]
             whole = [(y["v"], y["d"]) for x in e if x["whole"] for y in x["near"]]
             c, s = aliases.rank(plain, whole, least)
             out.append({"canonical": c, "score": s})
         return pa.array(out, pa.struct([("canonical", pa.string()), ("score", pa.float64())]))
 
-    ranked = grouped.select("entry", rank("ws").alias("r")).select("entry", "r.*")
+    ranked = grouped.join(marks, "entry", "left").select("entry", rank("ws", "marks").alias("r")).select("entry", "r.*")
     return texts.join(ranked, "entry").select("entry", "n", "canonical", "score")
 
 

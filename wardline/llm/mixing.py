@@ -186,3 +186,22 @@ def mix(counts: DataFrame, targets: DataFrame, total: float | None = None, block
     report = F.broadcast(side).join(per, "source", "left")
     report = report.select("source", "target_share", F.coalesce(n / F.nullif(F.sum(n).over(Window.partitionBy()), F.lit(0)), F.lit(0.0)).alias("share"), n.alias("tokens"), F.coalesce("documents", F.lit(0).cast("bigint")).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "cap", "at_hand", "weight", "exponent", "total")
     return uses, report
+
+
+def evened(counts: DataFrame, repeats: DataFrame, evenness: float, total: float, block_tokens: int = 100_000, seed: int = 7) -> DataFrame:
+    """source, at_hand, natural, weight, exponent, tokens, most_uses of a mixture without targets.
+
+    Token shares are exponentiated; the exponent is the one at which the entropy of the weights is ``evenness`` of the
+    greatest (that of even shares), or the least below it that the repeats (source, max_repeats) allow. ``total`` is a
+    number of tokens, or below 1 a share of all.
+    """
+    most = {r.source: r.max_repeats for r in bounded_rows(repeats.filter("source is not null").select("source", "max_repeats"), MAX_SOURCES, "the list of sources")}
+    counts = cut_lineage(counts.select("doc_id", "source", "n_tokens").filter("n_tokens is not null"))
+    have = tokens_of(counts)
+    all_ = sum(t for t, _ in have.values())
+    p = plan({s: t for s, (t, _) in have.items()}, None, {s: 1 if most.get(s) is None else most[s] for s in have}, round(total * all_) if total < 1 else round(total), evenness * math.log(max(1, sum(t > 0 for t, _ in have.values()))))
+    per = select(counts, p, {s: n for s, (_, n) in have.items()}, block_tokens, seed).groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("k"))
+    per = per.groupBy("source").agg(F.sum("t").cast("bigint").alias("tokens"), F.max("k").cast("int").alias("most_uses"))
+    rows = [(s, t, t / max(all_, 1), p.weights.get(s, 0.0), p.exponents.get(s)) for s, (t, _) in have.items()]
+    side = counts.sparkSession.createDataFrame(rows, "source string, at_hand bigint, natural double, weight double, exponent double")
+    return F.broadcast(side).join(per, "source", "left").select("source", "at_hand", "natural", "weight", "exponent", F.coalesce("tokens", F.lit(0).cast("bigint")).alias("tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
