@@ -146,3 +146,31 @@ def test_document_modifiers_read_every_line(spark, tmp_path):
     texts = ["Lactate rising\nPressors stable\r\nCreatinine improved\n[END OF NOTE]", "Fever worse", "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.modifier: r.n for r in document_modifiers(spark, str(tmp_path)).collect()} == {"uptrended": 2, "unchanged": 1, "downtrended": 1, None: 2}
+
+
+def test_labels_and_islands_of_whole_rows_agree_with_the_joins(spark):
+    r = random.Random(8)
+    rows = []
+    for u in range(25):
+        t = "".join(r.choice(["ab ", "c", "d\n", " ", "\u00e9\u00a0", "xyz "]) for _ in range(r.randint(0, 120)))
+        spans = [(f"s{i}", (a := r.randint(-2, len(t))), a + r.randint(-1, 25), r.choice(["C_ENT", "TIME", "PLAN", "NEGATION", "TABLE"]), None, "") for i in range(r.randint(0, 12))]
+        rows.append((f"u{u}", t, spans or None, "clash"))
+    rows += [("null", None, None, ""), ("empty", "", [], "")]
+    df = spark.createDataFrame(rows, "uid string, text string, spans array<struct<id:string,start:int,end:int,label:string,confidence:double,text:string>>, i string")
+    by_row = T.labelled(df.select("uid", "text", "spans"))
+    lab = by_row.select("uid", F.inline("labels"))
+    by_join = T.bio_labels(T.tokens(df.select("uid", "text"), "uid"), T.exploded(df, "uid"), "uid")
+    row = lambda d: sorted(map(tuple, d.select("uid", "i", "start", "end", "label").collect()))
+    assert row(lab) == row(by_join) and len(row(lab)) > 300
+    one = by_row.select("uid", F.inline(T.joined_spans(F.col("labels"))))
+    two = T.bio_spans(by_join, "uid")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.select(*one.columns).collect()))
+
+
+def test_islands_with_confidence(spark):
+    words = [(0, 0, 2, "B-X", 0.9), (1, 3, 5, "I-X", 0.4), (2, 6, 8, "I-X", 0.8), (3, 9, 10, "O", 1.0), (4, 11, 12, "I-Y", 1.0), (5, 13, 14, "B-Y", 0.7), (6, 15, 16, "I-Y", 0.75)]
+    df = spark.createDataFrame([("u", words)], "uid string, w array<struct<i:int,start:int,end:int,label:string,confidence:double>>")
+    for least in (None, 0.5):
+        one = df.select("uid", F.inline(T.joined_spans(F.col("w"), least)))
+        two = T.bio_spans(df.select("uid", F.inline("w")), "uid", least)
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.select(*one.columns).collect()))

@@ -201,9 +201,9 @@ def summaries(rows: DataFrame) -> DataFrame:
 
 def group_count(rows: DataFrame) -> DataFrame:
     """One row: rows, patients, and groups that summaries would give; groups with a null flag or patient don't count."""
-    k = [F.col("patient_id"), F.col("normalized_term"), F.coalesce("unit", F.lit("_none_")), F.col("is_active"), F.col("is_started"), F.col("is_ended")]
-    full = reduce(lambda a, b: a & b, [c.isNotNull() for c in k])
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("patient_id").alias("n_patients"), F.count_distinct(F.when(full, F.struct(*k))).alias("n_groups"))
+    known = [c for c in SUMMARY_KEYS if c != "unit"]
+    group = F.when(~F.exists(F.array(*[F.col(c).isNull() for c in known]), lambda missing: missing), F.struct(*known, F.struct(F.col("unit").isNull().alias("none"), "unit").alias("of")))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("patient_id").alias("n_patients"), F.count_distinct(group).alias("n_groups"))
 
 
 def thinned(patients: DataFrame, n: int, seed: int = 11) -> DataFrame:

@@ -4,6 +4,10 @@ Tokens are runs of characters other than white space, with half-open character p
 stand in for ``tokens`` as long as it gives the same columns. Spans are structs of start, end, label, confidence, id.
 """
 
+import re
+from bisect import bisect_left, bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +23,24 @@ def exploded(df: DataFrame, key: str, spans: str = "spans") -> DataFrame:
     return df.select(key, F.posexplode(spans).alias("ord", "_s")).filter("_s is not null").select(key, "ord", "_s.*")
 
 
+#: White space of tokens: fixed values.
+_WORD = re.compile(r"[^ \t\n\r\f\v]+")
+
+
+def token_list(text: Column) -> Column:
+    """Array of (start, end, token), the words of a text in order with their places; null for null."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("token", pa.string())]))
+
+    @F.arrow_udf("array<struct<start:int,end:int,token:string>>")
+    def words(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else [{"start": m.start(), "end": m.end(), "token": m[0]} for m in _WORD.finditer(t)] for t in texts.to_pylist()], kind)
+
+    return words(text)
+
+
 def tokens(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, i, start, end, token: words in order with their places. Texts without words give no row."""
-    parts = df.select(key, F.posexplode(F.split(F.col(text), r"(?<=\s)(?=\S)")).alias("p", "part"))
-    at = F.sum(F.length("part")).over(Window.partitionBy(key).orderBy("p")) - F.length("part")
-    word = F.regexp_replace("part", r"^\s+|\s+$", "")
-    lead = F.length("part") - F.length(F.regexp_replace("part", r"^\s+", ""))
-    w = parts.select(key, "p", (at + lead).cast("int").alias("start"), word.alias("token")).filter("token <> ''")
-    i = F.row_number().over(Window.partitionBy(key).orderBy("p")) - 1
-    return w.select(key, i.alias("i"), "start", (F.col("start") + F.length("token")).alias("end"), "token")
+    """key, i, start, end, token: words in order with their places, without moving any row. Texts without words give no row."""
+    return df.select(key, F.posexplode(token_list(F.col(text))).alias("i", "_w")).select(key, "i", "_w.start", "_w.end", "_w.token")
 
 
 def windows(n: Column, size: int = 512, overlap: float = 0.25) -> Column:
@@ -106,6 +119,67 @@ def bio_spans(labels: DataFrame, key: str, least: float | None = None) -> DataFr
     return g.select(key, F.concat(F.lit("e"), n).alias("id"), "start", "end", "label", F.round("confidence", 3).alias("confidence"))
 
 
+def token_labels(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int]], list[str]]:
+    """Places of the words of a text and their labels, as bio_labels gives them."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    begin, end = ([p[j] for p in places] for j in (0, 1))
+    best: list[tuple[int, str] | None] = [None] * len(places)
+    for a, b, label in spans:
+        mine = (LABEL_PRIORITY.get(label, 0), label)
+        for i in range(bisect_right(end, a), bisect_left(begin, b)):
+            if best[i] is None or best[i] < mine:
+                best[i] = mine
+    return places, ["O" if x is None else ("I-" if i and best[i - 1] and best[i - 1][1] == x[1] else "B-") + x[1] for i, x in enumerate(best)]
+
+
+def islands(places: list[tuple[int, int]], labels: list[str], confidence: list[float] | None = None, least: float | None = None) -> list[dict]:
+    """Spans of one text from its labelled words, as bio_spans gives them."""
+    out: list[list] = []
+    before = None
+    for i, (a, b) in enumerate(places):
+        c = 1.0 if confidence is None else confidence[i]
+        label = labels[i] if least is None or c >= least else "O"
+        kind = label[2:] if label != "O" else None
+        if label.startswith("B-"):
+            out.append([a, b, kind, c])
+        elif kind is None or kind != before:
+            kind = None  # what an I after anything else begins is left out
+        else:
+            out[-1][1], out[-1][3] = max(out[-1][1], b), max(out[-1][3], c)
+        before = kind
+    return [{"id": f"e{i}", "start": a, "end": b, "label": k, "confidence": round(c, 3)} for i, (a, b, k, c) in enumerate(sorted(out, key=lambda x: x[:3]), 1)]
+
+
+def labelled(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """df with labels, an array of (i, start, end, label): the BIO labels of the words of each text, without moving any row."""
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
+
+    @F.arrow_udf("array<struct<i:int,start:int,end:int,label:string>>")
+    def of(texts: pa.Array, s: pa.Array, e: pa.Array, lab: pa.Array) -> pa.Array:
+        out = []
+        for t, a, b, c in zip(*(x.to_pylist() for x in (texts, s, e, lab))):
+            good = [(x, y, z) for x, y, z in zip(a or (), b or (), c or ()) if x is not None and y is not None and z is not None and y > x >= 0]
+            out.append(None if t is None else [{"i": i, "start": p[0], "end": p[1], "label": x} for i, (p, x) in enumerate(zip(*token_labels(t, good)))])
+        return pa.array(out, kind)
+
+    return df.withColumn("labels", of(F.col(text), *[F.transform(spans, lambda x: x[c]) for c in ("start", "end", "label")]))  # noqa: B023
+
+
+def joined_spans(labels: Column, least: float | None = None) -> Column:
+    """Array of (id, start, end, label, confidence) from an array of labelled words (i, start, end, label[, confidence])."""
+    kind = pa.list_(pa.struct([("id", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("confidence", pa.float64())]))
+
+    @F.arrow_udf("array<struct<id:string,start:int,end:int,label:string,confidence:double>>")
+    def of(lists: pa.Array) -> pa.Array:
+        out = []
+        for x in lists.to_pylist():
+            conf = [w["confidence"] for w in x] if x and "confidence" in x[0] else None
+            out.append(None if x is None else islands([(w["start"], w["end"]) for w in x], [w["label"] for w in x], conf, least))
+        return pa.array(out, kind)
+
+    return of(labels)
+
+
 def without_overlaps(spans: Column, min_length: int = 1) -> Column:
     """Array of spans, each kept unless it meets one of higher confidence that is kept; null confidence counts as 1.
 

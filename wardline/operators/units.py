@@ -295,8 +295,10 @@ def readings(event_df: DataFrame, terms: Terms, baselines_df: DataFrame | None =
 
 
 def level_source(event_df: DataFrame, terms: Terms) -> DataFrame:
-    """All readings with their stated units, for the level of each term."""
-    return with_stated_unit(valued(event_df), terms)
+    """All readings with their stated units, for the level of each term; texts are read only where the unit is missing."""
+    e, out = valued(event_df), ["tix", "stated", "value"]
+    written = with_stated_unit(e.filter(F.col("unit").isNotNull()), terms, text=None).select(*out)
+    return written.unionByName(with_stated_unit(e.filter(F.col("unit").isNull() & F.col("source_entity").isNotNull()), terms).select(*out))
 
 
 def convert_units(event_df: DataFrame, unit_reference: DataFrame, term_reference: DataFrame | None = None, baselines_df: DataFrame | None = None, limit: int = 20_000) -> DataFrame:

@@ -1,5 +1,6 @@
 """From an intent to candidates and a compact package of evidence, within budgets of data points."""
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -11,7 +12,7 @@ from wardline.functions.text import strict_number
 from wardline.operators import cohort
 from wardline.operators.concepts import Resolver, planned
 from wardline.plans.compiler import Catalog, candidates
-from wardline.plans.ir import IntentError, Leaf, Node, checked
+from wardline.plans.ir import IntentError, Leaf, Node, sense_problems, shape_problems
 from wardline.session import cut_lineage
 
 MAX_EVIDENCE, MAX_CONTEXT, FEW_PATIENTS = 120, 400, 10
@@ -143,24 +144,50 @@ def plain_text(header: dict[str, Any], patients: DataFrame) -> str:
     return f"{n} patient{'s' if n != 1 else ''} matched; {header['datapoints']} data points of evidence" + (f", {header['shown_candidates']} shown." if header["subsampled"] else ".")
 
 
-def run(question: str, catalog: Catalog, resolver: Resolver, intent_of: Callable[[str], dict[str, Any]], answer: Callable[[dict[str, Any], DataFrame], str] = plain_text, repairs: int = 1) -> Answer:
-    """A question in words to an answer: ``intent_of`` reads it as an intent, ``answer`` words the package.
+def read_intent(question: str, intent_of: Callable[[str], dict[str, Any]], repairs: int = 1, tries: int = 2, pause: float = 0.6) -> dict[str, Any]:
+    """The intent of a question, valid in form and sense.
 
-    An intent that isn't valid is asked for again, with its problems appended, up to ``repairs`` times. Statuses: ok,
-    intent parsing failed, some queried concepts not resolved, query failed, no patients matched query.
+    A reader that fails is asked again after a pause, up to ``tries`` times for each request. An intent whose form is
+    wrong is asked for again up to ``repairs`` times with its problems appended, and so is one that makes no sense; the
+    two are counted apart. IntentError if problems are left.
     """
+    left = {"form": repairs, "sense": repairs}
     asked = question
-    for attempt in range(repairs + 1):
-        raw = intent_of(asked)
-        if raw.get("parse_status") == "error":
-            return Answer("intent parsing failed", raw.get("error_message") or "")
+    while True:
+        raw = _patiently(intent_of, asked, tries, pause)
+        of = "form" if (found := shape_problems(raw)) else "sense"
+        found = found or sense_problems(raw)
+        if not found:
+            return raw
+        if not left[of]:
+            raise IntentError(found)
+        left[of] -= 1
+        time.sleep(pause)
+        asked = f"{question}\n\nThe {of} of the last reading was not valid: {'; '.join(found)}"
+
+
+def _patiently(f: Callable[[str], dict[str, Any]], asked: str, tries: int, pause: float) -> dict[str, Any]:
+    for attempt in range(1, tries + 1):
         try:
-            checked(raw)
-            break
-        except IntentError as e:
-            if attempt == repairs:
-                return Answer("intent parsing failed", str(e))
-            asked = f"{question}\n\nThe last reading was not valid: {e}"
+            return f(asked)
+        except Exception as e:  # whatever a user's reader may raise
+            if attempt == tries:
+                raise IntentError([f"the reader failed: {e}"]) from e
+            time.sleep(pause * attempt)
+    raise IntentError(["the reader was not asked"])
+
+
+def run(question: str, catalog: Catalog, resolver: Resolver, intent_of: Callable[[str], dict[str, Any]], answer: Callable[[dict[str, Any], DataFrame], str] = plain_text, repairs: int = 1, pause: float = 0.6) -> Answer:
+    """A question in words to an answer: ``intent_of`` reads it as an intent, ``answer`` words the package.
+
+    Statuses: ok, intent parsing failed, some queried concepts not resolved, query failed, no patients matched query.
+    """
+    try:
+        raw = read_intent(question, intent_of, repairs, pause=pause)
+    except IntentError as e:
+        return Answer("intent parsing failed", str(e))
+    if raw.get("parse_status") in ("error", "not_parsable"):
+        return Answer("intent parsing failed", raw.get("error_message") or "")
     plan = planned(raw, resolver)
     if plan.unresolved or plan.unresolved_custom:
         return Answer("some queried concepts not resolved", ", ".join(map(str, [*plan.unresolved, *plan.unresolved_custom])), plan)

@@ -1,8 +1,10 @@
 """Intents: boolean trees of clinical predicates with temporal scope, as immutable values, and their validation."""
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+#: Words of the JSON form of an intent, which stored intents use.
 RELATIONS = ("FROM", "UNTIL", "OVERLAPS", "HISTORY", "BASELINE")
 MODIFIERS = ("uptrended", "downtrended", "unchanged", "high", "low", "normal", "present", "absent")
 TRENDS = ("uptrended", "downtrended", "unchanged")
@@ -100,71 +102,103 @@ def from_json(raw: dict) -> "Node | Leaf":
     return Leaf(raw.get("resolved_term"), raw.get("resolved_class"), raw.get("op"), raw.get("value"), raw.get("unit"), raw.get("modifier"), raw.get("modifier_text"), temporal_from(raw.get("temporal")))
 
 
-def problems_of(raw: Any) -> list[str]:
-    """What keeps a parsed intent from being planned, by path; an empty list if nothing does."""
-    out: list[str] = []
+Rule = tuple[Callable[[Any], bool], str]
+
+
+def _one_of(*allowed: str | None) -> Rule:
+    return lambda v: (v is None or isinstance(v, str)) and v in allowed, "must be " + " or ".join("null" if x is None else x for x in allowed)
+
+
+_NUMBER: Rule = (lambda v: v is None or isinstance(v, (int, float)) and not isinstance(v, bool), "must be a number or null")
+_DAYS: Rule = (lambda v: v is None or isinstance(v, int) and not isinstance(v, bool), "must be a whole number or null")
+_TEXT: Rule = (lambda v: v is None or isinstance(v, str), "must be a text or null")
+_TEXTS: Rule = (lambda v: v is None or isinstance(v, list) and all(isinstance(x, str) for x in v), "must be a list of texts")
+_SCOPE: Rule = (lambda v: v is None or isinstance(v, list) and 1 <= len(v) <= 2, "must be null or hold one or two entries")
+
+#: What each field of the JSON form may hold. Objects inside are gone through by shape_problems.
+SHAPES: dict[str, dict[str, Rule]] = {
+    "intent": {"parse_status": _one_of("ok", "not_parsable", "error", None), "error_message": _TEXT, "logic": _one_of("AND", "OR", None), "patient_references": _TEXTS},
+    "clause": {"term": _TEXT, "resolved_term": _TEXT, "resolved_class": _TEXT, "op": _one_of(">", "<", None), "value": _NUMBER, "unit": _TEXT, "modifier": _one_of(*MODIFIERS, None), "modifier_text": _TEXT, "temporal": _SCOPE},
+    "scope": {"relation": _one_of(*RELATIONS)},
+    "anchor": {"form": _one_of("concept", "admission"), "term": _TEXT, "kind": _one_of("EVENT", "INTERVAL", None), "event": _one_of("start", "stop", None), "day_offset": _DAYS},
+}
+
+
+def _fields(raw: Any, what: str, at: str) -> list[str]:
     if not isinstance(raw, dict):
-        return ["intent: must be an object"]
-    if raw.get("parse_status") not in ("ok", "error", None):
-        out.append("parse_status: must be ok or error")
-    if (raw.get("logic") or "AND") not in ("AND", "OR"):
-        out.append("logic: must be AND or OR")
-    if not isinstance(raw.get("patient_references") or [], list):
-        out.append("patient_references: must be a list")
+        return [f"{at}: must be an object"]
+    return [f"{at}.{name}: {said}" for name, (good, said) in SHAPES[what].items() if not good(raw.get(name))]
+
+
+def shape_problems(raw: Any, at: str = "intent") -> list[str]:
+    """What in a parsed intent has the wrong form, by path. Clauses may be groups of clauses."""
+    out = _fields(raw, "intent", at)
+    if not isinstance(raw, dict) or raw.get("parse_status") in ("not_parsable", "error"):
+        return out
     clauses = raw.get("clauses")
     if not isinstance(clauses, list) or not clauses:
-        return [*out, "clauses: must be a list with at least one entry"]
+        return [*out, f"{at}.clauses: must be a list with at least one entry"]
     for i, c in enumerate(clauses):
-        at = f"clauses[{i}]"
-        if not isinstance(c, dict):
-            out.append(f"{at}: must be an object")
-            continue
-        if "clauses" in c:
-            out += [f"{at}.{p}" for p in problems_of(c)]
+        here = f"{at}.clauses[{i}]"
+        if isinstance(c, dict) and "clauses" in c:
+            out += shape_problems(c, here)
             continue
-        if not (c.get("term") or c.get("resolved_term") or c.get("resolved_class")):
-            out.append(f"{at}.term: missing")
-        if c.get("op") not in (None, ">", "<"):
-            out.append(f"{at}.op: must be >, < or null")
-        if (c.get("op") is None) != (c.get("value") is None):
-            out.append(f"{at}: op and value must be given together")
-        if c.get("value") is not None and (isinstance(c["value"], bool) or not isinstance(c["value"], (int, float))):
-            out.append(f"{at}.value: must be a number")
-        if c.get("modifier") not in (None, *MODIFIERS):
-            out.append(f"{at}.modifier: unknown")
-        out += _temporal_problems(c.get("temporal"), f"{at}.temporal")
+        found = _fields(c, "clause", here)
+        out += found
+        if isinstance(c, dict) and isinstance(c.get("temporal"), list):
+            for j, t in enumerate(c["temporal"]):
+                there = f"{here}.temporal[{j}]"
+                out += _fields(t, "scope", there)
+                if isinstance(t, dict) and t.get("anchor") is not None:
+                    out += _fields(t["anchor"], "anchor", f"{there}.anchor")
     return out
 
 
-def _temporal_problems(raw: Any, at: str) -> list[str]:
-    if raw is None:
+def sense_problems(raw: dict, at: str = "intent") -> list[str]:
+    """What in an intent of the right form does not fit together, by path."""
+    if raw.get("parse_status") in ("not_parsable", "error"):
         return []
-    if not isinstance(raw, list) or not 1 <= len(raw) <= 2:
-        return [f"{at}: must be null or hold one or two entries"]
     out = []
-    for i, t in enumerate(raw):
-        rel, a = t.get("relation"), t.get("anchor")
-        if rel not in RELATIONS:
-            out.append(f"{at}[{i}].relation: unknown")
-        if rel in ("HISTORY", "BASELINE"):
-            if len(raw) == 2:
-                out.append(f"{at}: {rel} must stand alone")
-            continue
-        if not isinstance(a, dict) or a.get("form") not in ("concept", "admission"):
-            out.append(f"{at}[{i}].anchor.form: must be concept or admission")
+    for i, c in enumerate(raw["clauses"]):
+        here = f"{at}.clauses[{i}]"
+        if "clauses" in c:
+            out += sense_problems(c, here)
             continue
-        if a["form"] == "concept":
-            if not a.get("term"):
-                out.append(f"{at}[{i}].anchor.term: missing")
-            if a.get("kind") not in ("EVENT", "INTERVAL"):
-                out.append(f"{at}[{i}].anchor.kind: must be EVENT or INTERVAL")
-            if a.get("kind") == "EVENT" and a.get("event") not in ("start", "stop"):
-                out.append(f"{at}[{i}].anchor.event: must be start or stop")
-    if len(raw) == 2 and [t.get("relation") for t in raw] != ["FROM", "UNTIL"]:
-        out.append(f"{at}: two entries must be FROM, then UNTIL")
+        if not any((c.get(k) or "").strip() for k in ("term", "resolved_term", "resolved_class")):
+            out.append(f"{here}.term: missing")
+        if (c.get("op") is None) != (c.get("value") is None):
+            out.append(f"{here}: op and value must be given together")
+        scopes = c.get("temporal") or []
+        if len(scopes) == 2 and [t["relation"] for t in scopes] != ["FROM", "UNTIL"]:
+            out.append(f"{here}.temporal: two entries must be FROM, then UNTIL")
+        for j, t in enumerate(scopes):
+            out += [f"{here}.temporal[{j}]{p}" for p in _scope_problems(t["relation"], t.get("anchor"))]
+    return out
+
+
+def _scope_problems(relation: str, a: dict | None) -> list[str]:
+    if relation in ("HISTORY", "BASELINE"):
+        return [f".anchor: {relation} has none"] if a is not None else []
+    if a is None:
+        return [f".anchor: {relation} needs one"]
+    given = {k for k in ("term", "kind", "event", "day_offset") if a.get(k) is not None}
+    if a["form"] == "admission":
+        return [f".anchor.{k}: must be null for an admission anchor" for k in sorted(given - {"day_offset"})]
+    out = [] if (a.get("term") or "").strip() else [".anchor.term: missing"]
+    if "kind" not in given:
+        return [*out, ".anchor.kind: must be EVENT or INTERVAL"]
+    if a["kind"] == "INTERVAL":
+        out += [f".anchor.{k}: must be null for an INTERVAL" for k in sorted(given & {"event", "day_offset"})]
+        if relation != "OVERLAPS":
+            out.append(".anchor.kind: an INTERVAL goes with OVERLAPS only")
     return out
 
 
+def problems_of(raw: Any) -> list[str]:
+    """What keeps a parsed intent from being planned, by path; an empty list if nothing does."""
+    return shape_problems(raw) or sense_problems(raw)
+
+
 def checked(raw: Any) -> "Node | Leaf":
     if p := problems_of(raw):
         raise IntentError(p)

@@ -19,7 +19,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.tokens(_training(spark, sf_dir).select("uid", "text"), "uid").groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("last_end"), F.sum(F.length("token")).alias("letters"))
+    w = _training(spark, sf_dir).select("uid", text.token_list(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    return w.select("uid", F.size("w").cast("bigint").alias("n"), F.element_at("w", -1)["end"].alias("last_end"), F.aggregate("w", F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x["token"])).alias("letters"))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,14 +47,13 @@ def span_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bio_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _training(spark, sf_dir)
-    return text.bio_labels(text.tokens(t.select("uid", "text"), "uid"), text.exploded(t, "uid"), "uid").select("uid", "i", "label")
+    t = text.labelled(_training(spark, sf_dir).select("uid", "text", "spans"))
+    return t.select("uid", F.inline("labels")).select("uid", "i", "label")
 
 
 def bio_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _training(spark, sf_dir)
-    labels = text.bio_labels(text.tokens(t.select("uid", "text"), "uid"), text.exploded(t, "uid"), "uid")
-    return text.bio_spans(labels, "uid").select("uid", "id", "start", "end", "label")
+    t = text.labelled(_training(spark, sf_dir).select("uid", "text", "spans"))
+    return t.select("uid", F.inline(text.joined_spans(F.col("labels")))).select("uid", "id", "start", "end", "label")
 
 
 def span_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,10 +210,51 @@ _PAIRS = f"""
 s AS ({_SPANS}), a(x, y, label) AS (VALUES ('C_ENT', 'TIME', 'TIME_RELATION'), ('TABLE', 'TIME', 'TIME_RELATION'), ('C_ENT', 'NEGATION', 'NEGATION_RELATION')),
 pairs AS (SELECT h.uid, h.id AS head, c.id AS child, a.label, abs(h.start - c.start) AS distance FROM s h JOIN a ON a.x = h.label JOIN s c ON c.uid = h.uid AND c.label = a.y AND c.id <> h.id WHERE abs(h.start - c.start) <= 400)"""
 
+#: Words of each text with their places.
+_TOKENS = r"""c AS (SELECT uid, regexp_extract_all(text, '(?s).') AS ch FROM training_data WHERE text <> ''),
+f AS (SELECT uid, ch, [NOT regexp_full_match(x, '\s') FOR x IN ch] AS ink FROM c),
+p AS (SELECT uid, ch, list_filter(range(1, len(ch) + 1), lambda i: ink[i] AND (i = 1 OR NOT ink[i - 1])) AS a, list_filter(range(1, len(ch) + 1), lambda i: ink[i] AND (i = len(ch) OR NOT ink[i + 1])) AS b FROM f),
+tok AS (SELECT uid, CAST(unnest(range(0, len(a))) AS INTEGER) AS i, CAST(unnest(a) - 1 AS INTEGER) AS s, CAST(unnest(b) AS INTEGER) AS e FROM p)"""
+_LABELS = f"""{_TOKENS},
+sp AS ({_SPANS}), met AS (SELECT t.uid, t.i, t.s, t.e, max({{'r': CASE sp.label WHEN 'PLAN' THEN 3 WHEN 'TIME' THEN 2 WHEN 'C_ENT' THEN 1 ELSE 0 END, 'l': sp.label}}).l AS l
+  FROM tok t LEFT JOIN sp ON sp.uid = t.uid AND sp."end" > t.s AND sp.start < t.e AND sp."end" > sp.start AND sp.start >= 0 AND sp.label IS NOT NULL GROUP BY ALL),
+lab AS (SELECT *, CASE WHEN l IS NULL THEN 'O' WHEN lag(l) OVER (PARTITION BY uid ORDER BY i) IS NOT DISTINCT FROM l THEN 'I-' || l ELSE 'B-' || l END AS label FROM met)"""
+#: Spans that keep free of better ones, by going through them in order.
+_FREE = f"""ord_ AS (SELECT uid, id, start, "end" AS e, label, confidence, row_number() OVER (PARTITION BY uid ORDER BY coalesce(confidence, 1) DESC, start, "end", id) AS rn FROM ({_SPANS}) z WHERE "end" - start >= 1),
+go AS (SELECT uid, rn, [{{'a': start, 'b': e}}] AS kept, true AS ok FROM ord_ WHERE rn = 1
+  UNION ALL SELECT o.uid, o.rn, CASE WHEN len(list_filter(kept, lambda k: k.a < o.e AND k.b > o.start)) = 0 THEN list_append(kept, {{'a': o.start, 'b': o.e}}) ELSE kept END, len(list_filter(kept, lambda k: k.a < o.e AND k.b > o.start)) = 0
+  FROM go JOIN ord_ o ON o.uid = go.uid AND o.rn = go.rn + 1),
+free AS (SELECT o.* FROM ord_ o JOIN go ON go.uid = o.uid AND go.rn = o.rn AND ok)"""
+
 _MODIFIER = "CASE " + " ".join(f"WHEN regexp_matches(line, '(?i)({words})') THEN '{name}'" for name, words in MODIFIER_WORDS) + " END"
 
 SQL = {
-    "document_modifiers": f"WITH l AS (SELECT string_split(text, chr(10))[-1] AS line FROM documents WHERE text IS NOT NULL) SELECT {_MODIFIER} AS modifier, count(*) AS n FROM l GROUP BY 1",
+    "bio_labels": f"WITH {_LABELS} SELECT uid, i, label FROM lab",
+    "bio_islands": f"""WITH {_LABELS}, g AS (SELECT *, sum(CASE WHEN starts_with(label, 'I-') THEN 0 ELSE 1 END) OVER (PARTITION BY uid ORDER BY i) AS g FROM lab),
+n AS (SELECT uid, min(s) AS start, max(e) AS "end", max(l) AS label FROM g WHERE l IS NOT NULL GROUP BY uid, g)
+SELECT uid, 'e' || row_number() OVER (PARTITION BY uid ORDER BY start, "end", label) AS id, start, "end", label FROM n""",
+    "span_chunks": f"""WITH {_windows(128, 96)}, {_TOKENS}, sp AS ({_SPANS}),
+ch2 AS (SELECT w.uid, w.chunk, x.s AS f, y.e AS t FROM w JOIN tok x ON x.uid = w.uid AND x.i = w.first JOIN tok y ON y.uid = w.uid AND y.i = w.last - 1)
+SELECT sp.uid, chunk, ord, CAST(greatest(start, f) - f AS INTEGER) AS start, CAST(least("end", t) - f AS INTEGER) AS "end", label FROM ch2 JOIN sp ON sp.uid = ch2.uid AND sp."end" > f AND sp.start < t AND sp."end" > sp.start""",
+    "span_nms": f"""WITH RECURSIVE {_FREE} SELECT uid, id, start, e AS "end", label, confidence FROM free""",
+    "tagged_texts": f"""WITH RECURSIVE {_FREE}, x AS (SELECT f.*, text, coalesce(lag(e) OVER (PARTITION BY f.uid ORDER BY start), 0) AS before FROM free f JOIN training_data t ON t.uid = f.uid),
+h AS (SELECT uid, max(e) AS z, string_agg(substring(text, before + 1, start - before) || '<' || lower(label) || ' id="' || id || '">' || substring(text, start + 1, e - start) || '</' || lower(label) || '>', '' ORDER BY start) AS head FROM x GROUP BY uid)
+SELECT t.uid, CASE WHEN spans IS NULL THEN NULL WHEN head IS NULL THEN text ELSE head || substring(text, z + 1) END AS tagged FROM training_data t LEFT JOIN h ON h.uid = t.uid""",
+    "pair_texts": f"""WITH s AS (SELECT uid, id, min({{'a': start, 'b': "end"}}) AS p FROM ({_SPANS}) z GROUP BY ALL),
+r AS (SELECT r.uid, r.ord, t.text, h.p.a AS ha, h.p.b AS hb, c.p.a AS ca, c.p.b AS cb FROM ({_RELS}) r JOIN s h ON h.uid = r.uid AND h.id = r.head JOIN s c ON c.uid = r.uid AND c.id = r.child JOIN training_data t ON t.uid = r.uid WHERE h.p.b <= c.p.a OR c.p.b <= h.p.a),
+m AS (SELECT uid, ord, CASE WHEN ha <= ca THEN substring(text, 1, ha) || '<HEAD>' || substring(text, ha + 1, hb - ha) || '</HEAD>' || substring(text, hb + 1, ca - hb) || '<CHILD>' || substring(text, ca + 1, cb - ca) || '</CHILD>' || substring(text, cb + 1)
+  ELSE substring(text, 1, ca) || '<CHILD>' || substring(text, ca + 1, cb - ca) || '</CHILD>' || substring(text, cb + 1, ha - cb) || '<HEAD>' || substring(text, ha + 1, hb - ha) || '</HEAD>' || substring(text, hb + 1) END AS m FROM r)
+SELECT uid, ord, CAST(length(m) AS INTEGER) AS n, md5(m) AS md5 FROM m""",
+    "note_day_offsets": r"""WITH w AS (SELECT doc_id, CAST(admitted_at AS DATE) AS a, unnest(regexp_extract_all(text, '(?i)\b((?:hospital day|day|HD) ?#?[0-9]{1,3}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}(?:/[0-9]{2,4})?)\b', 1)) AS x
+  FROM documents d JOIN patient_df p ON p.patient_id = d.patient_id),
+v AS (SELECT *, TRY_CAST(regexp_extract(x, '(?i)^(?:hospital day|day|HD) ?#?([0-9]+)$', 1) AS INTEGER) AS n, CASE WHEN regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(x AS DATE) END AS iso,
+  TRY_CAST(regexp_extract(x, '^([0-9]{1,2})/', 1) AS INTEGER) AS m, TRY_CAST(regexp_extract(x, '^[0-9]{1,2}/([0-9]{1,2})', 1) AS INTEGER) AS d, TRY_CAST(regexp_extract(x, '^[0-9]{1,2}/[0-9]{1,2}/([0-9]{2,4})$', 1) AS INTEGER) AS y FROM w),
+u AS (SELECT *, CASE WHEN y < 100 THEN y + 2000 ELSE y END AS yy, [year(a) - 1, year(a), year(a) + 1] AS near FROM v),
+z AS (SELECT doc_id, a, n, coalesce(iso, CASE WHEN yy IS NOT NULL THEN TRY_CAST(printf('%04d-%02d-%02d', yy, m, d) AS DATE) WHEN m IS NOT NULL THEN
+  list_sort(list_filter([{'far': abs(TRY_CAST(printf('%04d-%02d-%02d', k, m, d) AS DATE) - a), 'z': TRY_CAST(printf('%04d-%02d-%02d', k, m, d) AS DATE)} FOR k IN near], lambda q: q.z IS NOT NULL))[1].z END) AS t FROM u),
+o AS (SELECT doc_id, CASE WHEN n IS NOT NULL THEN n - 1 ELSE t - a END AS day FROM z)
+SELECT doc_id, count(*) AS n, CAST(min(day) AS INTEGER) AS first_day, CAST(max(day) AS INTEGER) AS last_day FROM o WHERE day IS NOT NULL GROUP BY 1""",
+    "document_modifiers": f"WITH l AS (SELECT unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS line FROM documents WHERE text IS NOT NULL) SELECT {_MODIFIER} AS modifier, count(*) AS n FROM l GROUP BY 1",
     "patients_clean": r"""WITH p AS (SELECT *, trim(regexp_replace(patient_name, '\s+', ' ', 'g')) AS s FROM patient_df),
 q AS (SELECT *, lower(CASE WHEN s LIKE '%,%' THEN trim(regexp_extract(s, '^[^,]*,(.*)$', 1)) || ' ' || trim(regexp_extract(s, '^([^,]*),', 1)) ELSE s END) AS t FROM p)
 SELECT patient_id, array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name,
