@@ -4,6 +4,7 @@ import random
 import pytest
 from wardline.operators import cohort
 from wardline.plans.compiler import Catalog, active, candidates, candidates_by_joins, trend_anchors, window
+from wardline.plans.evidence import read_intent
 from wardline.plans.ir import Anchor, IntentError, Leaf, Node, Temporal, checked, from_json, problems_of
 
 PUMP = "left heart pump"
@@ -114,13 +115,21 @@ def test_validation():
     bad = [
         None, {"clauses": []}, {**good, "logic": "XOR"}, {**good, "clauses": [{"term": ""}]}, {**good, "clauses": [{"term": "x", "op": ">="}]}, {**good, "clauses": [{"term": "x", "op": ">"}]}, {**good, "clauses": [{"term": "x", "modifier": "odd"}]},
         {**good, "clauses": [{"term": "x", "op": "<", "value": "5"}]}, {**good, "clauses": [{"term": "x", "temporal": []}]}, {**good, "clauses": [{"term": "x", "temporal": [{"relation": "NEAR"}]}]}, {**good, "clauses": [7]},
-        {**good, "clauses": [{"term": "x", "temporal": [{"relation": "FROM", "anchor": {"form": "concept", "term": "y", "kind": "EVENT"}}]}]},
+        {**good, "clauses": [{"term": "x", "temporal": [{"relation": "FROM", "anchor": {"form": "concept", "term": "y", "kind": "EVENT", "event": "end"}}]}]}, {**good, "clauses": [{"term": "x", "temporal": ["FROM"]}]},
+        {**good, "clauses": [{"term": "x", "temporal": [{"relation": "FROM", "anchor": {"form": "concept", "term": "y", "kind": "INTERVAL"}}]}]}, {**good, "clauses": [{"term": "x", "temporal": [{"relation": "OVERLAPS", "anchor": {"form": "concept", "term": "y", "kind": "INTERVAL", "day_offset": 1}}]}]},
+        {**good, "clauses": [{"term": "x", "temporal": [{"relation": "FROM", "anchor": {"form": "admission", "term": "y", "day_offset": 1}}]}]}, {**good, "clauses": [{"term": "x", "temporal": [{"relation": "BASELINE", "anchor": {"form": "admission"}}]}]},
+        {**good, "clauses": [{"term": "x", "temporal": [{"relation": "FROM", "anchor": None}]}]}, {**good, "clauses": [{"term": "x", "temporal": [{"relation": "FROM", "anchor": {"form": "concept", "kind": "EVENT", "term": " "}}]}]}, {**good, "clauses": [{"term": "x", "modifier_text": 5}]},
         {**good, "clauses": [{"term": "x", "temporal": [{"relation": "HISTORY"}, {"relation": "FROM", "anchor": {"form": "admission"}}]}]},
     ]
     for b in bad:
         assert problems_of(b)
         with pytest.raises(IntentError):
             checked(b)
+    # an event without a kind of change is allowed and stands for the admission day; an intent that can't be read has no clauses
+    loose = {**good, "clauses": [{"term": "x", "temporal": [{"relation": "FROM", "anchor": {"form": "concept", "term": "y", "kind": "EVENT", "event": None}}]}]}
+    assert problems_of(loose) == [] and window(checked(loose).children[0].temporal).low.day == 0
+    assert problems_of({"parse_status": "not_parsable", "error_message": "no question"}) == []
+    assert problems_of({**good, "clauses": [{"term": "x", "temporal": [{"relation": "OVERLAPS", "anchor": {"form": "concept", "term": "y", "kind": "INTERVAL"}}]}]}) == []
 
 
 def test_evidence(micro):
@@ -173,3 +182,28 @@ def test_combinations_of_scope_are_all_planned(micro):
     relations, kinds = ["FROM", "UNTIL", "OVERLAPS"], [("INTERVAL", None), ("EVENT", "start"), ("EVENT", "stop"), ("EVENT", None), ("ODD", None)]
     for r, (k, e) in itertools.product(relations, kinds):
         who(micro, Leaf("lactate", temporal=on(r, k, e)))
+
+
+def test_repairs_of_form_and_sense_are_counted_apart():
+    good = {"parse_status": "ok", "logic": "AND", "clauses": [{"term": "lactate"}]}
+    form, sense = {"clauses": 5}, {**good, "clauses": [{"term": "lactate", "op": ">"}]}
+    asked = []
+
+    def reader(*answers):
+        it = iter(answers)
+
+        def read(q):
+            asked.append(q)
+            x = next(it)
+            if isinstance(x, Exception):
+                raise x
+            return x
+
+        return read
+
+    assert read_intent("q", reader(form, sense, good), pause=0) == good
+    assert asked[0] == "q" and "The form of" in asked[1] and "The sense of" in asked[2]
+    assert read_intent("q", reader(OSError("busy"), good), pause=0) == good
+    for answers in ((form, form), (sense, sense), (form, sense, form), (OSError("down"), OSError("down"))):
+        with pytest.raises(IntentError):
+            read_intent("q", reader(*answers), pause=0)

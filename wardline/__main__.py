@@ -7,9 +7,10 @@ header of the evidence and the first patients with their evidence.
 
 import argparse
 import json
-import os
 import sys
 
+from pyspark.errors import AnalysisException
+
 from wardline.catalog import table
 from wardline.operators.cohort import trends
 from wardline.operators.concepts import Resolver, read_customs
@@ -28,7 +29,12 @@ def main(argv: list[str]) -> int:
     spark = local_session(app="wardline")
     t = lambda n: table(spark, a.tables, n)
     events, class_map = t("event_df"), active(t("term_concept_class_map_df"))
-    made = t("trends_df") if os.path.exists(f"{a.tables}/trends_df.parquet") else trends(events)
+    try:
+        made = t("trends_df")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        made = trends(events)
     catalog = Catalog(t("patient_df"), events, class_map, t("baselines_df"), made)
     resolver = Resolver(active(t("alias_to_canonical_df")), class_map, read_customs(a.yaml) if a.yaml else [])
     with sys.stdin if a.intent == "-" else open(a.intent, encoding="utf-8") as f:

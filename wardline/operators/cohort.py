@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.catalog import bounded_rows
 from wardline.functions.text import strict_number
 from wardline.plans.compiler import Catalog, all_anchor_terms, anchor_days, anchor_name, early, measure, mode, overlaps, trend_anchors, window
 from wardline.plans.ir import Leaf, Node, leaves, scoped
@@ -18,50 +19,64 @@ TREND_PAIRS = (
 )
 
 
-def anchored(events: DataFrame, device: str = "left heart pump") -> DataFrame:
+#: The anchors that readings are marked with.
+ANCHORS = ("admission_start", "admission_end", "latest", "prepump", "prepump_latest", "pump", "pump_earliest", "pump_latest", "postpump_earliest")
+
+
+def anchored(events: DataFrame, device: str = "left heart pump", names: tuple[str, ...] = ANCHORS, of: Column | None = None) -> DataFrame:
     """patient_id, normalized_term, unit, anchor, value, first_day, last_day, n: medians of numeric readings around admission and device.
 
     Rows used are active, not history, with a value and a day. admission_start is the first day in 0..2 with a value,
     latest the last one; admission_end the last charted day of the patient; prepump, pump and postpump lie before,
     within and after the days of the device (first start to last end), ..._earliest and ..._latest are the first and
-    last day of those. All anchors of a key come from one grouping by key and day, so no reading is shuffled twice.
-    The median is exact and taken over the readings of one key and anchor.
+    last day of those. Only the anchors ``names`` of the rows ``of`` are made, and only what these need is read. All
+    anchors of a key come from one grouping by key and day, so no reading is shuffled twice. The median is exact and
+    taken over the readings of one key and anchor.
     """
     day = F.coalesce("day_offset_start", "day_offset_end")
     used = events.filter(F.col("is_active") & ~F.coalesce("history", F.lit(False)) & F.col("value").isNotNull() & day.isNotNull() & F.col("normalized_term").isNotNull())
     used = used.select(*KEYS, "value", day.alias("day"))
-    on = events.filter((F.col("normalized_term") == device) & F.col("is_active"))
-    pump = on.groupBy("patient_id").agg(F.min("day_offset_start").alias("_on"), F.max(F.coalesce("day_offset_end", "day_offset_start")).alias("_off"))
-    end = used.groupBy("patient_id").agg(F.max("day").alias("_end"))
-    x = used.join(end, "patient_id").join(pump, "patient_id", "left")
+    x = used if of is None else used.filter(of)
+    if "admission_end" in names:
+        x = x.join(used.groupBy("patient_id").agg(F.max("day").alias("_end")), "patient_id")
+    else:
+        x = x.withColumn("_end", F.lit(None).cast("int"))
+    if any("pump" in n for n in names):
+        on = events.filter((F.col("normalized_term") == device) & F.col("is_active"))
+        x = x.join(on.groupBy("patient_id").agg(F.min("day_offset_start").alias("_on"), F.max(F.coalesce("day_offset_end", "day_offset_start")).alias("_off")), "patient_id", "left")
+    else:
+        x = x.withColumns({"_on": F.lit(None).cast("int"), "_off": F.lit(None).cast("int")})
     pre, during, post = F.col("day") < F.col("_on"), (F.col("day") >= F.col("_on")) & (F.col("day") <= F.col("_off")), F.col("day") > F.col("_off")
     start = (F.col("day") >= 0) & (F.col("day") <= 2)
-    at = {"_s": F.min(F.when(start, F.col("day"))), "_l": F.max("day"), "_pl": F.max(F.when(pre, F.col("day"))), "_de": F.min(F.when(during, F.col("day"))), "_dl": F.max(F.when(during, F.col("day"))), "_po": F.min(F.when(post, F.col("day")))}
-    days = x.groupBy(*KEYS).agg(*[c.alias(n) for n, c in at.items()])
-    x = x.join(days.select(*[F.col(k).alias(f"_{k}") for k in KEYS], *at), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS])
-    d = F.col("day")
-    names = {
-        "admission_start": d == F.col("_s"), "admission_end": d == F.col("_end"), "latest": d == F.col("_l"), "prepump": pre, "prepump_latest": pre & (d == F.col("_pl")),
-        "pump": during, "pump_earliest": during & (d == F.col("_de")), "pump_latest": during & (d == F.col("_dl")), "postpump_earliest": post & (d == F.col("_po")),
+    at = {
+        "admission_start": F.min(F.when(start, F.col("day"))), "latest": F.max("day"), "prepump_latest": F.max(F.when(pre, F.col("day"))), "pump_earliest": F.min(F.when(during, F.col("day"))),
+        "pump_latest": F.max(F.when(during, F.col("day"))), "postpump_earliest": F.min(F.when(post, F.col("day"))),
     }
-    marked = x.select(*KEYS, "value", "day", F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in names.items()]), lambda a: a.isNotNull())).alias("anchor"))
+    at = {f"_{n}": c for n, c in at.items() if n in names}
+    if at:
+        days = x.groupBy(*KEYS).agg(*[c.alias(n) for n, c in at.items()])
+        x = x.join(days.select(*[F.col(k).alias(f"_{k}") for k in KEYS], *at), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS])
+    d = F.col("day")
+    among = {"prepump": pre, "pump": during, "admission_end": d == F.col("_end"), "prepump_latest": pre, "pump_earliest": during, "pump_latest": during, "postpump_earliest": post}
+    meets = {n: among.get(n, F.lit(True)) & (d == F.col(f"_{n}")) if f"_{n}" in at else among[n] for n in ANCHORS if n in names}
+    marked = x.select(*KEYS, "value", "day", F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in meets.items()]), lambda a: a.isNotNull())).alias("anchor"))
     return marked.groupBy(*KEYS, "anchor").agg(F.median("value").alias("value"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("n"))
 
 
 def baselines(events: DataFrame, device: str = "left heart pump") -> DataFrame:
     """patient_id, normalized_term, anchor, value, unit for the anchors admission_start and latest."""
-    return anchored(events, device).filter(F.col("anchor").isin("admission_start", "latest")).select("patient_id", "normalized_term", "anchor", "value", "unit")
+    return anchored(events, device, ("admission_start", "latest")).select("patient_id", "normalized_term", "anchor", "value", "unit")
 
 
-def trends(events: DataFrame, device: str = "left heart pump", tolerance: float = 0.10) -> DataFrame:
-    """Change of the median between two anchors, for the pairs that trends are kept for.
+def trends(events: DataFrame, device: str = "left heart pump", tolerance: float = 0.10, pairs: tuple[tuple[str, str], ...] = TREND_PAIRS, of: Column | None = None) -> DataFrame:
+    """Change of the median between two anchors, for pairs of anchors (those that trends are kept for) and the rows ``of``.
 
     change is uptrended or downtrended where the difference exceeds the tolerance as a share of the first median.
     """
-    a = anchored(events, device)
+    a = anchored(events, device, tuple(n for n in ANCHORS if any(n in p for p in pairs)), of)
     by = a.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("anchor", F.struct("value", "first_day", "last_day")))).alias("m"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("anchor1"), F.lit(y).alias("anchor2")) for x, y in TREND_PAIRS])).alias("p")
-    t = by.select(*KEYS, "m", pairs).select(*KEYS, "p.*", F.try_element_at("m", F.col("p.anchor1")).alias("x"), F.try_element_at("m", F.col("p.anchor2")).alias("y")).filter("x is not null and y is not null")
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("anchor1"), F.lit(y).alias("anchor2")) for x, y in pairs])).alias("p")
+    t = by.select(*KEYS, "m", each).select(*KEYS, "p.*", F.try_element_at("m", F.col("p.anchor1")).alias("x"), F.try_element_at("m", F.col("p.anchor2")).alias("y")).filter("x is not null and y is not null")
     delta, room = F.col("y.value") - F.col("x.value"), tolerance * F.abs(F.col("x.value"))
     change = F.when(delta > room, "uptrended").when(delta < -room, "downtrended").otherwise("unchanged")
     return t.select(
@@ -70,6 +85,21 @@ def trends(events: DataFrame, device: str = "left heart pump", tolerance: float
     )
 
 
+def trends_for(events: DataFrame, class_map: DataFrame, tree: Node | Leaf, device: str = "left heart pump") -> DataFrame | None:
+    """The trends that the leaves of a tree ask for: their terms and pairs of anchors, and no others; None without such leaves."""
+    asked = [x for x in leaves(scoped(tree)) if x.is_trend]
+    if not asked:
+        return None
+    pairs = tuple(dict.fromkeys(trend_anchors(x.temporal, device) for x in asked))
+    terms, classes = {x.term for x in asked if x.term}, {x.concept_class for x in asked if x.concept_class}
+    if classes:
+        of = class_map.filter(F.col("concept_class").isin(*sorted(classes))).select("term").distinct()
+        terms |= {r.term for r in bounded_rows(of, MAX_TERMS, "the class map")}
+    return trends(events, device, pairs=pairs, of=F.col("normalized_term").isin(*sorted(t for t in terms if t)))
+
+
+#: Terms of the classes of one question at most.
+MAX_TERMS = 100_000
 #: Days that are written out from one array.
 STRETCH = 10_000
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.catalog import table
 from wardline.operators import cohort, concepts, intervals, spikes, units, vectors
-from wardline.plans import compiler
+from wardline.plans import compiler, evidence
 from wardline.plans.compiler import Catalog, candidates, candidates_by_joins
 from wardline.plans.ir import Leaf, Node, from_json
 from wardline.queries_text import QUERIES as TEXT_QUERIES
@@ -18,10 +18,11 @@ PUMP = "left heart pump"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def catalog(spark: SparkSession, sf_dir: str, with_trends: bool = False) -> Catalog:
+def catalog(spark: SparkSession, sf_dir: str, tree: Leaf | Node | None = None) -> Catalog:
+    """The tables of a folder, with the trends that a tree asks for."""
     t = lambda n: table(spark, sf_dir, n)
-    events = t("event_df")
-    return Catalog(t("patient_df"), events, compiler.active(t("term_concept_class_map_df")), t("baselines_df"), cohort.trends(events) if with_trends else None, PUMP)
+    events, classes = t("event_df"), compiler.active(t("term_concept_class_map_df"))
+    return Catalog(t("patient_df"), events, classes, t("baselines_df"), cohort.trends_for(events, classes, tree, PUMP) if tree else None, PUMP)
 
 
 # the problems that are not about training data ------------------------------------------------------------------------
@@ -58,9 +59,10 @@ def leaf(term: str | None = None, cls: str | None = None, modifier: str = "prese
     return {"resolved_term": term, "resolved_class": cls, "modifier": modifier, "temporal": temporal, **more}
 
 
-def asked(tree: dict, joins: bool = False, with_trends: bool = False) -> Query:
+def asked(tree: dict, joins: bool = False) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return (candidates_by_joins if joins else candidates)(catalog(spark, sf_dir, with_trends), from_json(tree))
+        node = from_json(tree)
+        return (candidates_by_joins if joins else candidates)(catalog(spark, sf_dir, node), node)
 
     return query
 
@@ -68,6 +70,9 @@ def asked(tree: dict, joins: bool = False, with_trends: bool = False) -> Query:
 DURING = [at("OVERLAPS", kind="INTERVAL")]
 BEFORE = [at("UNTIL", kind="EVENT", event="start")]
 
+#: Comparisons by the names of their queries.
+COMPARED = {"ge": ">=", "le": "<=", "eq": "=", "ne": "!="}
+
 TREES: dict[str, dict] = {
     "term_exists_window": leaf("lactate", temporal=[at("FROM", 2), at("UNTIL", 5)], op=">", value=4.0),
     "term_exists_anytime": leaf("delirium"),
@@ -100,6 +105,13 @@ TREES: dict[str, dict] = {
     "term_or_class_leaf": leaf("milrinone", "inotrope", temporal=[at("FROM", 1), at("UNTIL", 6)]),
     "term_and_class_absent": leaf("milrinone", "inotrope", modifier="absent", temporal=[at("FROM", 1), at("UNTIL", 6)]),
     "unit_ilike": leaf("temperature", op=">", value=100.0, unit="f"),
+    **{f"compare_{n}": leaf("sodium", op=op, value=140.0, temporal=[at("FROM", 1), at("UNTIL", 4)]) for n, op in COMPARED.items()},
+    "overlap_unknown_anchor": leaf("heart rate", temporal=[{"relation": "OVERLAPS", "anchor": None}], op=">", value=110.0),
+    "from_event_without_change": leaf("delirium", temporal=[at("FROM", kind="EVENT", event=None)]),
+    "until_stop_anchor": leaf("fever", temporal=[at("UNTIL", kind="EVENT", event="stop", offset=-1)]),
+    "overlap_discharge": leaf("heart rate", temporal=[at("FROM", 2), at("UNTIL", 999)], op=">", value=120.0),
+    "bool_tree_empty_or": {"logic": "OR", "clauses": [{"logic": "OR", "clauses": []}, leaf("hemolysis")]},
+    "bool_tree_empty_and": {"logic": "AND", "clauses": [{"logic": "AND", "clauses": []}, leaf("hemolysis")]},
     "patient_ref_filter": {"logic": "AND", "patient_references": ["p000000007", "bex"], "clauses": [leaf("heart rate")]},
 }
 
@@ -107,6 +119,10 @@ TREND_TREES: dict[str, dict] = {
     "trend_up": leaf("creatinine", modifier="uptrended"),
     "trend_down": leaf(cls="perfusion marker", modifier="downtrended", temporal=[at("OVERLAPS", kind="INTERVAL")]),
     "trend_unchanged": leaf("heart rate", "vital sign", modifier="unchanged", temporal=[at("FROM", 0)]),
+    "trend_discharge": leaf("creatinine", modifier="uptrended", temporal=[at("UNTIL", 999)]),
+    "trend_start_to_stop": leaf("creatinine", modifier="uptrended", temporal=[at("FROM", kind="EVENT", event="start"), at("UNTIL", kind="EVENT", event="stop")]),
+    # one for each scope that is told by the device
+    **{f"trend_{r.lower()}_{e or 'interval'}": leaf("lactate", modifier="downtrended", temporal=[at(r, kind="EVENT" if e else "INTERVAL", event=e)]) for r, e in compiler.DEVICE_TRENDS},
 }
 
 MAP_SQL = "(SELECT term, concept_class FROM term_concept_class_map_df WHERE coalesce(status, 'active') = 'active')"
@@ -169,6 +185,13 @@ TREE_SQL = {
     "term_or_class_leaf": _who(f"{_term('milrinone', _within('1', '6'))} OR {_class('inotrope', _within('1', '6'))}"),
     "term_and_class_absent": _who(f"NOT {_term('milrinone', _within('1', '6'))} AND NOT {_class('inotrope', _within('1', '6'))}"),
     "unit_ilike": _who(_term("temperature", "e.value > 100 AND e.unit ILIKE '%f%'")),
+    **{f"compare_{n}": _who(_term("sodium", f"e.value {op} 140 AND {_within('1', '4')}")) for n, op in COMPARED.items()},
+    "overlap_unknown_anchor": _who(_term("heart rate", f"e.value > 110 AND {_within('0', '0')}")),
+    "from_event_without_change": _who(_term("delirium", _within("0", "1000000000"))),
+    "until_stop_anchor": _who(_term("fever", _within("-1000000000", "sp.d - 1"), _J["sp"])),
+    "overlap_discharge": _who(_term("heart rate", f"e.value > 120 AND {_within('2', '999')}")),
+    "bool_tree_empty_or": _who(_term("hemolysis")),
+    "bool_tree_empty_and": _who(_term("hemolysis")),
     "patient_ref_filter": _who(f"(p.patient_id = 'p000000007' OR p.patient_name ILIKE '%p000000007%' OR p.patient_id = 'bex' OR p.patient_name ILIKE '%bex%') AND {_term('heart rate')}"),
 }
 
@@ -213,6 +236,14 @@ TREND_SQL = {
     "trend_down": f"WITH {ANCHORED_SQL} " + _who(_trend(_PAIR.format("pump_earliest", "pump_latest", "downtrended"), _of("perfusion marker"))),
     "trend_unchanged": f"WITH {ANCHORED_SQL} " + _who(_trend("t.normalized_term = 'heart rate' AND " + _PAIR.format("admission_start", "admission_end", "unchanged")) + " OR " + _trend(_PAIR.format("admission_start", "admission_end", "unchanged"), _of("vital sign"))),
 }
+#: Pairs of anchors by the scope of a trend, as questions name it.
+_SCOPES = {
+    "discharge": ("admission_start", "admission_end"), "start_to_stop": ("pump_earliest", "pump_latest"), "overlaps_interval": ("pump_earliest", "pump_latest"), "overlaps_start": ("prepump_latest", "pump_earliest"), "overlaps_stop": ("pump_latest", "postpump_earliest"),
+    "until_stop": ("prepump", "pump"), "until_start": ("admission_start", "prepump_latest"), "until_interval": ("admission_start", "pump"), "from_start": ("pump", "admission_end"), "from_interval": ("pump", "admission_end"), "from_stop": ("postpump_earliest", "admission_end"),
+}
+for _name, _anchors in _SCOPES.items():
+    _what, _how = ("creatinine", "uptrended") if _name in ("discharge", "start_to_stop") else ("lactate", "downtrended")
+    TREND_SQL[f"trend_{_name}"] = f"WITH {ANCHORED_SQL} " + _who(_trend(f"t.normalized_term = '{_what}' AND " + _PAIR.format(*_anchors, _how)))
 
 # tables that are built, evidence ---------------------------------------------------------------------------------------
 
@@ -251,13 +282,26 @@ def budget_group_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.group_count(_evidence(spark, sf_dir)[2])
 
 
-def context_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, found, e = _evidence(spark, sf_dir)
-    return cohort.with_context(e, c, found, 1).select("context", *_EV)
+#: A question about ten patients by name, and one about all.
+FEW_TREE = {"logic": "AND", "patient_references": [f"p{i:09d}" for i in range(1, 11)], "clauses": [leaf("lactate", temporal=[at("FROM", 1), at("UNTIL", 6)]), leaf(cls="vasopressor")]}
+
+
+def _context(tree: dict) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Evidence with context as a run gives it: the candidates are counted, and few enough of them get all their events."""
+        _, n, events, context, _ = evidence.evidence_for(catalog(spark, sf_dir), from_json(tree))
+        rows = events if context is None else events.unionByName(context)
+        return rows.select("context", *_EV).withColumn("n_candidates", F.lit(n))
+
+    return query
+
+
+context_dedup_first, context_many = _context(FEW_TREE), _context(EVIDENCE_TREE)
 
 
 def trend_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, tree = catalog(spark, sf_dir, True), from_json(TREND_TREES["trend_up"])
+    tree = from_json(TREND_TREES["trend_up"])
+    c = catalog(spark, sf_dir, tree)
     return cohort.trend_evidence(c, tree, candidates(c, tree))
 
 
@@ -306,10 +350,10 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found,
     **{n: asked(t) for n, t in TREES.items()},
     **{f"{n}_joins": asked(TREES[n], joins=True) for n in ("term_absent_until_anchor", "bool_tree_nested")},
-    **{n: asked(t, with_trends=True) for n, t in TREND_TREES.items()},
+    **{n: asked(t) for n, t in TREND_TREES.items()},
     "interval_anchor": anchor_query("INTERVAL", None, ["first_day", "last_day"]), "start_anchor": anchor_query("EVENT", "start", ["day"]), "stop_anchor": anchor_query("EVENT", "stop", ["day"]),
     "baselines_build": baselines_build, "trends_build": trends_build, "pump_extrapolation": pump_extrapolation,
-    "event_evidence_union": event_evidence_union, "event_summary_stats": event_summary_stats, "budget_group_count": budget_group_count, "context_dedup_first": context_dedup_first, "trend_evidence": trend_evidence,
+    "event_evidence_union": event_evidence_union, "event_summary_stats": event_summary_stats, "budget_group_count": budget_group_count, "context_dedup_first": context_dedup_first, "context_many": context_many, "trend_evidence": trend_evidence,
     "active_aliases": active_aliases, "class_expansion": class_expansion, "alias_best_match": alias_best_match, "vector_topk": vector_topk, "patient_search": patient_search,
     **TEXT_QUERIES,
 }
@@ -325,6 +369,7 @@ evidence AS (
   UNION ALL SELECT e.* FROM mine e WHERE normalized_term = '{PUMP}'
 )"""
 _COLS = ", ".join(_EV)
+_FEW = _who(f"p.patient_id IN ({', '.join(repr(r) for r in FEW_TREE['patient_references'])}) AND {_term('lactate', _within('1', '6'))} AND {_class('vasopressor')}")
 
 SQL: dict[str, str] = {
     "p5_found": """
@@ -359,7 +404,7 @@ SELECT patient_id, normalized_term, 'gap', CAST(a AS INTEGER), CAST(b AS INTEGER
 WITH s AS (
   SELECT patient_id, min(CASE WHEN is_started THEN day_offset_start END) AS a, max(CASE WHEN is_ended THEN coalesce(day_offset_end, day_offset_start) END) AS b
   FROM event_df WHERE normalized_term = '{PUMP}' GROUP BY 1
-), d AS (SELECT patient_id, unnest(range(a, b + 1)) AS day FROM s WHERE b >= a AND b - a <= 3660)
+), d AS (SELECT patient_id, unnest(range(a, b + 1)) AS day FROM s WHERE b >= a)
 SELECT patient_id, '{PUMP}' AS normalized_term, CAST(day AS INTEGER) AS day_offset_start, CAST(day AS INTEGER) AS day_offset_end, true AS is_active, '{cohort.PUMP_ENTRY}' AS source_entity FROM d""",
     "event_evidence_union": f"WITH {EVIDENCE_SQL} SELECT {', '.join('e.' + c for c in _EV)}, patient_name, age, sex FROM evidence e JOIN patient_df p ON p.patient_id = e.patient_id WHERE trim(coalesce(source_entity, ''), '\"') <> '{cohort.PUMP_ENTRY}'",
     "event_summary_stats": f"""WITH {EVIDENCE_SQL}, x AS (SELECT *, coalesce(day_offset_end, day_offset_start) AS d, min(value) OVER k AS lo, max(value) OVER k AS hi FROM evidence WINDOW k AS (PARTITION BY patient_id, normalized_term, unit, is_active, is_started, is_ended))
@@ -369,9 +414,12 @@ SELECT patient_id, normalized_term, unit, is_active, is_started, is_ended, count
     "budget_group_count": f"""WITH {EVIDENCE_SQL} SELECT count(*) AS n_rows, count(DISTINCT patient_id) AS n_patients,
   count(DISTINCT CASE WHEN patient_id IS NOT NULL AND normalized_term IS NOT NULL AND is_active IS NOT NULL AND is_started IS NOT NULL AND is_ended IS NOT NULL
     THEN concat_ws('|', patient_id, normalized_term, coalesce(unit, '_none_'), is_active, is_started, is_ended) END) AS n_groups FROM evidence""",
-    "context_dedup_first": f"""WITH {EVIDENCE_SQL}, both_ AS (SELECT false AS context, {_COLS}, source_entity FROM evidence UNION ALL SELECT true, {_COLS}, source_entity FROM mine),
+    "context_dedup_first": f"""WITH few AS ({_FEW}), mine AS (SELECT e.* FROM event_df e WHERE patient_id IN (SELECT patient_id FROM few)),
+speaking AS (SELECT e.* FROM mine e WHERE normalized_term = 'lactate' AND {_within("1", "6")} UNION ALL SELECT e.* FROM mine e JOIN {MAP_SQL} m ON m.term = e.normalized_term AND m.concept_class = 'vasopressor'),
+both_ AS (SELECT false AS context, {_COLS}, source_entity FROM speaking UNION ALL SELECT true, {_COLS}, source_entity FROM mine),
 r AS (SELECT *, row_number() OVER (PARTITION BY patient_id, normalized_term, day_offset_start, day_offset_end ORDER BY context, value ASC NULLS LAST, unit ASC NULLS LAST, event_id) AS rn FROM both_)
-SELECT context, {_COLS} FROM r WHERE rn = 1 AND trim(coalesce(source_entity, ''), '\"') <> '{cohort.PUMP_ENTRY}'""",
+SELECT context, {_COLS}, CAST((SELECT count(*) FROM few) AS INTEGER) AS n_candidates FROM r WHERE rn = 1 AND trim(coalesce(source_entity, ''), '\"') <> '{cohort.PUMP_ENTRY}'""",
+    "context_many": f"WITH {EVIDENCE_SQL} SELECT false AS context, {', '.join('e.' + c for c in _EV)}, CAST((SELECT count(*) FROM found) AS INTEGER) AS n_candidates FROM evidence e JOIN patient_df p ON p.patient_id = e.patient_id WHERE trim(coalesce(source_entity, ''), '\"') <> '{cohort.PUMP_ENTRY}'",
     "trend_evidence": f"WITH {ANCHORED_SQL} SELECT t.*, patient_name, age, sex FROM trends t JOIN patient_df p ON p.patient_id = t.patient_id WHERE normalized_term = 'creatinine' AND anchor1 = 'admission_start' AND anchor2 = 'latest' AND change = 'uptrended'",
     "active_aliases": r"""SELECT alias_id, lower(trim(regexp_replace(regexp_replace(alias, '[-_]', ' ', 'g'), '\s+', ' ', 'g'))) AS alias, target_kind, canonical, coalesce(priority, 100) AS priority
 FROM alias_to_canonical_df WHERE coalesce(status, 'active') = 'active'""",

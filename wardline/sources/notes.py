@@ -1,5 +1,6 @@
 """Readers of notes and vocabularies, and writers of results."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,8 +84,8 @@ def append_log(spark: SparkSession, rows: DataFrame, path: str) -> int:
     """Appends what is new and tells how many rows the log then has."""
     try:
         rows = new_log_rows(spark.read.schema(LOG).parquet(path), rows)
-    except Exception as e:  # the first write finds no log
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:  # the first write finds no log
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
     rows.write.mode("append").parquet(path)
     return spark.read.schema(LOG).parquet(path).count()
