@@ -68,6 +68,24 @@ def test_stream(spark, tmp_path):
     assert spark.table("once").select(F.count_distinct("normalized_term", "value", "charted_at").alias("n")).first().n == 5
 
 
+def test_upsert_rewrites_touched_parts_only(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame([(i, v, dt.datetime(2025, 1, d)) for i, v, d in x], "event_id bigint, value double, loaded_at timestamp")
+    put = ingest.upsert(spark, table, parts=8)
+    put(rows(*[(i, float(i), 1) for i in range(40)]), 0)
+    assert set(ingest.written(spark, table)) == set(range(8))
+    for batch in range(1, 5):
+        put(rows((7, 100.0 + batch, 1 + batch)), batch)
+    put(rows(), 5)
+    have = ingest.written(spark, table)
+    assert sorted(map(len, have.values())) == [1] * 7 + [2] and [3, 4] in have.values()
+    now = {r.event_id: r.value for r in ingest.current(spark, table).collect()}
+    assert now == {i: 104.0 if i == 7 else float(i) for i in range(40)}
+    put(rows((7, 204.0, 5)), 4)  # the last batch once more, with other rows
+    assert {r.event_id: r.value for r in ingest.current(spark, table).collect()}[7] == 204.0
+    assert ingest.current(spark, str(tmp_path / "none")) is None
+
+
 def test_term_stats(spark):
     df = spark.createDataFrame([("a", "p"), ("a", "p"), ("a", "q"), (None, "p")], "normalized_term string, patient_id string")
     assert {tuple(r) for r in notes.term_stats(df).collect()} == {("a", 3, 2), (None, 1, 1)}

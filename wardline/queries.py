@@ -43,6 +43,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.recorded_otherwise(units.convert_units(t("event_df"), t("unit_reference"), t("term_reference"), t("baselines_df")))
 
 
+def p2_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impossible readings among those whose unit is written just as in the reference."""
+    t = lambda n: table(spark, sf_dir, n)
+    bad = spikes.implausible(t("event_df"), t("unit_reference"), t("term_reference")).filter("kind = 'impossible'")
+    clean = t("event_df").join(F.broadcast(t("unit_reference").select(F.col("term").alias("normalized_term"), F.col("unit_code").alias("unit"))), ["normalized_term", "unit"], "left_semi")
+    return clean.join(bad, "event_id", "left_semi").select("event_id")
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values in the common unit, of rows whose unit is written just as in the reference."""
+    t = lambda n: table(spark, sf_dir, n)
+    got = units.convert_units(t("event_df"), t("unit_reference"), t("term_reference"), t("baselines_df"))
+    rows = t("event_df").select(F.lit("event_df").alias("source_table"), F.col("event_id").alias("row_id"), "normalized_term", "unit").unionByName(t("baselines_df").select(F.lit("baselines_df").alias("source_table"), F.col("baseline_id").alias("row_id"), "normalized_term", "unit"))
+    clean = rows.join(F.broadcast(t("unit_reference").select(F.col("term").alias("normalized_term"), F.col("unit_code").alias("unit"))), ["normalized_term", "unit"], "left_semi").select("source_table", "row_id")
+    return got.join(clean, ["source_table", "row_id"], "left_semi").select("source_table", "row_id", "normalized_term", "unit_code", "other", F.round("value_common", 4).alias("value_common"))
+
+
 # temporal predicates ----------------------------------------------------------------------------------------------------
 
 
@@ -299,6 +316,75 @@ def _context(tree: dict) -> Query:
 context_dedup_first, context_many = _context(FEW_TREE), _context(EVIDENCE_TREE)
 
 
+def _packed(budget: Callable[[DataFrame], int]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """How many data points each patient has in the package of a question, by the budget."""
+        c = catalog(spark, sf_dir)
+        found, n, events, context, trends = evidence.evidence_for(c, from_json(EVIDENCE_TREE))
+        p = evidence.package(c.patients, n, found, events, context, trends, False, budget(events))
+        return p.patients.select("patient_id", F.size("evidence").alias("n"), F.get_json_object(F.get("evidence", F.lit(0)), "$.type").alias("kind"))
+
+    return query
+
+
+def package_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the header of a package tells whose budget holds the summaries of few patients only."""
+    c = catalog(spark, sf_dir)
+    found, n, events, context, trends = evidence.evidence_for(c, from_json(EVIDENCE_TREE))
+    h = evidence.package(c.patients, n, found, events, context, trends, False, 6).header
+    row = (h["retrieved_candidates"], h["query_scope"], h["subsampled"], h["cta_allowed"], 1 <= h["shown_candidates"] <= n)
+    return spark.createDataFrame([row], "retrieved_candidates bigint, query_scope string, subsampled boolean, cta_allowed boolean, shown_some boolean")
+
+
+# questions ---------------------------------------------------------------------------------------------------------------
+
+#: A concept of a user's own, and what is asked with it.
+SHOCK = {
+    "definition_polarity": "positive", "aliases": {"positive": ["shock", {"term": "circulation", "modifier": "failing"}], "negative": ["calm circulation", {"term": "circulation", "modifier": "not failing"}]},
+    "definition": {"any_of": [{"feature": "serum lactate", "op": ">", "value": 4}, {"all_of": [{"feature": "noradrenaline"}, {"feature": "mean bp", "op": "<", "value": 60}]}]},
+}
+
+
+def _anchor(term: str, kind: str, event: str | None = None) -> dict:
+    return {"form": "concept", "term": term, "kind": kind, "event": event, "day_offset": None}
+
+
+QUESTIONS: dict[str, dict] = {
+    "intent_resolved": {"parse_status": "ok", "logic": "AND", "clauses": [
+        {"term": "Serum_Lactate", "op": ">", "value": 4, "temporal": [{"relation": "OVERLAPS", "anchor": _anchor("Impella  Device", "INTERVAL")}]},
+        {"term": "pressors", "modifier": "present", "temporal": [{"relation": "UNTIL", "anchor": {"form": "admission", "day_offset": 3}}]},
+    ]},
+    "intent_or": {"parse_status": "ok", "logic": "OR", "clauses": [{"term": "mean arterial presure", "op": "<", "value": 50}, {"term": "sedation", "modifier": "absent", "temporal": [{"relation": "UNTIL", "anchor": _anchor("lv unloading device", "EVENT", "start")}]}]},
+    "intent_custom": {"parse_status": "ok", "logic": "AND", "clauses": [{"term": "Shock", "temporal": [{"relation": "FROM", "anchor": {"form": "admission", "day_offset": 1}}]}, {"term": "hr", "op": ">", "value": 100}]},
+    "intent_custom_flipped": {"parse_status": "ok", "logic": "AND", "clauses": [{"term": "calm circulation"}]},
+    "intent_custom_modifier": {"parse_status": "ok", "logic": "AND", "clauses": [{"term": "circulation", "modifier_text": "surely not failing now"}]},
+    "intent_unresolved": {"parse_status": "ok", "logic": "AND", "clauses": [{"term": "lac"}, {"term": "moon phase"}, {"term": "hr", "temporal": [{"relation": "FROM", "anchor": _anchor("sunrise", "EVENT", "start")}]}]},
+}
+
+
+def _planned(spark: SparkSession, sf_dir: str, name: str) -> tuple[Catalog, concepts.Plan]:
+    c = catalog(spark, sf_dir)
+    r = concepts.Resolver(compiler.active(table(spark, sf_dir, "alias_to_canonical_df")), c.class_map, [concepts.custom_concept("shock", SHOCK)])
+    return c, concepts.planned(evidence.read_intent(name, lambda _: QUESTIONS[name]), r)
+
+
+def answered(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c, plan = _planned(spark, sf_dir, name)
+        return candidates(c, plan.tree)
+
+    return query
+
+
+def intent_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every phrase of the questions was taken to mean, null where nothing was found."""
+    rows = set()
+    for name in QUESTIONS:
+        plan = _planned(spark, sf_dir, name)[1]
+        rows |= {(name, said, meant) for said, meant in plan.mappings.items()} | {(name, said, None) for said in plan.unresolved}
+    return spark.createDataFrame(sorted(rows, key=str), "question string, phrase string, canonical string")
+
+
 def trend_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = from_json(TREND_TREES["trend_up"])
     c = catalog(spark, sf_dir, tree)
@@ -354,6 +440,9 @@ QUERIES: dict[str, Query] = {
     "interval_anchor": anchor_query("INTERVAL", None, ["first_day", "last_day"]), "start_anchor": anchor_query("EVENT", "start", ["day"]), "stop_anchor": anchor_query("EVENT", "stop", ["day"]),
     "baselines_build": baselines_build, "trends_build": trends_build, "pump_extrapolation": pump_extrapolation,
     "event_evidence_union": event_evidence_union, "event_summary_stats": event_summary_stats, "budget_group_count": budget_group_count, "context_dedup_first": context_dedup_first, "context_many": context_many, "trend_evidence": trend_evidence,
+    "package_rows": _packed(lambda _: 10**9), "package_summaries": _packed(lambda e: cohort.group_count(e).first().n_groups), "package_header": package_header,
+    **{n: answered(n) for n in QUESTIONS if n != "intent_unresolved"}, "intent_mappings": intent_mappings,
+    "p2_impossible": p2_impossible, "p6_clean": p6_clean,
     "active_aliases": active_aliases, "class_expansion": class_expansion, "alias_best_match": alias_best_match, "vector_topk": vector_topk, "patient_search": patient_search,
     **TEXT_QUERIES,
 }
@@ -369,6 +458,8 @@ evidence AS (
   UNION ALL SELECT e.* FROM mine e WHERE normalized_term = '{PUMP}'
 )"""
 _COLS = ", ".join(_EV)
+_SHOWN = f"patient_name IS NOT NULL AND age IS NOT NULL AND sex IS NOT NULL AND trim(coalesce(source_entity, ''), '\"') <> '{cohort.PUMP_ENTRY}'"
+_FROM1 = _within("1", "1000000000")
 _FEW = _who(f"p.patient_id IN ({', '.join(repr(r) for r in FEW_TREE['patient_references'])}) AND {_term('lactate', _within('1', '6'))} AND {_class('vasopressor')}")
 
 SQL: dict[str, str] = {
@@ -420,6 +511,21 @@ both_ AS (SELECT false AS context, {_COLS}, source_entity FROM speaking UNION AL
 r AS (SELECT *, row_number() OVER (PARTITION BY patient_id, normalized_term, day_offset_start, day_offset_end ORDER BY context, value ASC NULLS LAST, unit ASC NULLS LAST, event_id) AS rn FROM both_)
 SELECT context, {_COLS}, CAST((SELECT count(*) FROM few) AS INTEGER) AS n_candidates FROM r WHERE rn = 1 AND trim(coalesce(source_entity, ''), '\"') <> '{cohort.PUMP_ENTRY}'""",
     "context_many": f"WITH {EVIDENCE_SQL} SELECT false AS context, {', '.join('e.' + c for c in _EV)}, CAST((SELECT count(*) FROM found) AS INTEGER) AS n_candidates FROM evidence e JOIN patient_df p ON p.patient_id = e.patient_id WHERE trim(coalesce(source_entity, ''), '\"') <> '{cohort.PUMP_ENTRY}'",
+    "package_rows": f"WITH {EVIDENCE_SQL} SELECT e.patient_id, CAST(count(*) AS INTEGER) AS n, 'event' AS kind FROM evidence e JOIN patient_df p ON p.patient_id = e.patient_id WHERE {_SHOWN} GROUP BY 1",
+    "package_summaries": f"""WITH {EVIDENCE_SQL} SELECT patient_id, CAST(count(*) AS INTEGER) AS n, 'summary' AS kind FROM (SELECT DISTINCT e.patient_id, normalized_term, unit, is_active, is_started, is_ended FROM evidence e JOIN patient_df p ON p.patient_id = e.patient_id
+  WHERE {_SHOWN} AND is_active IS NOT NULL AND is_started IS NOT NULL AND is_ended IS NOT NULL) x GROUP BY 1""",
+    "package_header": f"WITH {EVIDENCE_SQL} SELECT count(*) AS retrieved_candidates, 'cohort' AS query_scope, true AS subsampled, count(*) > 4 AS cta_allowed, true AS shown_some FROM found",
+    "intent_resolved": _who(f"{_term('lactate', 'e.value > 4 AND ' + _ON, _J['iv'])} AND {_class('vasopressor', _within('-1000000000', '3'))}"),
+    "intent_or": _who(f"{_term('mean arterial pressure', 'e.value < 50')} OR NOT {_class('sedative', _within('-1000000000', 'st.d'), _J['st'])}"),
+    "intent_custom": _who(f"({_term('lactate', 'e.value > 4 AND ' + _FROM1)} OR ({_term('norepinephrine', _FROM1)} AND {_term('mean arterial pressure', 'e.value < 60 AND ' + _FROM1)})) AND {_term('heart rate', 'e.value > 100')}"),
+    **dict.fromkeys(("intent_custom_flipped", "intent_custom_modifier"), _who(f"{_term('lactate', 'e.value <= 4')} AND ({_term('norepinephrine')} OR {_term('mean arterial pressure', 'e.value >= 60')})")),
+    "intent_mappings": """SELECT * FROM (VALUES ('intent_resolved', 'Serum_Lactate', 'lactate'), ('intent_resolved', 'Impella  Device', 'left heart pump'), ('intent_resolved', 'pressors', 'vasopressor'), ('intent_or', 'mean arterial presure', 'mean arterial pressure'),
+  ('intent_or', 'sedation', 'sedative'), ('intent_or', 'lv unloading device', 'left heart pump'), ('intent_custom', 'Shock', 'shock'), ('intent_custom', 'hr', 'heart rate'), ('intent_custom_flipped', 'calm circulation', 'shock'), ('intent_custom_modifier', 'circulation', 'shock'),
+  ('intent_unresolved', 'lac', 'lactate'), ('intent_unresolved', 'hr', 'heart rate'), ('intent_unresolved', 'moon phase', NULL), ('intent_unresolved', 'sunrise', NULL)) v(question, phrase, canonical)""",
+    "p2_impossible": """SELECT event_id FROM event_df e JOIN unit_reference u ON u.term = e.normalized_term AND u.unit_code = e.unit JOIN term_reference r ON r.term = e.normalized_term AND r.kind = 'measurement'
+  WHERE NOT isnan(value) AND (value * factor + "shift" < phys_low - 1e-6 * greatest(abs(phys_low), abs(phys_high)) OR value * factor + "shift" > phys_high + 1e-6 * greatest(abs(phys_low), abs(phys_high)))""",
+    "p6_clean": """WITH x AS (SELECT 'event_df' AS source_table, event_id AS row_id, normalized_term, value, unit FROM event_df UNION ALL SELECT 'baselines_df', baseline_id, normalized_term, value, unit FROM baselines_df)
+SELECT source_table, row_id, normalized_term, unit AS unit_code, factor <> 1 OR "shift" <> 0 AS other, round(value * factor + "shift", 4) AS value_common FROM x JOIN unit_reference u ON u.term = normalized_term AND u.unit_code = unit WHERE value IS NOT NULL AND NOT isnan(value)""",
     "trend_evidence": f"WITH {ANCHORED_SQL} SELECT t.*, patient_name, age, sex FROM trends t JOIN patient_df p ON p.patient_id = t.patient_id WHERE normalized_term = 'creatinine' AND anchor1 = 'admission_start' AND anchor2 = 'latest' AND change = 'uptrended'",
     "active_aliases": r"""SELECT alias_id, lower(trim(regexp_replace(regexp_replace(alias, '[-_]', ' ', 'g'), '\s+', ' ', 'g'))) AS alias, target_kind, canonical, coalesce(priority, 100) AS priority
 FROM alias_to_canonical_df WHERE coalesce(status, 'active') = 'active'""",

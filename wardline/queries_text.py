@@ -1,11 +1,14 @@
 """Queries on notes, spans, relations and logs, with their SQL."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog import table
 from wardline.functions.text import MODIFIER_WORDS, modifier_of, name_order, normalized_column, sex_code, strict_number
 from wardline.operators import text
+from wardline.session import shared_dir
 from wardline.sources import notes
 from wardline.streaming import ingest
 
@@ -182,12 +185,38 @@ def document_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(modifier_of(F.col("line")).alias("modifier")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings taken in as a stream and merged into a table, so that of each the last delivery is left."""
+    folder = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "event_df").select("patient_id", "normalized_term", "charted_at", "value", "loaded_at")
+    stream = ingest.event_stream(spark, f"{sf_dir.rstrip('/')}/event_df.parque[t]", events.schema)
+    keyed = stream.withColumn("event_id", F.xxhash64("patient_id", "normalized_term", "charted_at", "value", F.lit(1), F.isnull("patient_id"), F.isnull("normalized_term"), F.isnull("charted_at"), F.isnull("value")))
+    ingest.run_available(keyed, ingest.upsert(spark, f"{folder}/table", parts=8), f"{folder}/checkpoint")
+    return ingest.current(spark, f"{folder}/table").select(*events.columns)
+
+
+def notes_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes written as lines of JSON and read again, checked for broken lines and repeated ids."""
+    d = _docs(spark, sf_dir).filter("text is not null and source is not null").select(F.col("doc_id").cast("string").alias("uid"), F.col("source").alias("name"), F.col("text").alias("raw_text"), F.lit("x.txt").alias("filename"))
+    folder = f"{shared_dir(spark)}/notes-{uuid.uuid4().hex}"
+    notes.write_spans(d, folder)
+    n = notes.notes_jsonl(spark, folder)
+    return n.select("uid", "name", F.md5("raw_text").alias("md5"))
+
+
+def tables_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as CSV with a header and read again."""
+    folder = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    notes.write_tables({"stats": term_stats(spark, sf_dir).filter("normalized_term is not null")}, folder, csv=True)
+    return spark.read.schema("normalized_term string, n_events bigint, n_patients bigint").option("header", "true").csv(f"{folder}/stats")
+
+
 def patients_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "patient_df").select("patient_id", name_order(F.col("patient_name")).alias("name"), sex_code(F.col("sex")).alias("sex"), "age", "site")
 
 
 QUERIES = {f.__name__: f for f in (
-    document_modifiers, patients_clean,
+    document_modifiers, patients_clean, stream_upsert, notes_read_back, tables_read_back,
     word_tokens, chunk_windows, chunk_trusted, chunk_centred, span_chunks, bio_labels, bio_islands, span_nms, span_texts, tagged_texts, table_marks, relation_best, relation_ends_present, allowed_pairs,
     training_pairs, pair_texts, train_dev_split, label_weights, label_metrics, pipe_table_unpivot, negation_spans, note_day_offsets, term_stats, name_normalizer, timestamp_collapse, log_dedup_insert,
     latest_delivery, arrival_windows,
@@ -229,6 +258,9 @@ free AS (SELECT o.* FROM ord_ o JOIN go ON go.uid = o.uid AND go.rn = o.rn AND o
 _MODIFIER = "CASE " + " ".join(f"WHEN regexp_matches(line, '(?i)({words})') THEN '{name}'" for name, words in MODIFIER_WORDS) + " END"
 
 SQL = {
+    "stream_upsert": "SELECT patient_id, normalized_term, charted_at, value, max(loaded_at) AS loaded_at FROM event_df GROUP BY 1, 2, 3, 4",
+    "notes_read_back": "SELECT CAST(doc_id AS VARCHAR) AS uid, source AS name, md5(text) AS md5 FROM documents WHERE text IS NOT NULL AND source IS NOT NULL",
+    "tables_read_back": "SELECT normalized_term, count(*) AS n_events, count(DISTINCT patient_id) AS n_patients FROM event_df WHERE normalized_term IS NOT NULL GROUP BY 1",
     "bio_labels": f"WITH {_LABELS} SELECT uid, i, label FROM lab",
     "bio_islands": f"""WITH {_LABELS}, g AS (SELECT *, sum(CASE WHEN starts_with(label, 'I-') THEN 0 ELSE 1 END) OVER (PARTITION BY uid ORDER BY i) AS g FROM lab),
 n AS (SELECT uid, min(s) AS start, max(e) AS "end", max(l) AS label FROM g WHERE l IS NOT NULL GROUP BY uid, g)
