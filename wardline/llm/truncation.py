@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.catalog import bounded_rows
+from wardline.operators.skew import looked_up
 from wardline.session import cut_lineage
 
 #: Characters in a context, from the shortest.
@@ -35,8 +36,11 @@ CLOSING = re.compile(
 )
 #: Customary signs that text was left out behind them: fixed values.
 CUT_MARK = re.compile(r"(\s*(…|\.{2,}|\[\s*(more|\.\.\.|…|truncated|cut|cont|snip)[^\]\n]*\]?|<\s*(more|cut|truncated|snip)[^>\n]*>?|\(\s*(more|cont|cut|truncated|snip)[^)\n]*\)?))+$", re.IGNORECASE)
-MAX_CLOSING = 100_000
+#: A line counts as a closing line only where this share of all texts ends in it, so there are at most 1 / COMMON of them.
+COMMON = 0.0002
 MARKS = ".!?…。！？"
+#: Sizes at which a source may cut its texts off: of the whole text and of what is left without its ending.
+SIZES = ("bytes", "chars", "own", "own_bytes")
 
 
 def template(line: str) -> str:
@@ -142,7 +146,7 @@ class Rule:
 def _closing(documents: DataFrame, text: str) -> frozenset[str]:
     """Templates of last lines that follow on texts of different kinds: added behind them, not written by their author.
 
-    Counted over all documents. Lines of capitals alone are headings; a list or a table goes on in lines of its own
+    Counted over all documents; a line is learnt where 8 texts, and a share of COMMON of all, end in it. Lines of capitals alone are headings; a list or a table goes on in lines of its own
     kind only, so what follows a full stop in a quarter of cases or more, and something else too, is a closing mark.
     """
 
@@ -154,8 +158,9 @@ def _closing(documents: DataFrame, text: str) -> frozenset[str]:
     x = documents.select(last(F.col(text)).alias("x")).select("x.*").filter("line is not null")
     stop = F.col("before").isin(*MARKS)
     g = x.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(stop, 1).otherwise(0)).alias("stops"), F.count_distinct("before").alias("kinds"))
-    g = g.filter((F.col("n") >= 8) & (F.col("stops") >= F.col("n") / 4) & (F.col("kinds") >= 4) & ~F.col("line").rlike("^[^a-z]*[A-Z ]+$") & ~F.col("line").rlike(r"[|]"))
-    return frozenset(r.line for r in bounded_rows(g.select("line"), MAX_CLOSING, "the list of closing lines"))
+    least = max(8.0, COMMON * documents.count())
+    g = g.filter((F.col("n") >= least) & (F.col("stops") >= F.col("n") / 4) & (F.col("kinds") >= 4) & ~F.col("line").rlike("^[^a-z]*[A-Z ]+$") & ~F.col("line").rlike(r"[|]"))
+    return frozenset(r.line for r in bounded_rows(g.select("line"), round(1 / COMMON), "the list of closing lines"))
 
 
 def _ends(documents: DataFrame, key: str, text: str, closing: frozenset[str]) -> DataFrame:
@@ -286,7 +291,7 @@ def _model(documents: DataFrame, text: str, wanted: Wanted, closing: frozenset[s
 
 def _piles(ends: DataFrame, rule: Rule) -> DataFrame:
     """source, measure, size: sizes at which a source piles up against those within three per cent of them."""
-    x = ends.select("source", F.explode(F.create_map(*[y for m in ("chars", "bytes", "own", "own_bytes") for y in (F.lit(m), F.col(m))])).alias("measure", "size"))
+    x = ends.select("source", F.explode(F.create_map(*[y for m in SIZES for y in (F.lit(m), F.col(m))])).alias("measure", "size"))
     n = x.groupBy("source", "measure", "size").agg(F.count(F.lit(1)).alias("n"))
     reach = F.greatest(F.lit(8), F.floor(F.col("size") * 0.03)).cast("int")
     # neighbours by bands of size, so that each size meets those of its own band and the next ones only
@@ -329,14 +334,16 @@ def truncated(documents: DataFrame, rule: Rule | None = None, key: str = "doc_id
     whole = F.when(ended, F.col("p.line") + F.col("p.stop")).otherwise(F.col("p.line") + rule.dropped * F.col("p.stop"))
     d = d.withColumn("fit", F.greatest(whole, F.lit(1e-6)) / rule.base)
 
-    piles = _piles(ends, rule)
-    sized = ends.select(key, "source", F.explode(F.create_map(*[y for m in ("chars", "bytes", "own", "own_bytes") for y in (F.lit(m), F.col(m))])).alias("measure", "size"))
-    at = sized.join(piles, ["source", "measure", "size"]).groupBy(key).agg(F.min(F.concat_ws(":", "measure", "size")).alias("pile"))
-    d = d.join(at, key, "left")
-    group = d.withColumn("low", F.when(F.col("broken") | (F.col("fit") < 0.2), 1.0).otherwise(0.0))
-    rates = group.groupBy("lang", "source").agg(((F.sum("low") + 20 * rule.rate) / (F.count(F.lit(1)) + 20)).alias("rate"))
-    pile_rates = group.filter("pile is not null").groupBy("source", "pile").agg(((F.sum("low") + 1) / (F.count(F.lit(1)) + 2)).alias("pile_rate"))
-    d = group.join(rates, ["lang", "source"]).join(pile_rates, ["source", "pile"], "left")
+    # the pile a text lies in, the first in the order of names where it lies in several
+    piles = cut_lineage(_piles(ends, rule))
+    for m in SIZES:
+        of = piles.filter(F.col("measure") == m).select("source", F.col("size").alias(m), F.concat_ws(":", F.lit(m), "size").alias(f"_{m}"))
+        d = looked_up(d, of, ["source", m], "left", key)
+    low = F.when(F.col("broken") | (F.col("fit") < 0.2), 1.0).otherwise(0.0)
+    d = cut_lineage(d.select(key, "lang", "source", "broken", "marked", "fit", low.alias("low"), F.coalesce(*[F.col(f"_{m}") for m in SIZES]).alias("pile")))
+    rates = d.groupBy("lang", "source").agg(((F.sum("low") + 20 * rule.rate) / (F.count(F.lit(1)) + 20)).alias("rate"))
+    pile_rates = d.filter("pile is not null").groupBy("source", "pile").agg(((F.sum("low") + 1) / (F.count(F.lit(1)) + 2)).alias("pile_rate"))
+    d = looked_up(looked_up(d, rates, ["lang", "source"], "inner", key), pile_rates, ["source", "pile"], "left", key)
     prior = F.least(F.greatest(F.coalesce("pile_rate", "rate"), F.lit(1e-4)), F.lit(0.999))
     odds = F.when(F.col("broken"), 20.0).otherwise(F.ln(prior / (1 - prior)) - F.ln("fit") + F.when(F.col("marked"), rule.sign).otherwise(0.0))
     return d.select(key, F.col("lang"), F.col("source"), odds.alias("log_odds"), (odds > rule.threshold).alias("truncated"))
