@@ -174,3 +174,29 @@ def test_islands_with_confidence(spark):
         one = df.select("uid", F.inline(T.joined_spans(F.col("w"), least)))
         two = T.bio_spans(df.select("uid", F.inline("w")), "uid", least)
         assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.select(*one.columns).collect()))
+
+
+def test_widened_labels():
+    assert T.widened(["O", "B-X", "I-X", "O", "B-Y", "O", "O"]) == ["B-X", "I-X", "I-X", "I-X", "B-Y", "I-Y", "O"]
+    assert T.widened(["B-X", "O", "O", "B-X"]) == ["B-X", "I-X", "B-X", "I-X"]
+    assert T.widened([]) == [] and T.widened(["O"]) == ["O"]
+
+
+def test_models_are_plugged_in(spark):
+    df = spark.createDataFrame([(1, "aa BB cc"), (2, None), (3, "")], "k int, t string").coalesce(1)
+
+    def model():
+        return lambda texts: [[{"start": 3, "end": 5, "label": "X", "confidence": 0.9}, {"start": 0, "end": 2, "label": "Y", "confidence": 0.2}] if t else [] for t in texts]
+
+    got = {r.k: r.found for r in T.extracted(df, model, "t", 0.5).collect()}
+    assert [(s.id, s.start, s.label) for s in got[1]] == [("e1", 3, "X")] and got[2] is None and got[3] == []
+    rel = lambda: lambda texts: [("R", 0.95) if "1" in t else ("NO_RELATION", 0.99) if "2" in t else ("R", 0.6) for t in texts]
+    pairs = spark.createDataFrame([("1", "clash"), ("2", "clash"), ("3", "clash"), (None, "clash")], "m string, relation string")
+    assert [(r.m, r.relation, r.confidence) for r in T.related(pairs, rel, "m").collect()] == [("1", "R", 0.95)]
+
+
+def test_the_surest_time_and_negation_hold(spark):
+    spans = spark.createDataFrame([("u", "c1", 10, "C_ENT"), ("u", "c2", 50, "C_ENT"), ("u", "t1", 0, "TIME"), ("u", "t2", 30, "TIME"), ("u", "n1", 5, "NEGATION"), ("u", "c3", 90, "C_ENT")], "uid string, id string, start int, label string")
+    rel = [("u", "c1", "t1", "TIME_RELATION", 0.7), ("u", "c1", "t2", "TIME_RELATION", 0.9), ("u", "c1", "n1", "NEGATION_RELATION", 0.8), ("u", "c2", "t1", "TIME_RELATION", None), ("u", "c2", "t2", "TIME_RELATION", None), ("u", "c2", "n1", "NEGATION_RELATION", 0.1), ("u", "c2", "gone", "TIME_RELATION", 1.0)]
+    got = {r.id: (r.time_id, r.negation_id, r.negated, r.n_times, r.n_negations) for r in T.settled(spans, spark.createDataFrame(rel, "uid string, head string, child string, label string, confidence double"), ["uid"]).collect()}
+    assert got == {"c1": ("t2", "n1", False, 2, 1), "c2": ("t2", "n1", True, 2, 1), "c3": (None, None, False, 0, 0)}

@@ -6,6 +6,7 @@ stand in for ``tokens`` as long as it gives the same columns. Spans are structs
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -132,6 +133,20 @@ def token_labels(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[tup
     return places, ["O" if x is None else ("I-" if i and best[i - 1] and best[i - 1][1] == x[1] else "B-") + x[1] for i, x in enumerate(best)]
 
 
+def widened(labels: list[str]) -> list[str]:
+    """BIO labels whose entities take in the free word before and after them; a word between two entities goes to the first."""
+    kind = [None, *(x[2:] if x != "O" else None for x in labels), None]
+    out = list(labels)
+    for i, x in enumerate(labels):
+        if x != "O":
+            continue
+        if kind[i]:
+            out[i] = f"I-{kind[i]}"
+        elif kind[i + 2]:
+            out[i], out[i + 1] = f"B-{kind[i + 2]}", f"I-{kind[i + 2]}"
+    return out
+
+
 def islands(places: list[tuple[int, int]], labels: list[str], confidence: list[float] | None = None, least: float | None = None) -> list[dict]:
     """Spans of one text from its labelled words, as bio_spans gives them."""
     out: list[list] = []
@@ -150,8 +165,11 @@ def islands(places: list[tuple[int, int]], labels: list[str], confidence: list[f
     return [{"id": f"e{i}", "start": a, "end": b, "label": k, "confidence": round(c, 3)} for i, (a, b, k, c) in enumerate(sorted(out, key=lambda x: x[:3]), 1)]
 
 
-def labelled(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """df with labels, an array of (i, start, end, label): the BIO labels of the words of each text, without moving any row."""
+def labelled(df: DataFrame, text: str = "text", spans: str = "spans", widen: bool = False) -> DataFrame:
+    """df with labels, an array of (i, start, end, label): the BIO labels of the words of each text, without moving any row.
+
+    With ``widen``, entities take in one free word on either side.
+    """
     kind = pa.list_(pa.struct([("i", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
 
     @F.arrow_udf("array<struct<i:int,start:int,end:int,label:string>>")
@@ -159,7 +177,11 @@ def labelled(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFra
         out = []
         for t, a, b, c in zip(*(x.to_pylist() for x in (texts, s, e, lab))):
             good = [(x, y, z) for x, y, z in zip(a or (), b or (), c or ()) if x is not None and y is not None and z is not None and y > x >= 0]
-            out.append(None if t is None else [{"i": i, "start": p[0], "end": p[1], "label": x} for i, (p, x) in enumerate(zip(*token_labels(t, good)))])
+            if t is None:
+                out.append(None)
+                continue
+            places, labels = token_labels(t, good)
+            out.append([{"i": i, "start": p[0], "end": p[1], "label": x} for i, (p, x) in enumerate(zip(places, widened(labels) if widen else labels))])
         return pa.array(out, kind)
 
     return df.withColumn("labels", of(F.col(text), *[F.transform(spans, lambda x: x[c]) for c in ("start", "end", "label")]))  # noqa: B023
@@ -302,6 +324,83 @@ def metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return s.select("label", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), ratio(F.sum("tp").over(Window.partitionBy()), all_).alias("accuracy"))
 
 
+def with_token_places(df: DataFrame, key: str, text: str = "text", spans: str = "spans") -> DataFrame:
+    """The spans of each text (see exploded), with token, the number of words that end at or before the begin of the span."""
+
+    @F.arrow_udf("array<int>")
+    def places(texts: pa.Array, starts: pa.Array) -> pa.Array:
+        out = []
+        for t, s in zip(texts.to_pylist(), starts.to_pylist()):
+            ends = [m.end() for m in _WORD.finditer(t or "")]
+            out.append(None if t is None or s is None else [None if x is None else bisect_right(ends, x) for x in s])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    at = places(F.col(text), F.transform(spans, lambda x: x["start"]))
+    both = df.select(key, spans, at.alias("_at")).select(key, F.posexplode(F.arrays_zip(F.col(spans).alias("s"), F.col("_at").alias("token"))).alias("ord", "_z"))
+    return both.select(key, "ord", "_z.s", "_z.token").filter("s is not null").select(key, "ord", "s.*", "token")
+
+
+def extracted(df: DataFrame, model: Callable[[], Callable[[list[str]], list[list[dict]]]], text: str = "text", least: float = 0.0) -> DataFrame:
+    """df with found, an array of (id, start, end, label, confidence): what a model of one's own finds in each text.
+
+    ``model`` is called once in each Python worker and gives a function from texts to lists of spans; texts come to it
+    by Arrow batches and no row is moved. Spans below the confidence ``least`` are left out; null texts have none.
+    """
+    kind = pa.list_(pa.struct([("id", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("confidence", pa.float64())]))
+    loaded: list[Callable[[list[str]], list[list[dict]]]] = []
+
+    @F.arrow_udf("array<struct<id:string,start:int,end:int,label:string,confidence:double>>")
+    def found(texts: pa.Array) -> pa.Array:
+        if not loaded:
+            loaded.append(model())
+        ts = texts.to_pylist()
+        of = iter(loaded[0]([t for t in ts if t is not None]))
+        rows = [None if t is None else [{"id": s.get("id") or f"e{i}", "start": s["start"], "end": s["end"], "label": s["label"], "confidence": s.get("confidence", 1.0)} for i, s in enumerate(next(of), 1) if s.get("confidence", 1.0) >= least] for t in ts]
+        return pa.array(rows, kind)
+
+    return df.withColumn("found", found(F.col(text)))
+
+
+def related(pairs: DataFrame, model: Callable[[], Callable[[list[str]], list[tuple[str, float]]]], marked: str, least: float = 0.6) -> DataFrame:
+    """pairs with relation and confidence, those that a model of one's own sets above ``least``; NO_RELATION gives no row.
+
+    ``marked`` holds the text of a pair with its head and child in tags; the model gives a label and a confidence for each.
+    """
+    loaded: list[Callable[[list[str]], list[tuple[str, float]]]] = []
+
+    @F.arrow_udf("struct<relation:string,confidence:double>")
+    def found(texts: pa.Array) -> pa.Array:
+        if not loaded:
+            loaded.append(model())
+        ts = texts.to_pylist()
+        of = iter(loaded[0]([t for t in ts if t is not None]))
+        return pa.array([None if t is None else dict(zip(("relation", "confidence"), next(of))) for t in ts], pa.struct([("relation", pa.string()), ("confidence", pa.float64())]))
+
+    r = pairs.withColumn("_r", found(F.col(marked))).select(*[c for c in pairs.columns if c not in ("relation", "confidence")], "_r.relation", "_r.confidence")
+    return r.filter((F.col("relation") != "NO_RELATION") & (F.col("confidence") > least))
+
+
+def settled(spans: DataFrame, relations: DataFrame, keys: list[str], concept: str = "C_ENT") -> DataFrame:
+    """For each concept the one time and the negation that hold: keys, id, time_id, negation_id, negated, n_times, n_negations.
+
+    Of several relations of a kind the one of the highest confidence holds, then the one that stands nearest, then the
+    earlier one (null confidence counts as 0). A concept is negated if its best negation is at least as sure as its best
+    time is; a sure time speaks for something that took place. Relations to missing spans count for nothing.
+    """
+    place = spans.select(*keys, "id", "start").groupBy(*keys, "id").agg(F.min("start").alias("start"))
+    c = spans.filter(F.col("label") == concept).select(*keys, "id").distinct()
+    side = lambda name: place.select(*keys, F.col("id").alias(name), F.col("start").alias(f"_{name}"))
+    r = relations.join(side("head"), [*keys, "head"]).join(side("child"), [*keys, "child"])
+    rank = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.abs(F.col("_head") - F.col("_child")).alias("far"), F.col("_child").alias("at"), F.col("child").alias("child"))
+    kind = {"time": F.col("label") == "TIME_RELATION", "negation": F.col("label") == "NEGATION_RELATION"}
+    best = r.groupBy(*keys, F.col("head").alias("id")).agg(*[x for n, k in kind.items() for x in (F.min(F.when(k, rank)).alias(n), F.count_distinct(F.when(k, F.col("child"))).alias(f"n_{n}s"))])
+    d = c.join(best, [*keys, "id"], "left")
+    sure = lambda n: -F.col(f"{n}.c")
+    negated = F.col("negation").isNotNull() & (F.col("time").isNull() | (sure("negation") >= sure("time")))
+    zero = F.lit(0).cast("bigint")
+    return d.select(*keys, "id", F.col("time.child").alias("time_id"), F.col("negation.child").alias("negation_id"), F.coalesce(negated, F.lit(False)).alias("negated"), F.coalesce("n_times", zero).alias("n_times"), F.coalesce("n_negations", zero).alias("n_negations"))
+
+
 # notes ---------------------------------------------------------------------------------------------------------------
 
 

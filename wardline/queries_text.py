@@ -1,5 +1,6 @@
 """Queries on notes, spans, relations and logs, with their SQL."""
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -185,6 +186,34 @@ def document_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(modifier_of(F.col("line")).alias("modifier")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def bio_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.labelled(_training(spark, sf_dir).select("uid", "text", "spans"), widen=True)
+    return t.select("uid", F.inline("labels")).select("uid", "i", "label")
+
+
+def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allowed pairs of spans up to 100 words apart."""
+    s = text.with_token_places(_training(spark, sf_dir), "uid")
+    return text.allowed_pairs(s, ["uid"], at="token", farthest=100)
+
+
+def settled_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _training(spark, sf_dir)
+    return text.settled(text.exploded(t, "uid"), text.exploded(t, "uid", "relations"), ["uid"])
+
+
+def _drug_names():
+    """A stand-in for a model: capital words of four letters or more, the longer the surer."""
+    word = re.compile(r"\b[A-Z]{4,}\b")
+    return lambda texts: [[{"start": m.start(), "end": m.end(), "label": "C_ENT", "confidence": min(1.0, len(m[0]) / 8)} for m in word.finditer(t)] for t in texts]
+
+
+def extracted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of a model plugged in, those of a confidence of 0.6 or more."""
+    d = text.extracted(_training(spark, sf_dir).select("uid", "text"), _drug_names, least=0.6)
+    return d.select("uid", F.inline("found")).select("uid", "start", "end", "label", "confidence")
+
+
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings taken in as a stream and merged into a table, so that of each the last delivery is left."""
     folder = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
@@ -216,7 +245,7 @@ def patients_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    document_modifiers, patients_clean, stream_upsert, notes_read_back, tables_read_back,
+    document_modifiers, patients_clean, bio_widened, token_pairs, settled_concepts, extracted_spans, stream_upsert, notes_read_back, tables_read_back,
     word_tokens, chunk_windows, chunk_trusted, chunk_centred, span_chunks, bio_labels, bio_islands, span_nms, span_texts, tagged_texts, table_marks, relation_best, relation_ends_present, allowed_pairs,
     training_pairs, pair_texts, train_dev_split, label_weights, label_metrics, pipe_table_unpivot, negation_spans, note_day_offsets, term_stats, name_normalizer, timestamp_collapse, log_dedup_insert,
     latest_delivery, arrival_windows,
@@ -261,6 +290,19 @@ SQL = {
     "stream_upsert": "SELECT patient_id, normalized_term, charted_at, value, max(loaded_at) AS loaded_at FROM event_df GROUP BY 1, 2, 3, 4",
     "notes_read_back": "SELECT CAST(doc_id AS VARCHAR) AS uid, source AS name, md5(text) AS md5 FROM documents WHERE text IS NOT NULL AND source IS NOT NULL",
     "tables_read_back": "SELECT normalized_term, count(*) AS n_events, count(DISTINCT patient_id) AS n_patients FROM event_df WHERE normalized_term IS NOT NULL GROUP BY 1",
+    "bio_widened": f"""WITH {_LABELS}, n AS (SELECT uid, i, l, label, lag(l) OVER w AS before, lead(l) OVER w AS after, lag(label, 1, 'O') OVER w AS label_before, lag(l, 2) OVER w AS before2 FROM lab WINDOW w AS (PARTITION BY uid ORDER BY i))
+SELECT uid, i, CASE WHEN l IS NULL AND before IS NOT NULL THEN 'I-' || before WHEN l IS NULL AND after IS NOT NULL THEN 'B-' || after WHEN l IS NULL THEN 'O' WHEN i > 0 AND before IS NULL AND before2 IS NULL THEN 'I-' || l ELSE label END AS label FROM n""",
+    "token_pairs": f"""WITH {_TOKENS}, s AS ({_SPANS}), a(x, y, label) AS (VALUES ('C_ENT', 'TIME', 'TIME_RELATION'), ('TABLE', 'TIME', 'TIME_RELATION'), ('C_ENT', 'NEGATION', 'NEGATION_RELATION')),
+w AS (SELECT s.uid, s.ord, s.id, s.label, count(t.i) AS n FROM s LEFT JOIN tok t ON t.uid = s.uid AND t.e <= s.start GROUP BY ALL)
+SELECT h.uid, h.id AS head, c.id AS child, a.label, CAST(abs(h.n - c.n) AS INTEGER) AS distance FROM w h JOIN a ON a.x = h.label JOIN w c ON c.uid = h.uid AND c.label = a.y AND c.id <> h.id WHERE abs(h.n - c.n) <= 100""",
+    "settled_concepts": f"""WITH s AS ({_SPANS}), p AS (SELECT uid, id, min(start) AS pos FROM s GROUP BY ALL), c AS (SELECT DISTINCT uid, id FROM s WHERE label = 'C_ENT'),
+r AS (SELECT r.uid, r.head, r.child, r.label, coalesce(r.confidence, 0) AS conf, abs(h.pos - k.pos) AS far, k.pos FROM ({_RELS}) r JOIN p h ON h.uid = r.uid AND h.id = r.head JOIN p k ON k.uid = r.uid AND k.id = r.child),
+b AS (SELECT *, row_number() OVER (PARTITION BY uid, head, label ORDER BY conf DESC, far, pos, child) AS rn FROM r),
+n AS (SELECT uid, head, count(DISTINCT CASE WHEN label = 'TIME_RELATION' THEN child END) AS n_times, count(DISTINCT CASE WHEN label = 'NEGATION_RELATION' THEN child END) AS n_negations FROM r GROUP BY ALL)
+SELECT c.uid, c.id, t.child AS time_id, g.child AS negation_id, g.child IS NOT NULL AND (t.child IS NULL OR g.conf >= t.conf) AS negated, coalesce(n_times, 0) AS n_times, coalesce(n_negations, 0) AS n_negations
+FROM c LEFT JOIN b t ON t.uid = c.uid AND t.head = c.id AND t.rn = 1 AND t.label = 'TIME_RELATION' LEFT JOIN b g ON g.uid = c.uid AND g.head = c.id AND g.rn = 1 AND g.label = 'NEGATION_RELATION' LEFT JOIN n ON n.uid = c.uid AND n.head = c.id""",
+    "extracted_spans": r"""WITH c AS (SELECT uid, text, unnest(range(0, length(text))) AS i FROM training_data), m AS (SELECT uid, i, text, regexp_extract(substring(text, i + 1), '^[A-Z]{4,}\b') AS w FROM c WHERE i = 0 OR NOT regexp_full_match(substring(text, i, 1), '\w'))
+SELECT uid, CAST(i AS INTEGER) AS start, CAST(i + length(w) AS INTEGER) AS "end", 'C_ENT' AS label, least(1.0, length(w) / 8) AS confidence FROM m WHERE w <> '' AND length(w) / 8 >= 0.6""",
     "bio_labels": f"WITH {_LABELS} SELECT uid, i, label FROM lab",
     "bio_islands": f"""WITH {_LABELS}, g AS (SELECT *, sum(CASE WHEN starts_with(label, 'I-') THEN 0 ELSE 1 END) OVER (PARTITION BY uid ORDER BY i) AS g FROM lab),
 n AS (SELECT uid, min(s) AS start, max(e) AS "end", max(l) AS label FROM g WHERE l IS NOT NULL GROUP BY uid, g)
