@@ -529,6 +529,15 @@ SELECT source_table, row_id, normalized_term, unit AS unit_code, factor <> 1 OR
     "trend_evidence": f"WITH {ANCHORED_SQL} SELECT t.*, patient_name, age, sex FROM trends t JOIN patient_df p ON p.patient_id = t.patient_id WHERE normalized_term = 'creatinine' AND anchor1 = 'admission_start' AND anchor2 = 'latest' AND change = 'uptrended'",
     "active_aliases": r"""SELECT alias_id, lower(trim(regexp_replace(regexp_replace(alias, '[-_]', ' ', 'g'), '\s+', ' ', 'g'))) AS alias, target_kind, canonical, coalesce(priority, 100) AS priority
 FROM alias_to_canonical_df WHERE coalesce(status, 'active') = 'active'""",
+    # the table of the longest common subsequence, a row for each letter of the phrase, running maxima along a row
+    "alias_best_match": r"""WITH norm AS (SELECT DISTINCT lower(trim(regexp_replace(source_entity, '[-_\s]+', ' ', 'g'))) AS phrase FROM event_df WHERE normalized_term IS NULL AND source_entity IS NOT NULL),
+a AS (SELECT lower(trim(regexp_replace(alias, '[-_\s]+', ' ', 'g'))) AS alias, target_kind, canonical, coalesce(priority, 100) AS priority FROM alias_to_canonical_df WHERE coalesce(status, 'active') = 'active'),
+j AS (SELECT phrase, alias FROM norm, (SELECT DISTINCT alias FROM a) b WHERE phrase <> '' AND alias <> '' AND levenshtein(phrase, alias) <= (length(phrase) + length(alias)) * 0.08 + 1e-9),
+l AS (SELECT phrase, alias, string_split(alias, '') AS b FROM j),
+t AS (SELECT phrase, alias, list_reduce(string_split(phrase, ''), lambda acc, ch: list_transform(range(1, len(b) + 1), lambda q: list_max(list_transform(range(1, q + 1), lambda k: CASE WHEN b[k] = ch THEN coalesce(acc[k - 1], 0) + 1 ELSE acc[k] END))), list_transform(b, lambda z: CAST(0 AS BIGINT))) AS r FROM l),
+s AS (SELECT phrase, alias, 200.0 * r[len(r)] / (length(phrase) + length(alias)) AS score FROM t),
+w AS (SELECT s.phrase, target_kind, canonical, s.alias, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY s.phrase, target_kind ORDER BY score DESC, priority, canonical, s.alias) AS rn FROM s JOIN a ON a.alias = s.alias WHERE score >= CASE WHEN length(s.phrase) < 6 AND length(s.alias) < 6 THEN 97 ELSE 92 END)
+SELECT phrase, target_kind, canonical, alias, score FROM w WHERE rn = 1""",
     "class_expansion": "SELECT concept_class, string_agg(term, ', ' ORDER BY coalesce(priority, 100), term) AS terms FROM term_concept_class_map_df WHERE coalesce(status, 'active') = 'active' GROUP BY 1",
     "vector_topk": """WITH s AS (SELECT q.vec_id AS query, v.vec_id AS key, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, key) AS rn FROM s) SELECT query, key, round(similarity, 5) AS similarity FROM r WHERE rn <= 32""",
