@@ -168,7 +168,32 @@ _BUCKET = f"""CASE WHEN value = 0 THEN 0 WHEN value > 0 THEN CAST(ceil(ln(value)
     ELSE -(CAST(ceil(ln(-value) / {_G}) AS BIGINT) + {percentiles.OFFSET}) END"""
 _VALUE = "CASE WHEN b = 0 THEN 0.0 ELSE sign(b) * 2 / (1 + (1 + {e}) / (1 - {e})) * pow((1 + {e}) / (1 - {e}), abs(b) - {o}) END".format(e=ERROR, o=percentiles.OFFSET)
 
+_ROOM = "CASE WHEN length({0}) < 3 THEN 0 WHEN length({0}) < 6 THEN 1 ELSE 2 END"
+_EDITS = f"least({_ROOM.format('w')}, {_ROOM.format('v')})"
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}+]+')"
+#: Entries with their best canonical and score, by all pairs of words; for small tables.
+_CANONICAL = f"""al0 AS (SELECT {_WORDS.format('alias')} AS ws, canonical, coalesce(priority, 100) AS p FROM alias_to_canonical_df WHERE coalesce(status, 'active') = 'active' AND alias IS NOT NULL AND canonical IS NOT NULL),
+ali AS (SELECT row_number() OVER () AS i, ws, canonical, p FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY p, canonical) AS rn FROM al0 WHERE len(ws) > 0) x WHERE rn = 1),
+aw AS (SELECT DISTINCT i, unnest(ws) AS v FROM ali), idf AS (SELECT v, ln(1 + (SELECT count(*) FROM ali) / count(*)) AS f FROM aw GROUP BY v), sized AS (SELECT i, sum(f * f) AS size FROM aw JOIN idf USING (v) GROUP BY i),
+ent AS (SELECT source_entity AS entry, count(*) AS n FROM event_df WHERE normalized_term IS NULL AND source_entity IS NOT NULL GROUP BY 1),
+ew0 AS (SELECT entry, list_filter({_WORDS.format('entry')}, lambda w: w NOT IN ({', '.join(repr(w) for w in canonical.DECORATION)}) AND NOT regexp_full_match(w, 'x[0-9]+')) AS ws FROM ent),
+ew AS (SELECT entry, unnest(ws) AS w FROM ew0), dw AS (SELECT DISTINCT w FROM ew),
+nr0 AS (SELECT w, v, damerau_levenshtein(w, v) AS d FROM dw, idf WHERE abs(length(w) - length(v)) <= 2 AND damerau_levenshtein(w, v) <= {_EDITS}),
+nr AS (SELECT w, v, d FROM (SELECT *, min(d) OVER (PARTITION BY w) AS least_ FROM nr0) x WHERE d = least_),
+one AS (SELECT entry, min(v) AS one FROM ew JOIN nr USING (w) GROUP BY entry),
+noise AS (SELECT w FROM (SELECT DISTINCT entry, w FROM ew WHERE w NOT IN (SELECT w FROM nr)) u LEFT JOIN one USING (entry) GROUP BY w HAVING count(DISTINCT one) >= greatest(2.0, 0.1 * (SELECT count(*) FROM idf))),
+wt AS (SELECT dw.w, coalesce(max(f), ln(1 + (SELECT count(*) FROM ali))) AS weight FROM dw LEFT JOIN nr ON nr.w = dw.w LEFT JOIN idf ON idf.v = nr.v GROUP BY 1),
+plain AS (SELECT entry, w, weight FROM ew JOIN wt USING (w) WHERE w NOT IN (SELECT w FROM noise)), normed AS (SELECT entry, sum(weight * weight) AS norm FROM plain GROUP BY 1),
+hit AS (SELECT entry, i, nr.v, max(weight * f * (1 - d / greatest(length(nr.w), length(nr.v)))) AS s FROM plain JOIN nr ON nr.w = plain.w JOIN idf ON idf.v = nr.v JOIN aw ON aw.v = nr.v GROUP BY ALL),
+wh AS (SELECT entry, i, d, v FROM (SELECT *, min(d) OVER (PARTITION BY entry) AS least_ FROM (SELECT entry, i, w, v, damerau_levenshtein(w, v) AS d FROM (SELECT entry, array_to_string(ws, '') AS w FROM ew0) e, (SELECT i, array_to_string(ws, '') AS v FROM ali) a
+  WHERE length(v) >= 5 AND abs(length(w) - length(v)) <= 2 AND damerau_levenshtein(w, v) <= {_EDITS}) y) x WHERE d = least_),
+scored AS (SELECT entry, i, round(sum(s) / sqrt(any_value(norm) * any_value(size)), 9) AS score FROM hit JOIN normed USING (entry) JOIN sized USING (i) GROUP BY entry, i UNION ALL SELECT entry, i, round(1 - d / length(v), 9) FROM wh),
+ranked AS (SELECT entry, canonical, score, row_number() OVER (PARTITION BY entry ORDER BY score DESC, p, canonical) AS rn FROM scored JOIN ali USING (i)),
+meant AS (SELECT ent.entry, n, CASE WHEN score >= 0.76 THEN canonical ELSE '{canonical.UNMATCHED}' END AS canonical FROM ent LEFT JOIN ranked ON ranked.entry = ent.entry AND rn = 1)"""
+
 SQL = {
+    "p4_found": f"WITH {_CANONICAL} SELECT event_id, canonical FROM event_df JOIN meant ON entry = source_entity WHERE normalized_term IS NULL",
+    "p4_unmatched": f"WITH {_CANONICAL} SELECT entry, n FROM meant WHERE canonical = '{canonical.UNMATCHED}'",
     "p1_percentiles": f"""
 WITH x AS (SELECT normalized_term, {_BUCKET} AS b FROM event_df WHERE value IS NOT NULL AND NOT isnan(value)),
 r AS (SELECT normalized_term, b, row_number() OVER (PARTITION BY normalized_term ORDER BY b) - 1 AS i, count(*) OVER (PARTITION BY normalized_term) AS n FROM x),
