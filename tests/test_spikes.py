@@ -127,7 +127,8 @@ def test_verdicts_do_not_depend_on_partitions_and_blocks(spark, mixed, whole, pa
 def test_blocks_hold_all_rows_once_and_near_the_limit(spark):
     """Outlying times, one instant of many rows, null keys."""
     rows = [(None, i, 0 if i < 3 else 10**15 + i // 2, i * 7919 % 10_007) for i in range(3000)] + [("b", 5000 + i, 77, i * 1_000_003) for i in range(700)] + [("c", 9000 + i, i, 0) for i in range(50)]
-    df = in_blocks(keyed(spark.createDataFrame(rows, "k string, row_id bigint, t bigint, chash bigint"), ["k"]), 100)
+    df, twins = in_blocks(keyed(spark.createDataFrame(rows, "k string, row_id bigint, t bigint, chash bigint"), ["k"]), 100)
+    assert not twins
     got = df.collect()
     core = [r for r in got if r.core]
     assert sorted(r.row_id for r in core) == sorted(r[1] for r in rows)
@@ -142,6 +143,15 @@ def test_blocks_hold_all_rows_once_and_near_the_limit(spark):
             assert sum((r.t, r.chash >> 2) < min(x[:2] for x in mine if x[2] == b) for r in seen) >= 64
 
 
+def test_more_copies_than_fit_into_a_block(spark):
+    v = noise(150, 9)
+    v[40], v[90] = 250.0, 9999.0
+    rows = rows_of(v)
+    rows += [(1000 + 100 * j + i, *rows[j][1:]) for j in (40, 60, 90) for i in range(70)]
+    want = {40: "spike", 90: "impossible"} | {1000 + 100 * j + i: k for j, k in ((40, "spike"), (90, "impossible")) for i in range(70)}
+    assert found(spark, rows, 50) == want == found(spark, rows)
+
+
 def test_medians_and_starts():
     seg = np.array([0, 0, 0, 1, 1, 3])
     m, n = medians(seg, np.array([3.0, 1.0, np.nan, 5.0, 7.0, 2.0]), 4)

@@ -27,20 +27,23 @@ def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumns({"s1": F.xxhash64(*keys), "s2": F.xxhash64(F.lit("second"), *keys)})
 
 
-def in_blocks(df: DataFrame, limit: int, t: str = "t", tie: str = "chash") -> DataFrame:
-    """Adds block (int), core and hot (boolean) to rows of keyed series. Series of up to ``limit`` rows are block 0, not hot.
+def in_blocks(df: DataFrame, limit: int, t: str = "t", tie: str = "chash") -> tuple[DataFrame, bool]:
+    """Adds block (int), core, hot and twin (boolean) to rows of keyed series; and whether there are twins.
+
+    Series of up to ``limit`` rows are block 0, not hot.
 
     Longer ones are cut by rank in the order of t and tie, into blocks of about ``limit`` rows: cells of equal width
     are counted, those that hold more than a quarter of the limit are divided again, by t and, where they hold one
     instant, by tie; cells in a row make a block. Cells within EDGE rows of a border are copied to the neighbouring
-    block with core = false. Rows of equal t and tie (copies) stay together. Counts, not samples, decide, so the cuts
-    depend on the rows alone. t and tie are bigints without nulls.
+    block with core = false. Rows of equal t and tie (copies) stay together; where there are more than ``limit`` of
+    them, they are marked as twins and count as one row, see lone. Counts, not samples, decide, so the cuts depend on
+    the rows alone. t and tie are bigints without nulls.
     """
     x = df.withColumns({"_t": F.col(t), "_h": F.shiftright(tie, 2)})  # two bits less, so that no difference overflows
     size = [F.count(F.lit(1)).alias("_n"), *[f(c).alias(a) for c, lo, hi in (("_t", "_t0", "_t1"), ("_h", "_h0", "_h1")) for f, a in ((F.min, lo), (F.max, hi))]]
     found = cut_lineage(x.groupBy(*SERIES).agg(*size).filter(F.col("_n") > limit))
     if found.isEmpty():
-        return df.withColumns({"block": F.lit(0), "core": F.lit(True), "hot": F.lit(False)})
+        return df.withColumns({"block": F.lit(0), "core": F.lit(True), "hot": F.lit(False), "twin": F.lit(False)}), False
     nodes, leaves, path = [], [], []
     rows = x
     while True:
@@ -53,7 +56,7 @@ def in_blocks(df: DataFrame, limit: int, t: str = "t", tie: str = "chash") -> Da
         path = [*path, f"_c{k}"]
         cells = cut_lineage(rows.groupBy(*SERIES, *path).agg(*size))
         wide = (F.col("_n") > max(1, limit // 4)) & ((F.col("_t0") < F.col("_t1")) | (F.col("_h0") < F.col("_h1")))
-        leaves.append(cells.filter(~wide).select(*SERIES, F.array(*path).alias("path"), "_n"))
+        leaves.append(cells.filter(~wide).select(*SERIES, F.array(*path).alias("path"), F.when(F.col("_n") > limit, 1).otherwise(F.col("_n")).alias("_n"), (F.col("_n") > limit).alias("_twin")))
         found = cells.filter(wide)
         if found.isEmpty():
             break
@@ -67,7 +70,7 @@ def in_blocks(df: DataFrame, limit: int, t: str = "t", tie: str = "chash") -> Da
     one = Window.partitionBy(*SERIES, "block")
     head = F.col("_cum") - F.min("_cum").over(one) < EDGE
     tail = F.max(F.col("_cum") + F.col("_n")).over(one) - F.col("_cum") - F.col("_n") < EDGE
-    coded = cut_lineage(every.select(*SERIES, "path", (F.col("block") * 4 + F.when(head & (F.col("block") > 0), 2).otherwise(0) + F.when(tail & (F.col("block") < F.max("block").over(of)), 1).otherwise(0)).alias("code")))
+    coded = cut_lineage(every.select(*SERIES, "path", "_twin", (F.col("block") * 8 + F.when(F.col("_twin"), 4).otherwise(0) + F.when(head & (F.col("block") > 0), 2).otherwise(0) + F.when(tail & (F.col("block") < F.max("block").over(of)), 1).otherwise(0)).alias("code")))
     out, code = df.withColumns({"_t": F.col(t), "_h": F.shiftright(tie, 2)}), []
     for k, node in enumerate(nodes):
         mine = coded.filter(F.size("path") == k + 1).select(*SERIES, *[F.col("path")[j].alias(f"_c{j}") for j in range(k)], F.struct(F.col("path")[k].alias("c"), "code").alias("e"))
@@ -77,12 +80,37 @@ def in_blocks(df: DataFrame, limit: int, t: str = "t", tie: str = "chash") -> Da
         out = looked_up(out, node, [*SERIES, *path[:k]], "left", "row_id").withColumn(path[k], _cell(k))
         code.insert(0, F.get(f"_codes{k}", F.col(path[k])))
     out = out.withColumn("_code", F.coalesce(*code))
-    b = F.shiftright("_code", 2)
+    b = F.shiftright("_code", 3)
     place = lambda at, core: F.array(F.struct(at.cast("int").alias("block"), F.lit(core).alias("core")))
     none = F.array().cast("array<struct<block:int,core:boolean>>")
     has = lambda bit: F.col("_code").bitwiseAND(F.lit(bit)) > 0
     blocks = F.when(F.col("_code").isNull(), place(F.lit(0), True)).otherwise(F.concat(place(b, True), F.when(has(2), place(b - 1, False)).otherwise(none), F.when(has(1), place(b + 1, False)).otherwise(none)))
-    return out.withColumn("_p", F.explode(blocks)).select(*df.columns, "_p.block", "_p.core", F.col("_code").isNotNull().alias("hot"))
+    out = out.withColumn("_p", F.explode(blocks)).select(*df.columns, "_p.block", "_p.core", F.col("_code").isNotNull().alias("hot"), F.coalesce(has(4), F.lit(False)).alias("twin"))
+    return out, not coded.filter("_twin").isEmpty()
+
+
+TWINS = [*SERIES, "t", "chash"]
+
+
+def lone(rows: DataFrame, twins: bool) -> DataFrame:
+    """rows (row_id and what is equal in copies) with one row, that of the lowest row_id, for each group of twins."""
+    if not twins:
+        return rows.drop("twin")
+    by = [*TWINS, "block"]
+    one = rows.filter("twin").groupBy(*by).agg(F.min("row_id").alias("row_id"), *[F.first(c).alias(c) for c in rows.columns if c not in (*by, "row_id")])
+    return rows.filter(~F.col("twin")).unionByName(one).drop("twin")
+
+
+def for_twins(judged: DataFrame, rows: DataFrame, twins: bool, key: str = "row_id") -> DataFrame:
+    """judged (one row a ``key``), with the row of the lowest key of each group of twins repeated for all others of it."""
+    if not twins:
+        return judged
+    of = rows.filter("twin and core").select("row_id", *TWINS)
+    first = cut_lineage(of.groupBy(*TWINS).agg(F.min("row_id").alias("_first")))
+    found = cut_lineage(judged.join(first.select(F.col("_first").alias(key)), key, "left_semi"))
+    others = looked_up(of, first, TWINS, "inner", "row_id").filter("row_id <> _first").select(F.col("row_id").alias("_other"), F.col("_first").alias(key))
+    more = looked_up(others, found, [key], "inner", "_other").drop(key).withColumnRenamed("_other", key)
+    return judged.unionByName(more.select(*judged.columns))
 
 
 def _cell(k: int) -> Column:

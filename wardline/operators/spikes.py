@@ -398,7 +398,8 @@ def implausible(event_df: DataFrame, unit_reference: DataFrame, term_reference:
     measured = F.broadcast(event_df.sparkSession.createDataFrame([(n,) for n, m in zip(terms.names, terms.measured) if m], "normalized_term string"))  # at most MAX_UNITS rows
     events = event_df.join(measured, "normalized_term", "left_semi")
     decode = units.Decoder(terms, *units.population(units.level_source(events, terms), terms))
-    rows = units.readings(events, terms, None, limit).drop("source", "single")
+    every, twins = units.readings(events, terms, None, limit)
+    rows = series.lone(every, twins).drop("source", "single")
     order = ["t", "chash", "row_id"]
     blocks = rows.filter("hot")
     shapes, e = None, 0
@@ -434,7 +435,7 @@ def implausible(event_df: DataFrame, unit_reference: DataFrame, term_reference:
     of_term = pairs.join(usual, "tix", "left").select("tix", "usual", (F.col("ties") <= faults.steady * F.col("pairs")).alias("moving"))
     found = found.join(F.broadcast(of_term), "tix", "left")  # at most MAX_UNITS rows
     kind = F.when(F.col("impossible"), KINDS[0]).when(faults.spike(), KINDS[1]).when(F.col("stuck") & F.col("moving"), KINDS[2])
-    return found.select("event_id", kind.alias("kind")).filter("kind is not null")
+    return series.for_twins(found.select("event_id", kind.alias("kind")).filter("kind is not null"), every, twins, "event_id")
 
 
 def resolution(raw: np.ndarray) -> np.ndarray:

@@ -273,25 +273,27 @@ def valued(df: DataFrame) -> DataFrame:
     return df.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")) & F.col("normalized_term").isNotNull())
 
 
-def readings(event_df: DataFrame, terms: Terms, baselines_df: DataFrame | None = None, limit: int = 20_000) -> DataFrame:
-    """Rows with a value and a term that has units, from both tables in one layout, keyed by series and cut into blocks.
+def readings(event_df: DataFrame, terms: Terms, baselines_df: DataFrame | None = None, limit: int = 20_000) -> tuple[DataFrame, bool]:
+    """Rows with a value and a term that has units, from both tables in one layout, keyed by series and cut into blocks;
+    and whether there are twins, more copies of a reading than fit into a block.
 
     Columns: s1 and s2 (the series of patient and term), source (0 event_df, 1 baselines_df), row_id, tix, stated, value,
     t (microseconds), chash (hash of the content, equal in copies), single (a baseline: outside the order of time),
-    block, core, hot. Readings without charted_at are placed by loaded_at, else at 0. Baselines of a series in blocks
+    block, core, hot, twin. Readings without charted_at are placed by loaded_at, else at 0. Baselines of a series in blocks
     are read in its first one.
     """
     content = [c for c in ("value", "unit", "source_entity", "day_offset_start", "day_offset_end", "is_active", "is_started", "is_ended", "history") if c in event_df.columns]
     keys = ["patient_id", "normalized_term"]
     ev = valued(event_df.select(F.col("event_id").cast("bigint").alias("row_id"), *keys, F.col("value").cast("double").alias("value"), "unit", "source_entity", instant(event_df).alias("t"), F.xxhash64(*content).alias("chash")))
-    ev = with_stated_unit(series.in_blocks(series.keyed(ev, keys), limit), terms)
-    ev = ev.select("s1", "s2", F.lit(0).alias("source"), "row_id", "tix", "stated", "value", "t", "chash", F.lit(False).alias("single"), "block", "core", "hot")
+    ev, twins = series.in_blocks(series.keyed(ev, keys), limit)
+    ev = with_stated_unit(ev, terms)
+    ev = ev.select("s1", "s2", F.lit(0).alias("source"), "row_id", "tix", "stated", "value", "t", "chash", F.lit(False).alias("single"), "block", "core", "hot", "twin")
     if baselines_df is None:
-        return ev
+        return ev, twins
     base = with_stated_unit(series.keyed(valued(baselines_df), keys), terms, text=None)
     zero = F.lit(0).cast("bigint")
-    base = base.select("s1", "s2", F.lit(1).alias("source"), F.col("baseline_id").cast("bigint").alias("row_id"), "tix", "stated", F.col("value").cast("double").alias("value"), zero.alias("t"), zero.alias("chash"), F.lit(True).alias("single"), F.lit(0).alias("block"), F.lit(True).alias("core"), F.lit(False).alias("hot"))
-    return ev.unionByName(base)
+    base = base.select("s1", "s2", F.lit(1).alias("source"), F.col("baseline_id").cast("bigint").alias("row_id"), "tix", "stated", F.col("value").cast("double").alias("value"), zero.alias("t"), zero.alias("chash"), F.lit(True).alias("single"), F.lit(0).alias("block"), F.lit(True).alias("core"), F.lit(False).alias("hot"), F.lit(False).alias("twin"))
+    return ev.unionByName(base), twins
 
 
 def level_source(event_df: DataFrame, terms: Terms) -> DataFrame:
@@ -309,7 +311,7 @@ def convert_units(event_df: DataFrame, unit_reference: DataFrame, term_reference
     value that is in line in no unit is held to be in the common one. Series longer than ``limit`` are read in blocks.
     """
     terms = read_terms(unit_reference, term_reference)
-    rows = readings(event_df, terms, baselines_df, limit)
+    rows, twins = readings(event_df, terms, baselines_df, limit)
     decode = Decoder(terms, *population(level_source(event_df, terms), terms))
     other = (terms.factor != 1) | (terms.shift != 0)
 
@@ -319,7 +321,9 @@ def convert_units(event_df: DataFrame, unit_reference: DataFrame, term_reference
         tix, s = x["tix"][core], state[core]
         return pa.table({"source": pa.array(x["source"][core], pa.int32()), "row_id": x["row_id"][core], "tix": pa.array(tix, pa.int32()), "state": pa.array(s, pa.int32()), "decoded": (x["stated"][core] < 0), "other": other[tix, s], "value_common": y[core]}).to_batches(max_chunksize=100_000)
 
-    out = series.over_series(rows.drop("hot"), ["single", "t", "chash", "row_id"], run, "source int, row_id bigint, tix int, state int, decoded boolean, other boolean, value_common double")
+    out = series.over_series(series.lone(rows, twins).drop("hot"), ["single", "t", "chash", "row_id"], run, "source int, row_id bigint, tix int, state int, decoded boolean, other boolean, value_common double")
+    if twins:
+        out = out.filter("source = 1").unionByName(series.for_twins(out.filter("source = 0"), rows.filter("source = 0"), twins))
     names = F.array(*[F.lit(n) for n in terms.names]) if terms.names else F.array().cast("array<string>")
     codes = F.array(*[F.array(*[F.lit(c) for c in cs]) for cs in terms.codes]) if terms.names else F.array().cast("array<array<string>>")
     return out.select(
