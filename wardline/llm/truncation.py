@@ -117,16 +117,24 @@ def final_cells(texts: list[str]) -> np.ndarray:
 
 def outcomes(codes: np.ndarray) -> np.ndarray:
     """What follows each place: 0 more text, 1 the end of a line or sentence, 2 a full stop, 3 the end of the text or its begin."""
-    n = len(codes)
-    nxt, nxt2 = np.ones(n, np.uint32), np.ones(n, np.uint32)
-    nxt[:-1], nxt2[:-2] = codes[1:], codes[2:]
-    marks = np.array([ord(c) for c in MARKS], np.uint32)
-    space = lambda c: (c == 32) | ((c >= 9) & (c <= 13)) | (c == 0xA0)
-    line = (nxt == 10) | (nxt == 13)
-    mark = (nxt == marks[0]) | (nxt == marks[1]) | (nxt == marks[2]) | (nxt >= 0x2026) & np.isin(nxt, marks)
-    done = (codes == marks[0]) | (codes == marks[1]) | (codes == marks[2]) | (codes >= 0x2026) & np.isin(codes, marks)
-    out = np.where(line | done & space(nxt), 1, np.where(mark & (space(nxt2) | (nxt2 == 1)), 2, 0)).astype(np.int8)
-    out[(nxt == 1) | (codes == 1) | space(codes)] = 3
+    marks = [ord(c) for c in MARKS]
+    mark = codes == marks[0]
+    for m in marks[1:3]:
+        mark |= codes == m
+    far = np.flatnonzero(codes >= 0x2026)
+    mark[far] = np.isin(codes[far], np.array(marks, np.uint32))
+    line = (codes == 10) | (codes == 13)
+    space = (codes == 32) | (codes == 0xA0) | (codes == 9) | (codes == 11) | (codes == 12) | line
+    edge = codes == 1
+
+    def ahead(x: np.ndarray, n: int, beyond: bool) -> np.ndarray:
+        """x of the place n further on."""
+        return np.append(x[n:], np.full(min(n, len(x)), beyond))
+
+    out = np.zeros(len(codes), np.int8)
+    out[ahead(mark, 1, False) & (ahead(space, 2, False) | ahead(edge, 2, True))] = 2
+    out[ahead(line, 1, False) | mark & ahead(space, 1, False)] = 1
+    out[ahead(edge, 1, True) | edge | space] = 3
     return out
 
 
