@@ -207,3 +207,20 @@ def test_repairs_of_form_and_sense_are_counted_apart():
     for answers in ((form, form), (sense, sense), (form, sense, form), (OSError("down"), OSError("down"))):
         with pytest.raises(IntentError):
             read_intent("q", reader(*answers), pause=0)
+
+
+def test_plan_is_told(micro):
+    from wardline.plans.compiler import explained
+
+    said = explained(micro, Leaf("lactate", op=">", value=2.0))
+    assert "== Physical Plan ==" in said and "HashAggregate" in said
+
+
+def test_trends_of_a_question_are_those_of_all(micro):
+    tree = Node("AND", (Leaf("creatinine", modifier="uptrended"), Leaf(None, "perfusion", modifier="unchanged", temporal=on("OVERLAPS", "INTERVAL"))))
+    some = cohort.trends_for(micro.events, micro.class_map, tree, PUMP)
+    pairs = {("admission_start", "latest"), ("pump_earliest", "pump_latest")}
+    row = lambda d: {tuple(r) for r in d.collect()}
+    want = {r for r in row(micro.trends) if (r[3], r[4]) in pairs and r[1] in ("creatinine", "lactate", "spo2")}
+    assert row(some) == want and want
+    assert cohort.trends_for(micro.events, micro.class_map, Leaf("lactate"), PUMP) is None

@@ -292,6 +292,12 @@ def candidates(catalog: Catalog, tree: Node | Leaf, literal_units: bool = False)
     return out.filter(truth).select("patient_id")
 
 
+def explained(catalog: Catalog, tree: Node | Leaf) -> str:
+    """The physical plan of a tree, with its scans, pushed filters and exchanges, for looking into a question."""
+    jdf = candidates(catalog, tree)._jdf
+    return jdf.queryExecution().explainString(catalog.patients.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
 def candidates_by_joins(catalog: Catalog, tree: Node | Leaf, literal_units: bool = False) -> DataFrame:
     """The same patients, each leaf by a join of its own."""
     patients = referenced(catalog.patients, tree.patient_references if isinstance(tree, Node) else ()).select("patient_id").distinct()

@@ -51,6 +51,19 @@ def p2_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.join(bad, "event_id", "left_semi").select("event_id")
 
 
+def p2_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stuck readings of the series whose unit column can always be read and that have one reading at a time."""
+    t = lambda n: table(spark, sf_dir, n)
+    series_ = ["patient_id", "normalized_term"]
+    content = ["value", "unit", "source_entity", "day_offset_start", "day_offset_end", "is_active", "is_started", "is_ended", "history"]
+    e = t("event_df").filter(F.col("patient_id").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value")).withColumn("t", units.instant(t("event_df")))
+    told = units.with_stated_unit(e, units.read_terms(t("unit_reference"), t("term_reference")), text=None)
+    at = told.select(*series_, "t", "stated", *content).distinct().groupBy(*series_, "t").agg(F.count(F.lit(1)).alias("n"), F.min("stated").alias("stated"))
+    clean = at.groupBy(*series_).agg(F.max("n").alias("n"), F.min("stated").alias("stated")).filter("n = 1 and stated >= 0").select(*series_)
+    stuck = spikes.implausible(t("event_df"), t("unit_reference"), t("term_reference")).filter("kind = 'stuck'")
+    return e.join(stuck, "event_id", "left_semi").join(clean, series_, "left_semi").select("event_id")
+
+
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values in the common unit, of rows whose unit is written just as in the reference."""
     t = lambda n: table(spark, sf_dir, n)
@@ -442,7 +455,7 @@ QUERIES: dict[str, Query] = {
     "event_evidence_union": event_evidence_union, "event_summary_stats": event_summary_stats, "budget_group_count": budget_group_count, "context_dedup_first": context_dedup_first, "context_many": context_many, "trend_evidence": trend_evidence,
     "package_rows": _packed(lambda _: 10**9), "package_summaries": _packed(lambda e: cohort.group_count(e).first().n_groups), "package_header": package_header,
     **{n: answered(n) for n in QUESTIONS if n != "intent_unresolved"}, "intent_mappings": intent_mappings,
-    "p2_impossible": p2_impossible, "p6_clean": p6_clean,
+    "p2_impossible": p2_impossible, "p2_stuck": p2_stuck, "p6_clean": p6_clean,
     "active_aliases": active_aliases, "class_expansion": class_expansion, "alias_best_match": alias_best_match, "vector_topk": vector_topk, "patient_search": patient_search,
     **TEXT_QUERIES,
 }
@@ -458,6 +471,9 @@ evidence AS (
   UNION ALL SELECT e.* FROM mine e WHERE normalized_term = '{PUMP}'
 )"""
 _COLS = ", ".join(_EV)
+#: A unit as it is compared, and the ways to write it.
+_KEY = r"lower(regexp_replace(replace(replace({}, 'µ', 'u'), 'μ', 'u'), '[\s\x{{00a0}}.,;:]', '', 'g'))"
+_SPELT = ", ".join(f"('{code}', '{way}')" for code, ways in units.SPELLINGS.items() for way in ways)
 _SHOWN = f"patient_name IS NOT NULL AND age IS NOT NULL AND sex IS NOT NULL AND trim(coalesce(source_entity, ''), '\"') <> '{cohort.PUMP_ENTRY}'"
 _FROM1 = _within("1", "1000000000")
 _FEW = _who(f"p.patient_id IN ({', '.join(repr(r) for r in FEW_TREE['patient_references'])}) AND {_term('lactate', _within('1', '6'))} AND {_class('vasopressor')}")
@@ -524,6 +540,20 @@ SELECT context, {_COLS}, CAST((SELECT count(*) FROM few) AS INTEGER) AS n_candid
   ('intent_unresolved', 'lac', 'lactate'), ('intent_unresolved', 'hr', 'heart rate'), ('intent_unresolved', 'moon phase', NULL), ('intent_unresolved', 'sunrise', NULL)) v(question, phrase, canonical)""",
     "p2_impossible": """SELECT event_id FROM event_df e JOIN unit_reference u ON u.term = e.normalized_term AND u.unit_code = e.unit JOIN term_reference r ON r.term = e.normalized_term AND r.kind = 'measurement'
   WHERE NOT isnan(value) AND (value * factor + "shift" < phys_low - 1e-6 * greatest(abs(phys_low), abs(phys_high)) OR value * factor + "shift" > phys_high + 1e-6 * greatest(abs(phys_low), abs(phys_high)))""",
+    "p2_stuck": f"""WITH sp(code, spelt) AS (VALUES {_SPELT}), un AS (SELECT term, unit_code, any_value(factor) AS factor, any_value("shift") AS "shift", unit_code AS spelt FROM unit_reference GROUP BY ALL),
+ways AS (SELECT term, k, min(unit_code) AS unit_code FROM (SELECT term, unit_code, {_KEY.format('unit_code')} AS k FROM un UNION ALL SELECT term, unit_code, {_KEY.format('sp.spelt')} FROM un JOIN sp ON sp.code = un.unit_code) w GROUP BY 1, 2),
+x0 AS (SELECT e.*, w.unit_code FROM event_df e LEFT JOIN ways w ON w.term = e.normalized_term AND w.k = {_KEY.format('e.unit')}),
+x AS (SELECT e.*, coalesce(charted_at, loaded_at, TIMESTAMP '1970-01-01 00:00:00') AS t FROM x0 e WHERE patient_id IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
+d AS (SELECT DISTINCT patient_id, normalized_term, t, value, unit, unit_code, source_entity, day_offset_start, day_offset_end, is_active, is_started, is_ended, history FROM x WHERE normalized_term IN (SELECT term FROM term_reference WHERE kind = 'measurement')),
+clean AS (SELECT patient_id, normalized_term FROM (SELECT patient_id, normalized_term, t, count(*) AS c, bool_and(unit_code IS NOT NULL) AS ok FROM d GROUP BY 1, 2, 3) y GROUP BY 1, 2 HAVING max(c) = 1 AND bool_and(ok)),
+r AS (SELECT d.patient_id, d.normalized_term, d.t, d.value, d.unit_code, coalesce(d.value = lag(d.value) OVER w AND d.unit_code = lag(d.unit_code) OVER w, false) AS same, row_number() OVER w AS rn, count(*) OVER (PARTITION BY d.patient_id, d.normalized_term) AS n
+  FROM d JOIN clean c ON c.patient_id = d.patient_id AND c.normalized_term = d.normalized_term WINDOW w AS (PARTITION BY d.patient_id, d.normalized_term ORDER BY d.t)),
+g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY patient_id, normalized_term ORDER BY t) AS g FROM r), z AS (SELECT *, count(*) OVER (PARTITION BY patient_id, normalized_term, g) AS size FROM g),
+s AS (SELECT patient_id, normalized_term, sum(CASE WHEN rn > 1 AND NOT (size >= 6 AND same) THEN 1 ELSE 0 END) AS pairs, sum(CASE WHEN same AND size < 6 THEN 1 ELSE 0 END) AS ties FROM z GROUP BY 1, 2),
+m AS (SELECT normalized_term, sum(CASE WHEN same THEN 1 ELSE 0 END) <= 0.5 * sum(CASE WHEN rn > 1 THEN 1 ELSE 0 END) AS moving FROM z GROUP BY 1),
+f AS (SELECT z.* FROM z JOIN s ON s.patient_id = z.patient_id AND s.normalized_term = z.normalized_term JOIN m ON m.normalized_term = z.normalized_term JOIN un u ON u.term = z.normalized_term AND u.unit_code = z.unit_code JOIN term_reference q ON q.term = z.normalized_term
+  WHERE size >= 6 AND n >= 8 AND pairs > 0 AND ties <= 0.5 * pairs AND moving AND z.value * u.factor + u."shift" BETWEEN coalesce(q.phys_low, -1e300) AND coalesce(q.phys_high, 1e300))
+SELECT x.event_id FROM x JOIN f ON f.patient_id = x.patient_id AND f.normalized_term = x.normalized_term AND f.t = x.t""",
     "p6_clean": """WITH x AS (SELECT 'event_df' AS source_table, event_id AS row_id, normalized_term, value, unit FROM event_df UNION ALL SELECT 'baselines_df', baseline_id, normalized_term, value, unit FROM baselines_df)
 SELECT source_table, row_id, normalized_term, unit AS unit_code, factor <> 1 OR "shift" <> 0 AS other, round(value * factor + "shift", 4) AS value_common FROM x JOIN unit_reference u ON u.term = normalized_term AND u.unit_code = unit WHERE value IS NOT NULL AND NOT isnan(value)""",
     "trend_evidence": f"WITH {ANCHORED_SQL} SELECT t.*, patient_name, age, sex FROM trends t JOIN patient_df p ON p.patient_id = t.patient_id WHERE normalized_term = 'creatinine' AND anchor1 = 'admission_start' AND anchor2 = 'latest' AND change = 'uptrended'",
