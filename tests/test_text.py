@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from wardline.operators import text as T
@@ -200,3 +201,41 @@ def test_the_surest_time_and_negation_hold(spark):
     rel = [("u", "c1", "t1", "TIME_RELATION", 0.7), ("u", "c1", "t2", "TIME_RELATION", 0.9), ("u", "c1", "n1", "NEGATION_RELATION", 0.8), ("u", "c2", "t1", "TIME_RELATION", None), ("u", "c2", "t2", "TIME_RELATION", None), ("u", "c2", "n1", "NEGATION_RELATION", 0.1), ("u", "c2", "gone", "TIME_RELATION", 1.0)]
     got = {r.id: (r.time_id, r.negation_id, r.negated, r.n_times, r.n_negations) for r in T.settled(spans, spark.createDataFrame(rel, "uid string, head string, child string, label string, confidence double"), ["uid"]).collect()}
     assert got == {"c1": ("t2", "n1", False, 2, 1), "c2": ("t2", "n1", True, 2, 1), "c3": (None, None, False, 0, 0)}
+
+
+def annotated_rows(r, n, words):
+    rows = []
+    for u in range(n):
+        t = " ".join(r.choice(["ab", "c", "d\n", "", "\u00e9\u00a0", "xyz"]) for _ in range(r.randint(0, words)))
+        spans = [(f"s{i}", (a := r.randint(-2, len(t))), a + r.randint(-1, 25), r.choice(["C_ENT", "TIME", "PLAN", "NEGATION", None]), None, "") for i in range(r.randint(0, 12))]
+        rows.append((f"u{u}", t, spans or None))
+    return [*rows, ("null", None, None), ("bare", None, [("s", 0, 4, "TIME", None, "")]), ("empty", "", [])]
+
+
+def batch(rows):
+    part = lambda j: pa.array([None if s is None else [x[j] for x in s] for _, _, s in rows], pa.list_(pa.int32() if j < 3 else pa.string()))
+    return pa.array([t for _, t, _ in rows], pa.string()), part(1), part(2), part(3)
+
+
+def python_passes(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("ArrowEvalPython ["), plan.count("Exchange")
+
+
+def test_islands_are_made_in_one_pass_of_short_runs(spark, tmp_path, monkeypatch):
+    from wardline.queries_text import bio_islands
+
+    r = random.Random(4)
+    df = spark.createDataFrame(annotated_rows(r, 90, 80), f"uid string, text string, spans {SPAN}").coalesce(1)
+    df.write.parquet(f"{tmp_path}/training_data.parquet")
+    got = bio_islands(spark, str(tmp_path))
+    assert python_passes(got) == (1, 0)
+    by_join = T.bio_spans(T.bio_labels(T.tokens(df, "uid"), T.exploded(df, "uid").filter("label is not null"), "uid"), "uid")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_join.select(*got.columns).collect())) and got.count() > 100
+
+    rows = annotated_rows(r, 60, 80)
+    want = [x for a in T.entity_runs(iter([batch(rows)])) for x in a.to_pylist()]
+    for size, n in ((100, 512), (1 << 20, 1), (1 << 20, len(rows)), (1 << 20, 7)):
+        monkeypatch.setattr(T, "RUN_BYTES", size)
+        monkeypatch.setattr(T, "RUN_TEXTS", n)
+        assert [x for a in T.entity_runs(iter([batch(rows), batch([]), batch(rows)])) for x in a.to_pylist()] == want * 2

@@ -6,9 +6,10 @@ stand in for ``tokens`` as long as it gives the same columns. Spans are structs
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,6 +188,48 @@ def labelled(df: DataFrame, text: str = "text", spans: str = "spans", widen: boo
     return df.withColumn("labels", of(F.col(text), *[F.transform(spans, lambda x: x[c]) for c in ("start", "end", "label")]))  # noqa: B023
 
 
+#: Bytes of text, and texts, that are taken from a batch at once.
+RUN_BYTES, RUN_TEXTS = 1 << 20, 512
+
+
+def annotated(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[list[tuple[str | None, list[tuple[int, int, str]]]]]:
+    """Short runs of texts with their sound spans, from batches of texts and their spans' starts, ends and labels.
+
+    A batch holds up to ten thousand texts, whose words as Python objects would take gigabytes; so no more than a run
+    of them is there at a time.
+    """
+    for columns in batches:
+        begin, held, sizes = 0, 0, [x or 0 for x in pc.binary_length(columns[0]).to_pylist()]
+        for i, n in enumerate([*sizes, 0]):
+            if i == len(sizes) or i > begin and (held + n > RUN_BYTES or i - begin == RUN_TEXTS):
+                rows = zip(*(x.slice(begin, i - begin).to_pylist() for x in columns))
+                if i > begin:
+                    yield [(t, [s for s in zip(a or (), b or (), c or ()) if None not in s and s[1] > s[0] >= 0]) for t, a, b, c in rows]
+                begin, held = i, 0
+            held += n
+
+
+def _parts(spans: Column) -> list[Column]:
+    return [F.transform(spans, lambda x: x[c]) for c in ("start", "end", "label")]  # noqa: B023
+
+
+def entity_runs(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """What entities gives, run by run."""
+    kind = pa.list_(pa.struct([("id", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("confidence", pa.float64())]))
+    for run in annotated(batches):
+        yield pa.array([None if t is None else islands(*token_labels(t, spans)) for t, spans in run], kind)
+
+
+def entities(text: Column, spans: Column) -> Column:
+    """Array of (id, start, end, label, confidence): joined_spans of the labels of a text, which are not kept; null for null."""
+
+    @F.arrow_udf("array<struct<id:string,start:int,end:int,label:string,confidence:double>>")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return entity_runs(batches)
+
+    return of(text, *_parts(spans))
+
+
 def joined_spans(labels: Column, least: float | None = None) -> Column:
     """Array of (id, start, end, label, confidence) from an array of labelled words (i, start, end, label[, confidence])."""
     kind = pa.list_(pa.struct([("id", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("confidence", pa.float64())]))

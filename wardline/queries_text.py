@@ -56,8 +56,8 @@ def bio_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bio_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = text.labelled(_training(spark, sf_dir).select("uid", "text", "spans"))
-    return t.select("uid", F.inline(text.joined_spans(F.col("labels")))).select("uid", "id", "start", "end", "label")
+    t = _training(spark, sf_dir)
+    return t.select("uid", F.inline(text.entities(F.col("text"), F.col("spans")))).select("uid", "id", "start", "end", "label")
 
 
 def span_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
