@@ -239,3 +239,27 @@ def test_islands_are_made_in_one_pass_of_short_runs(spark, tmp_path, monkeypatch
         monkeypatch.setattr(T, "RUN_BYTES", size)
         monkeypatch.setattr(T, "RUN_TEXTS", n)
         assert [x for a in T.entity_runs(iter([batch(rows), batch([]), batch(rows)])) for x in a.to_pylist()] == want * 2
+
+
+def test_widened_labels_are_made_once_in_short_runs(spark, tmp_path, monkeypatch):
+    from wardline.queries_text import bio_widened
+
+    r = random.Random(6)
+    rows = annotated_rows(r, 90, 80)
+    df = spark.createDataFrame(rows, f"uid string, text string, spans {SPAN}").coalesce(1)
+    df.write.parquet(f"{tmp_path}/training_data.parquet")
+    got = bio_widened(spark, str(tmp_path))
+    assert python_passes(got) == (1, 0)
+    by_join = T.bio_labels(T.tokens(df, "uid"), T.exploded(df, "uid").filter("label is not null"), "uid").orderBy("uid", "i").collect()
+    want = [(u, i, x) for u, t, _ in rows if t for i, x in enumerate(T.widened([x.label for x in by_join if x.uid == u]))]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 1000
+
+    whole = [x for a in T.label_runs(iter([batch(rows)]), True) for x in a.to_pylist()]
+    assert [x is None for x in whole] == [t is None for _, t, _ in rows]
+    assert [(u, w["i"], w["label"]) for (u, _, _), x in zip(rows, whole) for w in x or ()] == want
+    monkeypatch.setattr(T, "RUN_TEXTS", 7)
+    runs = list(T.label_runs(iter([batch(rows), batch([]), batch(rows)]), True))
+    assert [x for a in runs for x in a.to_pylist()] == whole * 2 and max(map(len, runs)) == 7
+    monkeypatch.setattr(T, "RUN_BYTES", 100)
+    runs = list(T.label_runs(iter([batch(rows)]), True))
+    assert [x for a in runs for x in a.to_pylist()] == whole and max(a.values.nbytes for a in runs) < 10_000

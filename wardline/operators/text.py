@@ -166,28 +166,6 @@ def islands(places: list[tuple[int, int]], labels: list[str], confidence: list[f
     return [{"id": f"e{i}", "start": a, "end": b, "label": k, "confidence": round(c, 3)} for i, (a, b, k, c) in enumerate(sorted(out, key=lambda x: x[:3]), 1)]
 
 
-def labelled(df: DataFrame, text: str = "text", spans: str = "spans", widen: bool = False) -> DataFrame:
-    """df with labels, an array of (i, start, end, label): the BIO labels of the words of each text, without moving any row.
-
-    With ``widen``, entities take in one free word on either side.
-    """
-    kind = pa.list_(pa.struct([("i", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
-
-    @F.arrow_udf("array<struct<i:int,start:int,end:int,label:string>>")
-    def of(texts: pa.Array, s: pa.Array, e: pa.Array, lab: pa.Array) -> pa.Array:
-        out = []
-        for t, a, b, c in zip(*(x.to_pylist() for x in (texts, s, e, lab))):
-            good = [(x, y, z) for x, y, z in zip(a or (), b or (), c or ()) if x is not None and y is not None and z is not None and y > x >= 0]
-            if t is None:
-                out.append(None)
-                continue
-            places, labels = token_labels(t, good)
-            out.append([{"i": i, "start": p[0], "end": p[1], "label": x} for i, (p, x) in enumerate(zip(places, widened(labels) if widen else labels))])
-        return pa.array(out, kind)
-
-    return df.withColumn("labels", of(F.col(text), *[F.transform(spans, lambda x: x[c]) for c in ("start", "end", "label")]))  # noqa: B023
-
-
 #: Bytes of text, and texts, that are taken from a batch at once.
 RUN_BYTES, RUN_TEXTS = 1 << 20, 512
 
@@ -213,6 +191,36 @@ def _parts(spans: Column) -> list[Column]:
     return [F.transform(spans, lambda x: x[c]) for c in ("start", "end", "label")]  # noqa: B023
 
 
+def label_runs(batches: Iterator[tuple[pa.Array, ...]], widen: bool = False) -> Iterator[pa.Array]:
+    """What labelled adds, run by run; columns of numbers and labels are filled, so no word is an object of its own."""
+    for run in annotated(batches):
+        offsets, number, start, end, label = [], [], [], [], []
+        for t, spans in run:
+            offsets.append(None if t is None else len(number))
+            if t is not None:
+                places, labels = token_labels(t, spans)
+                number += range(len(places))
+                start += [a for a, _ in places]
+                end += [b for _, b in places]
+                label += widened(labels) if widen else labels
+        words = [pa.array(x, pa.int32()) for x in (number, start, end)] + [pa.array(label, pa.string())]
+        yield pa.ListArray.from_arrays(pa.array([*offsets, len(number)], pa.int32()), pa.StructArray.from_arrays(words, ["i", "start", "end", "label"]))
+
+
+def labelled(df: DataFrame, text: str = "text", spans: str = "spans", widen: bool = False) -> DataFrame:
+    """df with labels, an array of (i, start, end, label): the BIO labels of the words of each text, without moving any row.
+
+    With ``widen``, entities take in one free word on either side.
+    """
+
+    @F.arrow_udf("array<struct<i:int,start:int,end:int,label:string>>")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return label_runs(batches, widen)
+
+    # else a filter on the size of the list that goes with its explosion has all labels made twice
+    return df.withColumn("labels", of.asNondeterministic()(F.col(text), *_parts(F.col(spans))))
+
+
 def entity_runs(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     """What entities gives, run by run."""
     kind = pa.list_(pa.struct([("id", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("confidence", pa.float64())]))
