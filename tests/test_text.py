@@ -263,3 +263,31 @@ def test_widened_labels_are_made_once_in_short_runs(spark, tmp_path, monkeypatch
     monkeypatch.setattr(T, "RUN_BYTES", 100)
     runs = list(T.label_runs(iter([batch(rows)]), True))
     assert [x for a in runs for x in a.to_pylist()] == whole and max(a.values.nbytes for a in runs) < 10_000
+
+
+def test_spans_of_chunks_are_found_within_their_rows(spark, tmp_path, monkeypatch):
+    from wardline.queries_text import span_chunks
+
+    r = random.Random(9)
+    rows = annotated_rows(r, 60, 700)
+    rows += [(None, "a b", [("s", 0, 1, "TIME", None, "")]), ("holes", "  a b ", [None, ("s", None, 1, "TIME", None, ""), ("s", 0, 9, "TIME", None, ""), ("s", 2, None, "TIME", None, "")])]
+    rows += [(f"n{n}", " " + "w " * n, [("s", 0, 2 * n, "TIME", None, ""), ("s", -3, 1, "TIME", None, ""), ("s", -3, 2, "TIME", None, "")]) for n in (0, 1, 128, 129, 224, 225)]
+    spark.createDataFrame(rows, f"uid string, text string, spans {SPAN}").coalesce(1).write.parquet(f"{tmp_path}/training_data.parquet")
+    got = span_chunks(spark, str(tmp_path))
+    assert python_passes(got) == (1, 0) and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for u, t, spans in rows:
+        places = [m.span() for m in re.finditer(r"[^ \t\n\r\f\v]+", t or "")]
+        for k in range(max(0, -(-(len(places) - 128) // 96)) + 1 if places and u else 0):
+            a, b = places[96 * k][0], places[min(96 * k + 128, len(places)) - 1][1]
+            for i, s in enumerate(spans or ()):
+                if s and None not in s[1:3] and s[2] > s[1] and s[2] > a and s[1] < b:
+                    want.append((u, k, i, max(s[1], a) - a, min(s[2], b) - a, s[3] or ""))
+    assert sorted((*x[:5], x[5] or "") for x in map(tuple, got.collect())) == sorted(want) and len(want) > 300 and {1, 2, 3} <= {x[1] for x in want}
+
+    texts = pa.array([t for _, t, _ in rows], pa.string())
+    whole = [x for a in T.place_runs(iter([texts])) for x in a.to_pylist()]
+    assert whole == [{"start": None, "end": None} if t is None else {"start": [m.start() for m in T._WORD.finditer(t)], "end": [m.end() for m in T._WORD.finditer(t)]} for _, t, _ in rows]
+    monkeypatch.setattr(T, "RUN_TEXTS", 7)
+    parts = list(T.place_runs(iter([texts, texts.slice(0, 0), texts])))
+    assert [x for a in parts for x in a.to_pylist()] == whole * 2 and max(map(len, parts)) == 7

@@ -6,7 +6,7 @@ stand in for ``tokens`` as long as it gives the same columns. Spans are structs
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,6 +29,27 @@ def exploded(df: DataFrame, key: str, spans: str = "spans") -> DataFrame:
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
 
 
+#: Bytes of text, and texts, that are taken from a batch at once.
+RUN_BYTES, RUN_TEXTS = 1 << 20, 512
+
+
+def runs(batches: Iterable[tuple[pa.Array, ...]]) -> Iterator[list[list]]:
+    """Short runs of the rows of batches, as lists by column; the texts are the first column.
+
+    A batch holds up to ten thousand texts, whose words as Python objects would take gigabytes; so no more than a run
+    of them is there at a time.
+    """
+    for columns in batches:
+        begin, held, sizes = 0, 0, [x or 0 for x in pc.binary_length(columns[0]).to_pylist()]
+        for i, n in enumerate(sizes):
+            if i > begin and (held + n > RUN_BYTES or i - begin == RUN_TEXTS):
+                yield [x.slice(begin, i - begin).to_pylist() for x in columns]
+                begin, held = i, 0
+            held += n
+        if sizes:
+            yield [x.slice(begin).to_pylist() for x in columns]
+
+
 def token_list(text: Column) -> Column:
     """Array of (start, end, token), the words of a text in order with their places; null for null."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("token", pa.string())]))
@@ -72,14 +93,41 @@ def centred(chunked: DataFrame, share: float = 0.8) -> DataFrame:
     return chunked.withColumns({"keep_from": F.when(F.col("chunk") == 0, 0).otherwise(margin), "keep_to": F.when(F.col("chunk") == F.col("n_chunks") - 1, n).otherwise(n - margin)})
 
 
-def chunk_spans(chunked: DataFrame, toks: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Spans that meet a chunk, with places counted from its begin and cut to it: key, chunk, char_from, char_to, ord, start, end, label."""
-    a = toks.select(key, F.col("i").alias("first"), F.col("start").alias("char_from"))
-    b = toks.select(key, (F.col("i") + 1).alias("last"), F.col("end").alias("char_to"))
-    c = chunked.join(a, [key, "first"]).join(b, [key, "last"])
-    s = spans.select(F.col(key).alias("_k"), "ord", F.col("start").alias("s"), F.col("end").alias("e"), "label")
-    j = c.join(s, (F.col(key) == F.col("_k")) & (F.col("e") > F.col("char_from")) & (F.col("s") < F.col("char_to")))
-    return j.select(key, "chunk", "char_from", "char_to", "ord", (F.greatest("s", "char_from") - F.col("char_from")).alias("start"), (F.least("e", "char_to") - F.col("char_from")).alias("end"), "label")
+def word_places(text: Column) -> Column:
+    """Arrays start and end, the places of the words of a text in order, in a struct; both null for null."""
+
+    @F.arrow_udf("struct<start:array<int>,end:array<int>>")
+    def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return place_runs(batches)
+
+    return places(text)
+
+
+def place_runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """What word_places gives, run by run."""
+    for (run,) in runs((x,) for x in batches):
+        offsets, start, end = [], [], []
+        for t in run:
+            offsets.append(None if t is None else len(start))
+            for m in _WORD.finditer(t or ""):
+                start.append(m.start())
+                end.append(m.end())
+        at = pa.array([*offsets, len(start)], pa.int32())
+        yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (start, end)], ["start", "end"])
+
+
+def chunk_spans(df: DataFrame, key: str, text: str = "text", spans: str = "spans", size: int = 512, overlap: float = 0.25) -> DataFrame:
+    """Spans that meet a chunk of their text, with places counted from its begin and cut to it: key, chunk, char_from, char_to, ord, start, end, label.
+
+    All is found within the row of a text, so nothing is moved or joined; rows without a key are left out.
+    """
+    part = F.transform(spans, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["label"].alias("label")))
+    p = df.filter(F.col(key).isNotNull()).select(key, part.alias("_s"), word_places(F.col(text)).alias("_p"))
+    begin, end = F.col("_p.start"), F.col("_p.end")
+    bounds = F.transform(windows(F.size(begin), size, overlap), lambda w: F.struct(w["chunk"].alias("chunk"), F.get(begin, w["first"]).alias("char_from"), F.get(end, w["last"] - 1).alias("char_to")))
+    c = p.select(key, "_s", F.explode(bounds).alias("_c")).select(key, "_c.*", F.posexplode("_s").alias("ord", "_s")).select(key, "chunk", "char_from", "char_to", "ord", "_s.*")
+    met = c.filter("e > s and e > char_from and s < char_to")
+    return met.select(key, "chunk", "char_from", "char_to", "ord", (F.greatest("s", "char_from") - F.col("char_from")).alias("start"), (F.least("e", "char_to") - F.col("char_from")).alias("end"), "label")
 
 
 #: Characters of a stretch of text; tokens and spans meet within the stretches that they reach into.
@@ -166,25 +214,10 @@ def islands(places: list[tuple[int, int]], labels: list[str], confidence: list[f
     return [{"id": f"e{i}", "start": a, "end": b, "label": k, "confidence": round(c, 3)} for i, (a, b, k, c) in enumerate(sorted(out, key=lambda x: x[:3]), 1)]
 
 
-#: Bytes of text, and texts, that are taken from a batch at once.
-RUN_BYTES, RUN_TEXTS = 1 << 20, 512
-
-
 def annotated(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[list[tuple[str | None, list[tuple[int, int, str]]]]]:
-    """Short runs of texts with their sound spans, from batches of texts and their spans' starts, ends and labels.
-
-    A batch holds up to ten thousand texts, whose words as Python objects would take gigabytes; so no more than a run
-    of them is there at a time.
-    """
-    for columns in batches:
-        begin, held, sizes = 0, 0, [x or 0 for x in pc.binary_length(columns[0]).to_pylist()]
-        for i, n in enumerate([*sizes, 0]):
-            if i == len(sizes) or i > begin and (held + n > RUN_BYTES or i - begin == RUN_TEXTS):
-                rows = zip(*(x.slice(begin, i - begin).to_pylist() for x in columns))
-                if i > begin:
-                    yield [(t, [s for s in zip(a or (), b or (), c or ()) if None not in s and s[1] > s[0] >= 0]) for t, a, b, c in rows]
-                begin, held = i, 0
-            held += n
+    """Short runs of texts with their sound spans, from batches of texts and their spans' starts, ends and labels."""
+    for run in runs(batches):
+        yield [(t, [s for s in zip(a or (), b or (), c or ()) if None not in s and s[1] > s[0] >= 0]) for t, a, b, c in zip(*run)]
 
 
 def _parts(spans: Column) -> list[Column]:

@@ -44,10 +44,7 @@ def chunk_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _training(spark, sf_dir)
-    toks = text.tokens(t.select("uid", "text"), "uid")
-    spans = text.exploded(t, "uid").filter("end > start")
-    return text.chunk_spans(_chunks(spark, sf_dir), toks, spans, "uid").select("uid", "chunk", "ord", "start", "end", "label")
+    return text.chunk_spans(_training(spark, sf_dir), "uid", size=128).select("uid", "chunk", "ord", "start", "end", "label")
 
 
 def bio_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
